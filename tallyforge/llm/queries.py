@@ -6,8 +6,11 @@ import importlib
 
 #: Query name -> module; the function has the query's name.
 NAMES = {
+    "op1_packing": "packing",
+    "op5_html_extraction": "html_text",
     "op8_url_filters": "url_filters",
     "op9_sharding": "sharding",
+    "op10_decontamination": "decontamination",
 }
 
 
