@@ -152,12 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for each row of docs (doc_id, text): the probability of label 1, of the whole text.
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with all its columns as a struct rest, and score, the probability of label 1, of each row's whole text.
 
-    A null or empty text has the score of the bias alone. Repeated rows give a row each; an empty table none; other columns are left out.
+    A null or empty text has the score of the bias alone. Repeated rows give a row each, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("rest"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
@@ -171,9 +172,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 known.update(zip(new, m.word_scores(new) if new else [], strict=True))
                 out += [m.bias + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) for words in split]
             out = 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["rest", "score"])
+
+    return rows.mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, score double")
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score for each row of docs (doc_id, text), as scored gives them; other columns are left out."""
+    return scored(texts(docs), model).select("rest.doc_id", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

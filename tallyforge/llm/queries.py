@@ -7,10 +7,12 @@ import importlib
 #: Query name -> module; the function has the query's name.
 NAMES = {
     "op1_packing": "packing",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_language_id": "language_id",
     "op4_near_dedup": "near_dedup",
     "op5_html_extraction": "html_text",
     "op6_quality": "quality",
+    "op7_nearest_neighbours": "nearest",
     "op8_url_filters": "url_filters",
     "op9_sharding": "sharding",
     "op10_decontamination": "decontamination",
