@@ -25,7 +25,7 @@ from tallyforge.llm.shared import read, staged, texts
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct chunks of text whose ids a worker remembers; then it starts afresh.
-CACHE = 250_000
+CACHE = 700_000
 _loaded: dict = {}
 #: White space for str.split(), but not for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -61,16 +61,31 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if "<|" not in w and PLAIN.fullmatch(w)]
+        """Ids of new chunks. An ASCII word with one mark at its end is that word and that mark, in lower case: those are learned once for all their forms."""
+        known, lows = self.known, {}
+        for w in new:
+            if w.isascii() and "<|" not in w:
+                low = w.lower()
+                word = low[:-1]
+                lows[w] = (word, low[-1]) if word.isalpha() and not low[-1].isalnum() and low[-1] != "'" else (low,)
+        self.learn_plain(list({p for parts in lows.values() for p in parts if p not in known}))
+        for w, parts in lows.items():
+            known[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+        rest = [w for w in new if w not in lows and PLAIN.fullmatch(w) and "<|" not in w]
+        self.learn_plain(rest)
+        rest = [w for w in new if w not in known]
+        known.update(zip(rest, self.one_by_one(rest), strict=True))
+
+    def learn_plain(self, plain: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        words = np.cumsum([len(WORD.findall(w.lower())) for w in plain])
+        words = np.cumsum([1 if w.isalpha() else len(WORD.findall(w.lower())) for w in plain])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(plain) and len(ends) == words[-1]:
             raw, at = ids.tobytes(), 0
             for w, end in zip(plain, (ends[words - 1] * 4).tolist(), strict=True):
                 self.known[w], at = raw[at:end], end
-        rest = [w for w in new if w not in self.known]
-        self.known.update(zip(rest, self.one_by_one(rest), strict=True))
+        else:
+            self.known.update(zip(plain, self.one_by_one(plain), strict=True))
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """For each text its ids, little-endian unsigned 32-bit."""
