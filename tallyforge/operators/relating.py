@@ -65,8 +65,8 @@ def near_hashes(train: DataFrame, test: DataFrame, most: int, h: str = "h") -> D
     Of most + 1 bands of bits two such hashes share one at least, so an equi-join on (band, bits) misses none. Equal hashes are one row.
     """
     bands = most + 1
-    width = -(-64 // bands)
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("v"), i * width).bitwiseAND((1 << width) - 1).alias("bits")) for i in range(bands) if i * width < 64])
+    edges = [i * 64 // bands for i in range(bands + 1)]
+    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("v"), lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long")).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
     side = lambda t, name: t.groupBy(F.col(h).alias("v")).agg(F.count("*").alias(f"n_{name}")).select(F.col("v").alias(f"{name}_hash"), f"n_{name}", F.explode(cut).alias("c")).select("*", "c.band", "c.bits").drop("c")
     j = side(train, "train").join(side(test, "test"), ["band", "bits"])
     d = F.bit_count(F.col("train_hash").bitwiseXOR(F.col("test_hash")))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.sources.staging import staged
+
 BLOCK = 4000
 
 
@@ -118,6 +120,7 @@ def probe(rows: DataFrame, label: str, vector: str, fold: str, folds: int = 5, r
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    rows = staged(rows.select(*rows.columns), "probe")
     n = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     total = sum(n.values())
     weight = F.when(F.col(label) == 1, total / (2 * n.get(1, 1))).otherwise(total / (2 * n.get(0, 1)))
@@ -126,7 +129,7 @@ def probe(rows: DataFrame, label: str, vector: str, fold: str, folds: int = 5, r
         data = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(data).transform(data).drop("_x").withColumnRenamed("_s", "_x")
     out = None
     for i in range(folds):
-        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=reg, maxIter=50).fit(data.where(F.col(fold) != i))
+        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=reg, maxIter=20).fit(data.where(F.col(fold) != i))
         part = model.transform(data.where(F.col(fold) == i)).withColumn("_p1", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "_w", "rawPrediction", "prediction", "probability").withColumnRenamed("_p1", "probability")
         out = part if out is None else out.unionByName(part)
     return out
@@ -138,7 +141,7 @@ def transfer(train: DataFrame, test: DataFrame, label: str, vector: str, reg: fl
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     data = lambda t: t.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, maxIter=50).fit(data(train))
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=reg, maxIter=20).fit(data(train))
     return model.transform(data(test)).withColumn("_p1", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "prediction", "probability").withColumnRenamed("_p1", "probability")
 
 
