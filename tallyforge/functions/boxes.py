@@ -15,7 +15,7 @@ def is_empty(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """The list in JSON text as doubles; an element that is no number is null; null if it is no list."""
-    return F.transform(F.from_json(text, "array<string>"), lambda x: x.try_cast("double"))
+    return F.transform(F.from_json(text, "array<string>"), lambda x: F.replace(x, F.lit('"'), F.lit("")).try_cast("double"))
 
 
 def error_class(text: Column) -> Column:

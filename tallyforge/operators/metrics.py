@@ -49,7 +49,7 @@ def sweep(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", label
     far = 100.0 * (F.col("all_neg") - F.col("below_neg")) / F.col("all_neg")
     out = run.select(*keys, F.col("score").alias("threshold"), frr.alias("frr"), far.alias("far"))
     if sentinel:
-        top = run.groupBy(*keys).agg((F.max("score") + 1e-6).alias("threshold")).select(*keys, "threshold", F.lit(100.0).alias("frr"), F.lit(0.0).alias("far"))
+        top = run.groupBy(*keys).agg((F.max("score") + 1e-6).alias("threshold")).select(*keys, "threshold", F.lit(100.0).alias("frr"), F.lit(0.0).alias("far")).where("threshold IS NOT NULL")
         out = out.unionByName(top)
     return out
 
