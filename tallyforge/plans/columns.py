@@ -61,7 +61,13 @@ register("p26_shortest_suffix", M + """, p AS (SELECT dataset, path, string_spli
   SELECT dataset, min(k) AS depth FROM d JOIN (SELECT dataset AS ds, count(*) AS total FROM manifest GROUP BY ALL) ON ds = dataset WHERE n = u AND n = total GROUP BY dataset""")(
     lambda s, d: rewriting.distinct_depth(T.manifest(s, d), "path", ["dataset"]))
 
-W0, H0 = F.lit(1000.0), F.lit(700.0)
+
+
+def frame():
+    """Width and height of the boxes' frame."""
+    return F.lit(1000.0), F.lit(700.0)
+
+
 GOOD = BX + ", g AS (SELECT * FROM boxes WHERE kind > 3 AND x2 > x1 AND y2 > y1)"
 
 
@@ -78,7 +84,7 @@ QSQL = "SELECT id, flag, round_even(greatest(0.0, least({x})), 0) AS a, round_ev
 
 
 def quad():
-    return B.quad_box([F.expr(x) for x in QUADX], [F.expr(y) for y in QUADY], W0, H0)
+    return B.quad_box([F.expr(x) for x in QUADX], [F.expr(y) for y in QUADY], *frame())
 
 
 both("g04_quad_box", BX + f"SELECT id, CASE WHEN c - a >= 8 AND d - b >= 8 THEN a END AS left_edge, CASE WHEN c - a >= 8 AND d - b >= 8 THEN d END AS bottom_edge FROM ({QSQL})", T.boxes, "id", lambda: F.get(quad(), F.lit(0)).alias("left_edge"), lambda: F.get(quad(), F.lit(3)).alias("bottom_edge"))
@@ -95,15 +101,20 @@ def corners(sql: str, ok: str) -> str:
     return ", ".join(f"CASE WHEN {ok} THEN {x} END AS {n}" for x, n in zip(("a", "b", "c", "d"), SIDES, strict=True))
 
 
-both("g06_clip_box", GOOD + f"SELECT id, {corners('', 'c > a AND d > b')} FROM (SELECT id, greatest(0.0, floor(x1 - 20.25)) AS a, greatest(0.0, floor(y1 - 20.25)) AS b, least(1000.0, ceil(x2 - 20.25)) AS c, least(700.0, ceil(y2 - 20.25)) AS d FROM g)", good, "id", *four(lambda: B.clipped(F.transform("b", lambda x: x - 20.25), W0, H0)))
-both("g07_sorted_clip", GOOD + f"SELECT id, {corners('', 'c - a >= 8 AND d - b >= 8')} FROM (SELECT id, greatest(0, CAST(trunc(x1 + 0.75) AS INT)) AS a, greatest(0, CAST(trunc(y1 + 0.75) AS INT)) AS b, least(1000, CAST(trunc(x2 + 0.75) AS INT)) AS c, least(700, CAST(trunc(y2 + 0.75) AS INT)) AS d FROM g)", good, "id", *four(lambda: B.sorted_clip(F.array(F.col("x2") + 0.75, F.col("y1") + 0.75, F.col("x1") + 0.75, F.col("y2") + 0.75), W0, H0)))
-both("g08_expanded_box", GOOD + f"SELECT id, {corners('', 'c > a AND d > b')} FROM (SELECT id, greatest(0.0, floor(x1 - (x2 - x1) * 12.5 / 100)) AS a, greatest(0.0, floor(y1 - (y2 - y1) * 12.5 / 100)) AS b, least(1000.0, ceil(x2 + (x2 - x1) * 12.5 / 100)) AS c, least(700.0, ceil(y2 + (y2 - y1) * 12.5 / 100)) AS d FROM g)", good, "id", *four(lambda: B.expanded(F.col("b"), 12.5, W0, H0)))
+both("g06_clip_box", GOOD + f"SELECT id, {corners('', 'c > a AND d > b')} FROM (SELECT id, greatest(0.0, floor(x1 - 20.25)) AS a, greatest(0.0, floor(y1 - 20.25)) AS b, least(1000.0, ceil(x2 - 20.25)) AS c, least(700.0, ceil(y2 - 20.25)) AS d FROM g)", good, "id", *four(lambda: B.clipped(F.transform("b", lambda x: x - 20.25), *frame())))
+both("g07_sorted_clip", GOOD + f"SELECT id, {corners('', 'c - a >= 8 AND d - b >= 8')} FROM (SELECT id, greatest(0, CAST(trunc(x1 + 0.75) AS INT)) AS a, greatest(0, CAST(trunc(y1 + 0.75) AS INT)) AS b, least(1000, CAST(trunc(x2 + 0.75) AS INT)) AS c, least(700, CAST(trunc(y2 + 0.75) AS INT)) AS d FROM g)", good, "id", *four(lambda: B.sorted_clip(F.array(F.col("x2") + 0.75, F.col("y1") + 0.75, F.col("x1") + 0.75, F.col("y2") + 0.75), *frame())))
+both("g08_expanded_box", GOOD + f"SELECT id, {corners('', 'c > a AND d > b')} FROM (SELECT id, greatest(0.0, floor(x1 - (x2 - x1) * 12.5 / 100)) AS a, greatest(0.0, floor(y1 - (y2 - y1) * 12.5 / 100)) AS b, least(1000.0, ceil(x2 + (x2 - x1) * 12.5 / 100)) AS c, least(700.0, ceil(y2 + (y2 - y1) * 12.5 / 100)) AS d FROM g)", good, "id", *four(lambda: B.expanded(F.col("b"), 12.5, *frame())))
 both("g09_interior", GOOD + "SELECT id, x1 + (x2 - x1) * 0.0625 AS left_edge, y1 + (y2 - y1) * 0.0625 AS top_edge, x2 - (x2 - x1) * 0.0625 AS right_edge, y2 - (y2 - y1) * 0.0625 AS bottom_edge FROM g", good, "id", *four(lambda: B.interior(F.col("b"), 0.0625)))
 both("g10_intersection", GOOD + "SELECT id, round(greatest(0.0, least(x2, 400.0) - greatest(x1, 100.0)) * greatest(0.0, least(y2, 300.0) - greatest(y1, 50.0)), 6) AS shared FROM g", good, "id", lambda: F.round(B.intersection(F.col("b"), F.array(*map(F.lit, (100.0, 50.0, 400.0, 300.0)))), 6).alias("shared"))
-PATCH = F.array(*map(F.lit, (200.0, 100.0, 328.0, 228.0)))
+
+
+def patch():
+    return F.array(*map(F.lit, (200.0, 100.0, 328.0, 228.0)))
+
+
 SHARE = "greatest(0.0, least(x2, 328.0) - greatest(x1, 200.0)) * greatest(0.0, least(y2, 228.0) - greatest(y1, 100.0)) / 16384.0"
-both("g11_zone", GOOD + f"SELECT id, CASE WHEN s >= 0.999 THEN 'interior' WHEN s = 0 THEN 'exterior' WHEN s BETWEEN 0.125 AND 0.875 THEN 'edge' END AS zone FROM (SELECT id, {SHARE} AS s FROM g)", good, "id", lambda: B.zone(PATCH, F.col("b"), 0.125).alias("zone"))
-both("g12_worst_overlap", GOOD + f"SELECT id, round(greatest({SHARE}, greatest(0.0, 328.0 - 300.0) * greatest(0.0, 228.0 - 200.0) / 16384.0), 6) AS worst FROM g", good, "id", lambda: F.round(B.worst_overlap(PATCH, F.array(F.col("b"), F.array(*map(F.lit, (300.0, 200.0, 900.0, 600.0))))), 6).alias("worst"))
+both("g11_zone", GOOD + f"SELECT id, CASE WHEN s >= 0.999 THEN 'interior' WHEN s = 0 THEN 'exterior' WHEN s BETWEEN 0.125 AND 0.875 THEN 'edge' END AS zone FROM (SELECT id, {SHARE} AS s FROM g)", good, "id", lambda: B.zone(patch(), F.col("b"), 0.125).alias("zone"))
+both("g12_worst_overlap", GOOD + f"SELECT id, round(greatest({SHARE}, greatest(0.0, 328.0 - 300.0) * greatest(0.0, 228.0 - 200.0) / 16384.0), 6) AS worst FROM g", good, "id", lambda: F.round(B.worst_overlap(patch(), F.array(F.col("b"), F.array(*map(F.lit, (300.0, 200.0, 900.0, 600.0))))), 6).alias("worst"))
 LONG = "greatest(x2 - x1, y2 - y1)"
 
 
@@ -116,7 +127,7 @@ both("g16_scaled_box", GOOD + f"SELECT id, round_even(x1 * s, 2) AS left_edge, r
 both("g17_legible_px", GOOD + f"SELECT id, round(0.04 * least(x2 - x1, y2 - y1) * s, 6) AS text_px, round(0.35 * least(x2 - x1, y2 - y1) * s, 6) AS face_px FROM (SELECT *, least(1.0, 96.0 / {LONG}) AS s FROM g)", good, "id", lambda: F.round(B.legible_px(F.col("b"), scale(), 0.04), 6).alias("text_px"), lambda: F.round(B.legible_px(F.col("b"), scale(), 0.35), 6).alias("face_px"))
 both("g18_fills_frame", GOOD + "SELECT id, x1 <= 0.02 * 1000 AND y1 <= 0.02 * 300 AND x2 >= 0.98 * 500 AND y2 >= 0.98 * 300 AS fills FROM g", good, "id", lambda: B.fills_frame(F.array("x1", "y1", F.col("x2") + 500.0, "y2"), F.lit(1000.0), F.lit(300.0)).alias("fills"))
 both("g19_corner_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 4 > 0 THEN least(l_discount, l_tax, l_quantity / 50, 0.5) END AS confidence FROM lineitem", lambda s, d: T.table(s, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", lambda: B.least_peak([F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50, F.when(F.col("l_orderkey") % 4 > 0, 0.5)]).alias("confidence"))
-both("g20_frame_share", GOOD + "SELECT id, round(greatest((least(x2, 1000.0) - greatest(x1, 0.0)) / 1000, (least(y2, 700.0) - greatest(y1, 0.0)) / 700), 6) AS share FROM g", good, "id", lambda: F.round(B.frame_share(F.col("b"), W0, H0), 6).alias("share"))
+both("g20_frame_share", GOOD + "SELECT id, round(greatest((least(x2, 1000.0) - greatest(x1, 0.0)) / 1000, (least(y2, 700.0) - greatest(y1, 0.0)) / 700), 6) AS share FROM g", good, "id", lambda: F.round(B.frame_share(F.col("b"), *frame()), 6).alias("share"))
 both("g21_letterbox", GOOD + f"SELECT id, w, h, CAST(floor((224 - w) / 2.0) AS INT) AS left_pad, CAST(floor((224 - h) / 2.0) AS INT) AS top_pad FROM (SELECT id, CAST(greatest(1, round_even((x2 - x1) * s, 0)) AS INT) AS w, CAST(greatest(1, round_even((y2 - y1) * s, 0)) AS INT) AS h FROM (SELECT *, least(1.0, 224.0 / {LONG}) AS s FROM g))",
      lambda s, d: good(s, d).withColumn("l", B.letterbox(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), 224)), "id", lambda: F.col("l.w").alias("w"), lambda: F.col("l.h").alias("h"), lambda: F.col("l.left").alias("left_pad"), lambda: F.col("l.top").alias("top_pad"))
 

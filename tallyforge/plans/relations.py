@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import boxes as B
 from tallyforge.functions import paths
+from tallyforge.operators import audit
 from tallyforge.operators import relating as J
 from tallyforge.operators import rewriting, sampling
 from tallyforge.plans import tables as T
@@ -48,6 +49,7 @@ def keys_and_frames(s, d):
     return keys, frames
 
 
+register("s06_required_columns", M + " SELECT dataset, count(*) AS n FROM manifest GROUP BY 1")(lambda s, d: audit.require(T.manifest(s, d), "path", "label", "dataset").groupBy("dataset").agg(F.count("*").alias("n")))
 register("s08_session_frames", M + FRAMES + " SELECT session, dataset, frame FROM keys JOIN frames USING (session)")(lambda s, d: J.session_frames(*keys_and_frames(s, d), "session"))
 register("j15_session_report", M + FRAMES + ", n AS (SELECT session, count(*) AS n FROM frames GROUP BY 1) SELECT count(*) AS n_sessions, count(*) - count(n) AS n_empty, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_frames FROM keys LEFT JOIN n USING (session)")(lambda s, d: J.session_report(*keys_and_frames(s, d), "session"))
 register("s10_embedding_set", V + " SELECT domain, label, count(*) AS n, CAST(min(len(embedding)) AS INT) AS dims FROM samples GROUP BY 1, 2")(lambda s, d: s.read.parquet(K.write(T.samples(s, d).select("vec_id", "domain", "label", "embedding"), fresh_path(s, "set"), partition_by=["domain"])).groupBy(F.col("domain").cast("string").alias("domain"), "label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dims")))
