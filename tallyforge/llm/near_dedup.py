@@ -117,17 +117,28 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, label: the least node of the connected component, for all nodes of edges (a, b). Labels spread over edges and are then looked up themselves, until none changes."""
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
-        low = staged(low, f"{name}-low")
-        if low.where("low <> label").isEmpty():
-            return labels
-        up = low.select(F.col("node").alias("up"), F.col("low").alias("top"))
-        labels = staged(low.join(up, F.col("low") == F.col("up"), "left").select("node", F.coalesce("top", "low").alias("label")), f"{name}-labels")
+    """node, label: one node of the connected component, the same for all its nodes, for all nodes of edges (a, b).
+
+    Each round every node moves to its least neighbour's least neighbour, and the edges are contracted to where their ends
+    have moved; loops and repeats go, so edges shrink from round to round. At the end the moves are followed from the last to the first.
+    """
+    flipped = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    left, moves = staged(flipped(edges), f"{name}-edges"), []
+    while not left.isEmpty():
+        near = left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        near = staged(near, f"{name}-near")
+        far = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        moved = staged(near.join(far, "to").select("node", F.col("further").alias("to")), f"{name}-moves")
+        moves.append(moved)
+        a, b = moved.select(F.col("node").alias("a"), F.col("to").alias("a2")), moved.select(F.col("node").alias("b"), F.col("to").alias("b2"))
+        left = staged(flipped(left.where("a < b").join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))), f"{name}-edges")
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = moves[-1].select("node", F.col("to").alias("label"))
+    for moved in moves[-2::-1]:
+        last = labels.select(F.col("node").alias("to"), "label")
+        labels = staged(moved.join(last, "to", "left").select("node", F.coalesce("label", "to").alias("label")), f"{name}-labels")
+    return labels
 
 
 class Groups:
