@@ -33,7 +33,7 @@ register("w07_ranked_statuses", M + " SELECT event_type, n, CAST(row_number() OV
     lambda s, d: T.manifest(s, d).groupBy("event_type").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).otherwise(2), F.desc("n"), "event_type"))))
 register("w08_keyed_shuffle", M + f" SELECT event_id, row_number() OVER (ORDER BY {O}) - 1 AS place FROM manifest")(lambda s, d: S.placed(T.manifest(s, d), "event_id").select("event_id", "place"))
 register("w09_first_rows", M + " SELECT event_id FROM manifest ORDER BY path LIMIT 100")(lambda s, d: ids(T.manifest(s, d).orderBy("path").limit(100)))
-FAIR = ", n AS (SELECT dataset, label, count(*) AS n FROM manifest GROUP BY 1, 2), cap AS (SELECT max(c) AS cap FROM (SELECT c, (SELECT sum(least(n, c)) FROM n) AS used FROM range(0, 20000) r(c)) WHERE used <= 3000)"
+FAIR = ", n AS (SELECT dataset, label, count(*) AS n FROM manifest GROUP BY 1, 2), cap AS (SELECT least(max(c), (SELECT max(n) FROM n)) AS cap FROM (SELECT c, (SELECT sum(least(n, c)) FROM n) AS used FROM range(0, 20000) r(c)) WHERE used <= 3000)"
 register("w10_fair_cap", M + FAIR + " SELECT cap FROM cap")(lambda s, d: S.fair_cap(T.manifest(s, d).groupBy("dataset", "label").agg(F.count("*").alias("n")), "n", 3000))
 register("w10_map_subset", M + f", k AS (SELECT * FROM manifest WHERE dataset = 'src0'), x AS (SELECT * FROM manifest WHERE dataset <> 'src0'), n AS (SELECT dataset, label, count(*) AS n FROM x GROUP BY 1, 2), cap AS (SELECT max(c) AS cap FROM (SELECT c, (SELECT sum(least(n, c)) FROM n) AS used FROM range(0, 20000) r(c)) WHERE used <= 4000 - (SELECT count(*) FROM k)) SELECT event_id FROM k UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY dataset, label ORDER BY {O}) AS i FROM x), cap WHERE i <= cap")(
     lambda s, d: ids(S.map_subset(T.manifest(s, d), ["dataset", "label"], F.col("dataset") == "src0", 4000, "event_id")))

@@ -64,8 +64,9 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def readable(rows: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
-    """rows with status: ok, unreadable or missing. found: path, is_bad."""
-    return rows.join(found.select(F.col("path").alias(path), "is_bad"), path, "left").withColumn("status", F.when(F.col("is_bad").isNull(), "missing").when(F.col("is_bad"), "unreadable").otherwise("ok")).drop("is_bad")
+    """rows with status: ok, unreadable or missing. found: path, is_bad; a path that is there twice is bad if one of them is."""
+    once = found.groupBy(F.col("path").alias(path)).agg(F.max("is_bad").alias("is_bad"))
+    return rows.join(once, path, "left").withColumn("status", F.when(F.col("is_bad").isNull(), "missing").when(F.col("is_bad"), "unreadable").otherwise("ok")).drop("is_bad")
 
 
 def predictions(rows: DataFrame) -> DataFrame:

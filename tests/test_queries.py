@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyforge.plans import catalog, columns, counting, detection, domains, imaging, relations, sampled  # noqa: F401
@@ -14,7 +15,7 @@ SLOW = ("v09", "v10", "v11", "v12", "v14", "v16")
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.isna(x) if not hasattr(x, "__len__") else False:
         return None
     if isinstance(x, bool) or hasattr(x, "dtype") and x.dtype == bool:
         return bool(x)
