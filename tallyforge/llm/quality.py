@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import held_out, mixed, read, texts
 
 #: Labelled rows (whole texts) that the fit takes, at most about; hash buckets; vector length; passes; rows in a step.
-SAMPLE, BUCKETS, DIM, EPOCHS, BATCH, RATE = 3000, 1 << 17, 8, 4, 32, 4.0
+SAMPLE, BUCKETS, DIM, EPOCHS, BATCH, RATE = 2400, 1 << 17, 8, 4, 32, 4.0
 N_GRAMS = (3, 4)
 #: Distinct words that a worker remembers; then it starts afresh.
 CACHE = 300_000
 #: Texts whose new words are looked up together.
 STEP = 256
+#: Steps of a fit at least: a small sample is passed more often.
+STEPS = 300
 #: Marker tokens: a word equal to the one before, and to one of the REACH before that.
 REACH = 4
 AGAIN, NEAR = "\x01again", "\x01near"
@@ -95,23 +97,30 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     model = Model((rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM, np.zeros(DIM, np.float32), float(np.log(share / (1 - share))))
     if len(set(labels)) < 2:
         return model
-    counted = [Counter(tokens(text)) for text, _ in rows]
-    words = sorted(set().union(*counted))
-    number = {w: i for i, w in enumerate(words)}
-    who, bucket = subwords(words)
-    by_word = np.argsort(who, kind="stable")
-    bucket, n_sub = bucket[by_word], np.bincount(who, minlength=len(words))
+    number: dict[str, int] = {}
+    counted = []  # each document as word numbers and their shares of its tokens
+    for text, _ in rows:
+        own = Counter(tokens(text))
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own))
+        counted.append((ids, np.fromiter(own.values(), np.float32, len(own)) / max(1, own.total())))
+    words, parts = list(number), []
+    for at in range(0, len(words), 20_000):
+        who, bucket = subwords(words[at : at + 20_000])
+        parts.append((np.bincount(who, minlength=min(20_000, len(words) - at)), bucket[np.argsort(who, kind="stable")].astype(np.int32)))
+    del number, words
+    n_sub, bucket = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(2))
     ends = np.cumsum(n_sub)
     docs = []
-    for own in counted:  # each document as buckets and their shares of its mean
-        at = np.fromiter((number[w] for w in own), np.int64, len(own))
+    for at, share_of in counted:  # each document as buckets and their shares of its mean
         k = n_sub[at]
-        share_of = np.repeat(np.fromiter(own.values(), float, len(own)) / max(1, own.total()) / np.maximum(k, 1), k)
         ids = bucket[np.repeat(ends[at] - np.cumsum(k), k) + np.arange(k.sum())]
         distinct, where = np.unique(ids, return_inverse=True)
-        docs.append((distinct, np.bincount(where, share_of, len(distinct)).astype(np.float32)))
-    steps, total_steps = 0, EPOCHS * -(-len(docs) // BATCH)
-    for _ in range(EPOCHS):
+        docs.append((distinct, np.bincount(where, np.repeat(share_of / np.maximum(k, 1), k), len(distinct)).astype(np.float32)))
+    del counted, parts, bucket
+    per_epoch = -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // per_epoch))
+    steps, total_steps = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), BATCH):
             rate = RATE * (1 - steps / total_steps)
