@@ -25,7 +25,7 @@ from tallyforge.llm.shared import read, staged, texts
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct chunks of text whose ids a worker remembers; then it starts afresh.
-CACHE = 700_000
+CACHE = 400_000
 _loaded: dict = {}
 #: White space for str.split(), but not for the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -127,6 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                         part = raw[at : at + 4 * capacity]
                         out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+        enc.known.clear()  # a worker that waits for its next task keeps no cache
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts(docs).mapInArrow(cut, schema)

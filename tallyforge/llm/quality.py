@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import held_out, mixed, read, texts
+from tallyforge.llm.shared import held_out, mixed, read, short_batches, texts
 
 #: Labelled rows (whole texts) that the fit takes, at most about; hash buckets; vector length; passes; rows in a step.
 SAMPLE, BUCKETS, DIM, EPOCHS, BATCH, RATE = 2400, 1 << 17, 8, 4, 32, 4.0
@@ -166,6 +166,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null or empty text has the score of the bias alone. Repeated rows give a row each, an empty table none.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("rest"), F.col(text_col).cast("string").alias("text"))
 

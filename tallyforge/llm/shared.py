@@ -12,14 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a numpy kernel works on at a time; a longer document makes a call of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows of an Arrow batch at most: batches of long texts stay small in the JVM and in Python.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, if it has more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset (one machine, as in tests) a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +48,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator works on; whatever else the table has, under any name, is left out."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import blocks, mixed, powers, prefix_sums, read, shared_dir, span_hashes, staged
+from tallyforge.llm.shared import blocks, mixed, powers, prefix_sums, read, shared_dir, short_batches, span_hashes, staged
 
 SPAN, GRAM = 200, 32
 #: Bytes of a shard; distinct pieces of an anchor beyond which it is dealt to several shards.
-SHARD_BYTES, HOT = 3 << 20, 1500
+SHARD_BYTES, HOT = 1 << 20, 1500
 #: Pieces that a task counts together before it sends them on.
-TOGETHER = 500_000
+TOGETHER = 250_000
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -271,6 +271,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
     a part of their bytes; the digest is of all bytes left. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rest = [c for c in docs.columns if c != text_col]
     # under names of their own, whatever the columns are called
     packed = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in rest]).alias("rest"))
