@@ -150,8 +150,10 @@ def search(indexed: DataFrame, items: list[tuple[int, str]], size: int = WINDOW,
                 row = np.searchsorted(first, start, side="right") - 1
                 order = np.lexsort((start, item, row))
                 item, start, end, row = item[order], start[order], end[order], row[order]
-                # runs of overlapping windows of one item become one stretch
-                new = np.r_[True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (start[1:] > np.maximum.accumulate(end)[:-1])]
+                # runs of overlapping windows of one item in one document become one stretch; the furthest end so far starts anew with each
+                other = (item[1:] != item[:-1]) | (row[1:] != row[:-1])
+                lift = np.cumsum(np.r_[False, other]) * (end.max() + 1)
+                new = np.r_[True, other | (start[1:] > (np.maximum.accumulate(end + lift) - lift)[:-1])]
                 at_new = np.flatnonzero(new)
                 row, item, start, end = row[at_new], item[at_new], start[at_new], np.maximum.reduceat(end, at_new)
                 doc = pa.array(ids, pa.int64()).take(pa.array(row))
