@@ -34,11 +34,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that contain others, so their end tags matter.
 HOLDERS = frozenset("address article aside blockquote body center details dialog div dl fieldset figure footer form head header html main menu nav ol section select button table tbody td th tr ul".split())
+#: Elements that are left out whole.
+WHOLE = frozenset("script style noscript template textarea title iframe object svg math canvas audio video".split())
+#: Of these, the two whose content is code to the end of the page if no end tag comes; of the others the tag alone is left out then.
+CODE = frozenset(("script", "style"))
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
+    re.S,
 )
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in WHOLE}
+#: A slash that an unquoted value ends with is part of the value.
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]*/\Z")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
@@ -61,6 +68,18 @@ def marks_bad(attributes: str) -> bool:
     return bool(BAD_NAMES.intersection(re.split(r"[^a-z0-9]+", names)) or HIDDEN.search(attributes))
 
 
+def end_of(page: str, m: re.Match, name: str, unended: set[str]) -> int:
+    """Where the element of WHOLE ends whose tag is m. unended: names without a further end tag in the page, so that each is looked for once."""
+    attributes = m[3] or ""
+    if m[0].startswith("</") or (attributes.endswith("/") and not UNQUOTED.search(attributes)):
+        return m.end()
+    end = None if name in unended else ENDS[name].search(page, m.end())
+    if end:
+        return end.end()
+    unended.add(name)
+    return len(page) if name in CODE else m.end()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with the region that each stands in."""
     out: list[Block] = []
@@ -74,25 +93,27 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(block)
         return Block(own or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), heading)
 
-    at = 0
-    for m in TAG.finditer(page):
+    at, unended = 0, set()
+    while m := TAG.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             block.parts.append(piece)
             if links:
                 block.linked.append(piece)
         at = m.end()
-        name = m[3]
-        if not name:
+        name = (m[2] or m[4] or "").lower()
+        if name in WHOLE:
+            at = end_of(page, m, name, unended)
+            continue
+        if not m[2]:
             continue
-        name = name.lower()
         if name == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[1] else 1
         elif name == "br":
             block.parts.append(" ")
         elif name in INLINE:
             pass
-        elif m[2]:
+        elif m[1]:
             if name in HOLDERS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -101,7 +122,7 @@ def blocks_of(page: str) -> list[Block]:
             block, links = close(), 0
         else:
             bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            marked = marks_bad(m[4])
+            marked = marks_bad(m[3])
             if name in HOLDERS and name not in VOID:
                 bad = bad or marked or name in BAD_TAGS or (name == "header" and not main)
                 stack.append((name, bad, main or (name in MAIN_TAGS and not bad)))

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from tallyforge.llm import decontamination
+from tallyforge.llm import decontamination, html_text
 
 
 def test_items_that_share_a_passage(spark):
@@ -12,3 +12,18 @@ def test_items_that_share_a_passage(spark):
     assert sorted((r["item_id"], r["start"], r["end"]) for r in found) == [(i, a, a + 10) for i in (1, 2) for a in (0, 990)]
     row = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()[0]
     assert (row["n_words"], row["n_hit"], row["n_items"]) == (1000, 20, 2)
+
+
+def test_left_out_elements_end_where_they_end():
+    page = "<article><p>one</p>{}<p>two</p><p>three</p></article>"
+    for tag in ("<svg/>", "<svg class='i'/>", "<math />", "<iframe src='x'/>", "<video-player src='x'></video-player>", "<title-bar>", "<object-x/>", "<script src='x'/>"):
+        assert html_text.extract(page.format(tag)) == "one\ntwo\nthree", tag
+    for name in ("svg", "object", "video", "audio", "canvas", "iframe", "math", "template", "noscript", "title", "textarea"):
+        assert html_text.extract(page.format(f"<{name} a='b'>")) == "one\ntwo\nthree", name
+        assert html_text.extract(page.format(f"<{name} a='b'>left out<p>too</p></{name} >")) == "one\ntwo\nthree", name
+        assert html_text.extract(page.format(f"<{name.upper()}><b>left out</{name}><{name}>")) == "one\ntwo\nthree", name
+    assert html_text.extract(page.format("<iframe src=http://x/>left out</iframe>")) == "one\ntwo\nthree"
+    # code without an end tag is code to the end; other cases of code are left out whole
+    assert html_text.extract(page.format("<script>code('<p>no</p>')")) == "one"
+    assert html_text.extract(page.format("<script a=\"b>code<p>no</p></script>")) == "one\ntwo\nthree"
+    assert html_text.extract(page.format("<svg>" * 30_000)) == "one\ntwo\nthree"
