@@ -46,8 +46,10 @@ TAG = re.compile(
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in WHOLE}
 #: A slash that an unquoted value ends with is part of the value.
 UNQUOTED = re.compile(r"=\s*[^\s\"'=]*/\Z")
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: Parts of a name that say how a page is laid out, not what an element is: with-sidebar, comments-open.
+STATES = frozenset("with has have no not without is are hide hides hidden show shows open opened closed close enabled disabled on off active inactive allowed left right".split())
 WORDS = re.compile(r"[^\W\d_]+")
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: Thresholds of pass 1: short and long blocks in characters, stop-word share of good and of near-good blocks, share of characters in links.
@@ -57,15 +59,30 @@ SHORT, LONG, STOP_GOOD, STOP_NEAR, LINKS = 70, 200, 0.32, 0.25, 0.33
 class Block:
     __slots__ = ("parts", "linked", "bad", "main", "heading", "text", "label")
 
-    def __init__(self, bad: bool, main: bool, heading: bool):
+    def __init__(self, bad: int, main: bool, heading: bool):
         self.parts, self.linked, self.bad, self.main, self.heading, self.text, self.label = [], [], bad, main, heading, "", ""
 
 
-def marks_bad(attributes: str) -> bool:
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower()
-    return bool(BAD_NAMES.intersection(re.split(r"[^a-z0-9]+", names)) or HIDDEN.search(attributes))
+def marks_bad(tag: str, attributes: str) -> int:
+    """How an element's attributes mark it: 0 not; 1 by a part of a name only (site-footer), which may be wrong; 2 by a whole name, or as hidden.
+
+    Pages as a whole, body and html, are never marked, main only as hidden, and article only by whole names.
+    """
+    if not attributes or tag in ("body", "html") or "=" not in attributes and "hidden" not in attributes.lower():
+        return 0
+    out = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return 2
+        if name.rsplit("-")[-1] in ("class", "id", "role") and tag != "main":
+            for token in value.split():
+                if token in BAD_NAMES:
+                    out = 2
+                elif not out and tag != "article":
+                    parts = re.split(r"[^a-z0-9]+", token)
+                    out = int(bool(BAD_NAMES.intersection(parts)) and not STATES.intersection(parts))
+    return out
 
 
 def end_of(page: str, m: re.Match, name: str, unended: set[str]) -> int:
@@ -80,18 +97,18 @@ def end_of(page: str, m: re.Match, name: str, unended: set[str]) -> int:
     return len(page) if name in CODE else m.end()
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, with the region that each stands in."""
+def blocks_of(page: str, least: int = 1) -> list[Block]:
+    """The page's blocks in order, with the region that each stands in; marks below least don't count."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, main: of each and all above it
-    block, links, own_bad = Block(False, False, False), 0, False
+    stack: list[tuple[str, int, bool]] = []  # tag, bad, main: of each and all above it
+    block, links = Block(0, False, False), 0
 
-    def close(heading: bool = False, own: bool = False) -> Block:
+    def close(heading: bool = False, own: int = 0) -> Block:
         if block.parts:
             block.text = " ".join(html.unescape("".join(block.parts)).split())
             if block.text:
                 out.append(block)
-        return Block(own or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), heading)
+        return Block(max(own, stack[-1][1] if stack else 0), bool(stack and stack[-1][2]), heading)
 
     at, unended = 0, set()
     while m := TAG.search(page, at):
@@ -121,10 +138,13 @@ def blocks_of(page: str) -> list[Block]:
                         break
             block, links = close(), 0
         else:
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            marked = marks_bad(m[3])
+            bad, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            marked = marks_bad(name, m[3])
+            marked = marked if marked >= least else 0
             if name in HOLDERS and name not in VOID:
-                bad = bad or marked or name in BAD_TAGS or (name == "header" and not main)
+                if name in MAIN_TAGS and bad == 1:
+                    bad = 0  # an article is stronger than a part of a name around it
+                bad = max(bad, marked, 2 * (name in BAD_TAGS or (name == "header" and not main)))
                 stack.append((name, bad, main or (name in MAIN_TAGS and not bad)))
                 block = close()
             else:
@@ -137,7 +157,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def first_pass(block: Block, has_main: bool) -> str:
-    """good, bad, short or near."""
+    """good, bad, short, near, or other: refused for its share of stop words alone."""
     if block.bad or (has_main and not block.main):
         return "bad"
     n = len(block.text)
@@ -152,7 +172,16 @@ def first_pass(block: Block, has_main: bool) -> str:
         return "good"
     if share >= STOP_NEAR or block.main:
         return "near"
-    return "bad"
+    return "other"
+
+
+def by_language(found: list[Block]) -> None:
+    """Settles blocks that were refused for their stop words: if they hold more text than those taken, the page is in a language without stop words here, and length and link density decide."""
+    refused = sum(len(b.text) for b in found if b.label == "other")
+    unknown = refused > sum(len(b.text) for b in found if b.label in ("good", "near"))
+    for b in found:
+        if b.label == "other":
+            b.label = ("good" if len(b.text) > LONG else "near") if unknown else "bad"
 
 
 def second_pass(found: list[Block]) -> None:
@@ -187,13 +216,18 @@ def second_pass(found: list[Block]) -> None:
 
 
 def extract(page: str) -> str:
-    """The main text of a page: its good blocks, one to a line."""
-    found = blocks_of(page)
-    has_main = any(b.main and not b.bad for b in found)
-    for b in found:
-        b.label = first_pass(b, has_main)
-    second_pass(found)
-    return "\n".join(b.text for b in found if b.label == "good")
+    """The main text of a page: its good blocks, one to a line. If marks by parts of names leave none, the page is read without them."""
+    for least in (1, 2):
+        found = blocks_of(page, least)
+        has_main = any(b.main and not b.bad for b in found)
+        for b in found:
+            b.label = first_pass(b, has_main)
+        by_language(found)
+        second_pass(found)
+        text = "\n".join(b.text for b in found if b.label == "good")
+        if text or not any(b.bad == 1 for b in found):
+            break
+    return text
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

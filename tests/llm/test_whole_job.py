@@ -27,3 +27,23 @@ def test_left_out_elements_end_where_they_end():
     assert html_text.extract(page.format("<script>code('<p>no</p>')")) == "one"
     assert html_text.extract(page.format("<script a=\"b>code<p>no</p></script>")) == "one\ntwo\nthree"
     assert html_text.extract(page.format("<svg>" * 30_000)) == "one\ntwo\nthree"
+
+
+def test_names_and_languages_keep_the_article():
+    english = "the cat and the dog were in the house with all of the other animals that have been there. " * 4
+    body = f"<p>{english}</p><p>Yes, it was so.</p>"
+    want = english.strip() + "\nYes, it was so."
+    for start, end in (
+        ("<body class='right-sidebar'>", "</body>"), ("<body class='search' style='display:none'><div>", "</div></body>"), ("<article class='post comments-open'>", "</article>"), ("<main class='search-enabled'>", "</main>"),
+        ("<div class='with-sidebar'>", "</div>"), ("<div class='layout-sidebar'>", "</div>"), ("<div class='page-share'><article>", "</article></div>"), ("<div title='a hidden gem'>", "</div>"), ("<html class='no-search'><body>", "</body></html>"),
+    ):
+        assert html_text.extract(start + body + end) == want, start
+    for start, end in (("<div class='site-footer'>", "</div>"), ("<div class='a sidebar'>", "</div>"), ("<div id=ad>", "</div>"), ("<div hidden>", "</div>"), ("<div aria-hidden='true'>", "</div>"), ("<div style='display: none'>", "</div>"), ("<article class='comment'>", "</article>")):
+        assert html_text.extract(f"<div>{body}</div>{start}<p>{english.upper()}</p>{end}") == want, start
+    italian = "Il gatto dorme nella casa grande mentre gli altri animali corrono fuori tra gli alberi verdi e alti. " * 4
+    russian = "Кошка спит в большом доме, пока другие животные бегают снаружи между высокими зелёными деревьями. " * 4
+    for text in (italian, russian):
+        page = f"<div><a href='/'>{text}</a></div><div><p>{text}</p><p>{text[:99]}</p></div><div>© 2020</div>"
+        assert html_text.extract(page).startswith(text.strip() + "\n" + text[:99].strip()) and html_text.extract(page).count(text.strip()) == 1
+    # refused lists on a page of a known language stay out
+    assert html_text.extract(f"<div>{body}</div><div><p>{'red green blue yellow ' * 4}</p></div>") == want
