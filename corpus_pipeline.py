@@ -20,10 +20,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near duplicates; of repeated rows of it one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    """The documents that op4 keeps, one of each group of near duplicates by the least doc_id; of rows equal in doc_id and text one.
+
+    Documents without doc_id, and several texts of one doc_id, each go by their own text.
+    """
+    kept = near_dedup.near_duplicates(docs, keyed=True).where("kept").select(F.col("row_key").alias("_key")).distinct()
+    found = docs.withColumn("_key", near_dedup.row_key()).join(kept, "_key", "left_semi")
+    return found.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def suffix_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

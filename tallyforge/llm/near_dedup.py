@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -99,8 +99,14 @@ def digest(own: np.ndarray) -> int:
     return int(mixed(np.array([a ^ mixed(np.array([b + np.uint64(len(own))]))[0]]))[0].view(np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), bands."""
+def row_key() -> Column:
+    """Never null, and equal for rows that are equal in doc_id and text, null or not."""
+    text = F.coalesce(F.concat(F.lit("text "), F.col("text").cast("string")), F.lit("null"))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(" "), text), 256))
+
+
+def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, node (null for empty sets), bands, and if keyed, row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,9 +117,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 nodes, lists = [None] * len(sets), [None] * len(sets)
                 for k, i in enumerate(some):
                     nodes[i], lists[i] = digest(sets[i]), keys[k]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
+                own = b.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *own.columns[2:]], names=["doc_id", "n_shingles", "node", "bands", "row_key"][: 4 + keyed])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    rows = texts(docs)
+    rows = rows.withColumn("row_key", row_key()) if keyed else rows
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>" + ", row_key binary" * keyed)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -258,14 +267,15 @@ def large_worlds(sets: DataFrame) -> DataFrame:
     return regroup(labels, staged(compare(pairs, "key"), "rest"), "large-rest")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and if keyed, row_key() of each row of docs (doc_id, text).
 
     Documents without words have an empty set and are linked with nothing. Equal sets are linked. Repeated rows each get
     their row; of a doc_id with several texts each row goes by its own text. A null doc_id is never a component's id unless all
     its documents' are null. An empty table gives an empty result; other columns are left out.
     """
-    signed = staged(signatures(docs), "signatures")
+    signed = staged(signatures(docs, keyed), "signatures")
+    key = ["row_key"] if keyed else []
     nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
@@ -284,9 +294,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_node = placed.join(first, "label").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    out = signed.select("doc_id", "n_shingles", "node", *key).join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *key)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import corpus_pipeline
 from tallyforge.llm import decontamination, html_text
 
 
@@ -47,3 +48,14 @@ def test_names_and_languages_keep_the_article():
         assert html_text.extract(page).startswith(text.strip() + "\n" + text[:99].strip()) and html_text.extract(page).count(text.strip()) == 1
     # refused lists on a page of a known language stay out
     assert html_text.extract(f"<div>{body}</div><div><p>{'red green blue yellow ' * 4}</p></div>") == want
+
+
+def test_near_dedup_stage_goes_by_rows(spark):
+    """Null ids and several texts of one id lose nothing but rows equal in id and text, and copies of a lesser id."""
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, None), (None, ""), (5, text[2]), (5, text[3]), (5, text[3]), (6, text[3]), (7, text[4]), (8, text[5]), (8, text[4]), (9, text[6] + " end"), (3, text[6])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _source string")
+    got = corpus_pipeline.near_dedup_filter(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, text[0]), (None, text[1]), (None, None), (None, ""), (5, text[2]), (5, text[3]), (7, text[4]), (8, text[5]), (3, text[6])]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
