@@ -73,13 +73,14 @@ class Index:
 
 
 def scan(q: np.ndarray, q_id: np.ndarray, q_turned: np.ndarray, v: np.ndarray, v_id: np.ndarray, v_turned: np.ndarray, k: int):
-    """(query, vector, score) of each query's k nearest of the chunk, by adaptive scan."""
+    """(query, vector, score) of each query's k nearest of the chunk, by adaptive scan; a vec_id counts once, by its best score."""
     d = v.shape[1]
     q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     out = []
-    first = min(len(v), 8 * k)
+    rows_of_ids = np.sort(np.unique(v_id, return_index=True)[1])  # a row of each vec_id
+    first, repeats = rows_of_ids[: 8 * k], len(rows_of_ids) < len(v_id)
     for i in range(len(q)):
-        near = ((v_turned[:first] - q_turned[i]) ** 2).sum(axis=1)[v_id[:first] != q_id[i]]
+        near = ((v_turned[first] - q_turned[i]) ** 2).sum(axis=1)[v_id[first] != q_id[i]]
         bound = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
         left, partial = np.arange(len(v)), np.zeros(len(v))
         for m in range(0, d, COLUMNS):
@@ -93,7 +94,10 @@ def scan(q: np.ndarray, q_id: np.ndarray, q_turned: np.ndarray, v: np.ndarray, v
                 left, partial = left[keep], partial[keep]
         left = left[v_id[left] != q_id[i]]
         score = (v[left] * q[i]).sum(axis=1) / (v_norm[left] * q_norm[i])
-        best = np.lexsort((v_id[left], -score))[:k]
+        best = np.lexsort((v_id[left], -score))
+        if repeats:
+            best = best[np.sort(np.unique(v_id[left][best], return_index=True)[1])]
+        best = best[:k]
         out.append((np.full(len(best), q_id[i]), v_id[left][best], score[best]))
     return [np.concatenate(x) if x else np.zeros(0) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
 
@@ -105,7 +109,7 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
     candidates. With fewer than k candidates all are returned. Unusable vectors take no part. An empty table gives an empty result.
     """
     spark = table.sparkSession
-    rows = staged(usable(table, id_col, vector_col), "vectors")
+    rows = staged(usable(table, id_col, vector_col).distinct(), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     total = rows.count()
     if not total:
@@ -120,9 +124,10 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
                 yield pdf.assign(list=shared.value.lists(unit(np.stack(pdf["v"].to_numpy())) @ shared.value.rotation).astype("int32"))
 
     placed = staged(rows.mapInPandas(place, "vec_id long, v array<double>, list int"), "lists")
-    counts = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
-    sizes = np.array([counts.get(i, 0) for i in range(len(shared.value.centers))])
-    chunks = np.maximum(1, -(-sizes // CHUNK))
+    per_id = placed.groupBy("list", "vec_id").agg(F.count("*").alias("n"))
+    counts = {r["list"]: (r["ids"], r["n"]) for r in per_id.groupBy("list").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).collect()}  # a row per list
+    sizes, n_rows = np.array([counts.get(i, (0, 0)) for i in range(len(shared.value.centers))]).T
+    chunks = np.maximum(1, -(-n_rows // CHUNK))
 
     def ask(batches):
         for pdf in batches:
@@ -130,7 +135,7 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
                 continue
             turned = unit(np.stack(pdf["v"].to_numpy())) @ shared.value.rotation
             order = np.argsort(-(turned @ shared.value.centers.T), axis=1, kind="stable")
-            # at least the probes, and as many more as it takes to see 10 k vectors
+            # at least the probes, and as many more as it takes to see 10 k vec_ids
             enough = (np.cumsum(sizes[order], axis=1) - sizes[order]) < 10 * k
             enough[:, : shared.value.probes] = True
             for vec_id, v, lists, use in zip(pdf["vec_id"], pdf["v"], order, enough, strict=True):

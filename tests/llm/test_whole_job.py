@@ -1,7 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallyforge.llm import decontamination, html_text
+from tallyforge.llm import decontamination, html_text, nearest
 
 
 def test_items_that_share_a_passage(spark):
@@ -59,3 +62,13 @@ def test_near_dedup_stage_goes_by_rows(spark):
     assert got.columns == docs.columns
     want = [(None, text[0]), (None, text[1]), (None, None), (None, ""), (5, text[2]), (5, text[3]), (7, text[4]), (8, text[5]), (3, text[6])]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_repeated_vectors_count_once(spark):
+    """A vec_id repeated more than k times, as it is or with other vectors, takes one place."""
+    rng = np.random.default_rng(4)
+    near = np.array([1.0, 0, 0, 0])
+    rows = [(0, near)] + [(1, near + 0.001)] * 40 + [(2, near + 0.001 * rng.normal(size=4)) for _ in range(40)] + [(10 + i, near + 0.01 * (i + 1) * np.array([0, 1.0, 0, 0])) for i in range(8)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in nearest.search(table, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert sorted(got[:2]) == [1, 2] and got[2:] == [10, 11, 12]
