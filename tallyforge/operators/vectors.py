@@ -31,17 +31,31 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
             return empty
+        # of equal vectors only those that can be among the k: the k least ids of each group, and of these the 2 k least
         b = b.sort_values("id")
+        same = b["v"].map(lambda v: (v + 0.0).tobytes())
+        b = b[b.groupby([same, b["g"]], sort=False, dropna=False).cumcount() < k]
+        b = b[b.groupby(same.loc[b.index], sort=False).cumcount() < 2 * k]
+        b_ids = b["id"].to_numpy()
         xa, xb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         rough = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * xa @ xb.T
         rough[a["g"].to_numpy()[:, None] == b["g"].to_numpy()[None, :]] = np.inf
-        take = min(len(b), k + 16)  # the product's rounding; distances are then summed term by term
+        take = min(len(b), k + 16)
         near = np.argpartition(rough, take - 1, axis=1)[:, :take]
         d = ((xb[near] - xa[:, None, :]) ** 2).sum(2)
         d[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
-        ids = b["id"].to_numpy()[near]
+        ids = b_ids[near]
         order = np.lexsort((ids, d), axis=1)[:, :k]
         d, ids = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+        # the product's rounding: where more rows than were taken may be as near as the k-th, all of them are summed term by term
+        kth = np.partition(rough, min(len(b), k) - 1, axis=1)[:, min(len(b), k) - 1]
+        margin = 8 * (xa.shape[1] + 4) * np.finfo(float).eps * ((xa * xa).sum(1) + (xb * xb).sum(1).max())
+        close = (rough <= (kth + margin)[:, None]) & np.isfinite(rough)
+        for i in np.flatnonzero(close.sum(1) > take):
+            own = np.flatnonzero(close[i])
+            exact = ((xb[own] - xa[i]) ** 2).sum(1)
+            best = np.lexsort((b_ids[own], exact))[: d.shape[1]]
+            d[i], ids[i] = exact[best], b_ids[own][best]
         out = pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), d.shape[1]), "neighbour_id": ids.reshape(-1), "distance": np.sqrt(d).reshape(-1)})
         return out[np.isfinite(out["distance"])]
 
