@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.sharding import slots
-from tallyforge.llm.shared import read, staged, texts
+from tallyforge.llm.shared import blocks, prefix_sums, read, span_hashes, staged, texts, word_spans, word_table
 
 CAPACITY, END_ID = 2048, 0
-#: Distinct chunks of text whose ids a worker remembers; then it starts afresh.
-CACHE = 400_000
+#: Chunks of text whose ids a worker remembers in each of the two generations of its cache.
+CACHE = 200_000
 _loaded: dict = {}
-#: White space for str.split(), but not for the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Bytes of chunks: all but ASCII white space. Other white space stands inside chunks, which then go through the whole tokenizer.
+CHUNK = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
 def default_tokenizer() -> str:
@@ -37,72 +37,123 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Chunks whose words this pattern counts as the tokenizer does, lower-cased; all others are encoded one by one.
+#: Chunks whose words the next pattern splits as the tokenizer does, lower-cased; all others go through the whole tokenizer.
 PLAIN = re.compile("[!-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u012f\u0131-\u024f\u2010-\u2027\u20ac]+")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 characters for themselves, the other bytes in order from U+0100."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+#: Marks that are words of their own after a word; an apostrophe isn't always.
+MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 class ChunkEncoder:
-    """Ids of texts by a tokenizer that drops white space and never joins across it: each chunk between white space is encoded once.
+    """Ids of texts by a tokenizer that drops white space and never joins across it: chunks between white space are encoded, each new one once.
 
-    New chunks are encoded together, as one text; the ids that end a word then tell where each chunk's ids end.
+    A block of texts is cut into chunks by numpy, equal chunks (by 64-bit hashes) are looked up together, and the ids of all are gathered at once.
+    Chunks are kept in two generations. When the young one has `size` of them it becomes the old one, and what nobody has asked the old one
+    for since is forgotten: frequent chunks stay, rare ones go, in bounded memory. New plain chunks are split into words here, and
+    the distinct words go to the tokenizer's model together, as one text; the id that ends a word tells where the next begins.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.size, self.young, self.old = Tokenizer.from_file(path), size, {}, {}
+        self.by_words = Tokenizer(self.tokenizer.model)
+        self.by_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def one_by_one(self, rows: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of new chunks. An ASCII word with one mark at its end is that word and that mark, in lower case: those are learned once for all their forms."""
-        known, lows = self.known, {}
-        for w in new:
-            if w.isascii() and "<|" not in w:
-                low = w.lower()
-                word = low[:-1]
-                lows[w] = (word, low[-1]) if word.isalpha() and not low[-1].isalnum() and low[-1] != "'" else (low,)
-        self.learn_plain(list({p for parts in lows.values() for p in parts if p not in known}))
-        for w, parts in lows.items():
-            known[w] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
-        rest = [w for w in new if w not in lows and PLAIN.fullmatch(w) and "<|" not in w]
-        self.learn_plain(rest)
-        rest = [w for w in new if w not in known]
-        known.update(zip(rest, self.one_by_one(rest), strict=True))
-
-    def learn_plain(self, plain: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        words = np.cumsum([1 if w.isalpha() else len(WORD.findall(w.lower())) for w in plain])
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(plain) and len(ends) == words[-1]:
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, (ends[words - 1] * 4).tolist(), strict=True):
-                self.known[w], at = raw[at:end], end
-        else:
-            self.known.update(zip(plain, self.one_by_one(plain), strict=True))
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        """For each text its ids, little-endian unsigned 32-bit."""
-        split = [t.split() for t in rows]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 5_000):
-            self.learn(new[i : i + 5_000])
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i, t in enumerate(rows):
-            if ODD_SPACE.search(t):
-                out[i] = self.one_by_one([t])[0]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct lower-case words."""
+        letters = [w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS) for w in words]
+        ids = np.array(self.by_words.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):  # not with this vocabulary: each word for itself then
+            return {w: np.array([t.id for t in self.tokenizer.model.tokenize(x)], "<u4").tobytes() for w, x in zip(words, letters, strict=True)}
+        raw = ids.tobytes()
+        return {w: raw[a:z] for w, a, z in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of new chunks. An ASCII word with one mark at its end is that word and that mark."""
+        out: list[bytes] = [b""] * len(new)
+        one, low_one, two, low_two = [], [], [], []  # places of chunks that are a word, or a word and a mark, and those words
+        known: dict[str, bytes] = dict.fromkeys(MARKS, b"")
+        rest: dict[int, list[str]] = {}
+        for i, chunk in enumerate(new):
+            low = chunk.lower()
+            if low.isalpha() and (low.isascii() or PLAIN.fullmatch(chunk)):
+                one.append(i)
+                low_one.append(low)
+            elif "<|" in chunk or not PLAIN.fullmatch(chunk):
+                out[i] = self.whole(chunk)
+            elif low[-1] in MARKS and low[:-1].isalpha():
+                two.append(i)
+                low_two.append(low)
+            else:
+                rest[i] = WORD.findall(low)
+        known.update(dict.fromkeys(low_one, b""))
+        known.update(dict.fromkeys([w[:-1] for w in low_two], b""))
+        known.update(dict.fromkeys([w for own in rest.values() for w in own], b""))
+        words = list(known)
+        for i in range(0, len(words), 20_000):
+            known.update(self.of_words(words[i : i + 20_000]))
+        for i, w in zip(one, low_one, strict=True):
+            out[i] = known[w]
+        for i, w in zip(two, low_two, strict=True):
+            out[i] = known[w[:-1]] + known[w[-1]]
+        for i, own in rest.items():
+            out[i] = b"".join(map(known.__getitem__, own))
         return out
 
+    def of_chunks(self, keys: list[int], chunk_at) -> list[bytes]:
+        """The ids of distinct chunks, by their hashes; chunk_at(i) is the i-th chunk's text."""
+        young = self.young
+        found = list(map(young.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = []
+            for i in missing:
+                x = self.old.get(keys[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    young[keys[i]] = found[i] = x
+            if new:
+                for i, ids in zip(new, self.learn([chunk_at(i) for i in new]), strict=True):
+                    young[keys[i]] = found[i] = ids
+            if len(young) > self.size:
+                self.old, self.young = young, {}
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end."""
+        start, end, row = word_spans(data, offsets, CHUNK)
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        keys, first, which = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        raw, a, z = data.tobytes(), start[first].tolist(), end[first].tolist()
+        ids = self.of_chunks(keys.tolist(), lambda i: raw[a[i] : z[i]].decode("utf-8", "replace"))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        out_end = np.cumsum(n)
+        out = flat[np.repeat(at[which] - (out_end - n), n) + np.arange(out_end[-1])]
+        return out, np.r_[0, out_end][np.searchsorted(row, np.arange(len(offsets)))]
+
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _loaded:
@@ -116,18 +167,27 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+        enc = encoder(path)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1)
-            for first in range(0, len(ids), 256):
-                out = []
-                for doc, raw in zip(ids[first : first + 256], enc.encode([t or "" for t in rows.slice(first, 256).to_pylist()]), strict=True):
-                    raw = raw + end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if with_ids else [])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
-        enc.known.clear()  # a worker that waits for its next task keeps no cache
+            for first, end, data, offsets in blocks(batch.column(1)):
+                flat, at = enc.encode(data, offsets)
+                # the end id after each text's ids
+                size = np.diff(at) + 1
+                text_end = np.cumsum(size)
+                text_start = text_end - size
+                full = np.full(int(text_end[-1]), END_ID, "<u4")
+                full[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size - 1)] = flat
+                n = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                a, view = text_start[doc] + start, memoryview(full).cast("B")
+                crc = [zlib.crc32(view[4 * x : 4 * (x + k)]) for x, k in zip(a.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(first, end - first).take(pa.array(doc)), piece.astype(np.int32), start, length, crc]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(full.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts(docs).mapInArrow(cut, schema)
