@@ -1,16 +1,18 @@
 """Removal of repeated passages by suffix arrays: every byte under a SPAN-byte string that also starts elsewhere.
 
-1. Texts get a row number in a table bucketed by it, so that later steps bring small requests to texts and never shuffle texts.
+1. Texts get a row number and go to a table bucketed by it, so that later steps bring small requests to texts and shuffle texts no more.
 2. Each SPAN-byte window chooses an anchor, its least-hashed GRAM-byte string; equal windows choose equal anchors. A run of windows with
    one anchor is a piece. Equal pieces are counted together (before they are shuffled, too); a piece whose anchor occurs nowhere else
    holds no repeated window. Of every other distinct piece the bytes of one occurrence are fetched.
-3. Pieces are dealt to shards by anchor; an anchor with very many distinct pieces is dealt to several shards by content.
+3. Pieces are dealt to shards by anchor; an anchor with very many distinct pieces is dealt to several shards by content, and one that a
+   sample of rows shows to be frequent is dealt by content from the start, so that no task gets all its pieces.
    Each shard builds the suffix array of its pieces by Larsson-Sadakane refinement (ranks by 8 bytes, then doubling, only groups
    that aren't sorted yet), and Kasai's common prefixes between neighbours: a window is repeated if it shares SPAN bytes
    with a neighbour, or its piece occurs twice.
-4. Shards that share an anchor are merged: each gives its distinct windows once, in sorted runs, and a binary search in the
-   runs of the others finds windows that start in two shards.
-5. The covered stretches go back to all occurrences and, by row number, to the texts.
+4. Shards that share an anchor are merged: each gives its distinct windows once, in sorted runs cut into ranges (a row for each shard
+   and range), and a binary search in the union of the runs finds windows that start in two shards.
+5. Each piece's covered stretches are merged into one row and go back to all its occurrences (those of frequent pieces over several
+   tasks) and, by row number, to the texts.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from tallyforge.llm.shared import blocks, mixed, powers, prefix_sums, read, shar
 SPAN, GRAM = 200, 32
 #: Bytes of a shard; distinct pieces of an anchor beyond which it is dealt to several shards.
 SHARD_BYTES, HOT = 1 << 20, 1500
+#: One of so many rows is looked at for frequent anchors; at most so many anchors or pieces are listed as frequent. No result depends on either list.
+SAMPLED, LISTED = 32, 1000
+#: Windows of a range in the merge of shards.
+RANGE = 200_000
 #: Pieces that a task counts together before it sends them on.
 TOGETHER = 250_000
 LOW = np.uint64((1 << 24) - 1)
@@ -164,8 +170,18 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, word: np.ndarray, ends:
     return out
 
 
-def shard(anchor: np.ndarray, content: np.ndarray, k: np.ndarray, windows: np.ndarray, raw: list[bytes], hot: np.ndarray) -> pd.DataFrame:
-    """What one shard finds: per piece the runs of repeated windows (spans: pairs of first and end, 16 bits each); of hot anchors each distinct window once (at, d1, d2)."""
+def runs_of(piece: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of neighbouring windows, as (first, end) rows of 16 bits, and the piece of each; piece and at are sorted and distinct."""
+    new = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    end = np.r_[new[1:], len(at)] - 1 if len(new) else new
+    return np.stack([at[new], at[end] + 1], axis=1).astype("<u2"), piece[new]
+
+
+def shard(anchor: np.ndarray, content: np.ndarray, k: np.ndarray, windows: np.ndarray, raw: list[bytes], hot: np.ndarray, ranges: int) -> pd.DataFrame:
+    """What one shard finds: per piece the runs of repeated windows (spans), with range -1.
+
+    Of hot anchors also each distinct window once, a row for each range of d1 that has any: anchors, contents, at, d1 and d2 as sorted arrays.
+    """
     x = np.frombuffer(b"".join(raw), np.uint8)
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     end = np.cumsum(size)
@@ -178,55 +194,76 @@ def shard(anchor: np.ndarray, content: np.ndarray, k: np.ndarray, windows: np.nd
     in_order = prefix[order] >= SPAN  # shares a window with the one before
     group = np.cumsum(~in_order)[rank[place]]
     _, which = np.unique(group, return_inverse=True)
-    total = np.bincount(which, k[piece])
-    repeated = total[which] > 1
+    repeated = np.bincount(which, k[piece])[which] > 1
     offset = place - first[piece]
-    at = np.flatnonzero(repeated & np.r_[True, ~repeated[:-1] | (piece[1:] != piece[:-1])])
-    stop = np.flatnonzero(repeated & np.r_[~repeated[1:] | (piece[1:] != piece[:-1]), True]) + 1
-    own = np.stack([offset[at], offset[stop - 1] + 1], axis=1).astype("<u2")
-    cut = np.searchsorted(piece[at], np.arange(len(raw) + 1))
-    has = np.flatnonzero(np.diff(cut))
-    out = pd.DataFrame({"anchor": anchor[has], "content": content[has], "spans": [own[cut[i] : cut[i + 1]].tobytes() for i in has], "at": -1, "d1": 0, "d2": 0})
+    spans, of = runs_of(piece[repeated], offset[repeated])
+    has, cut_at = np.unique(of, return_index=True)
+    cut_at = np.r_[cut_at, len(of)]
+    out = {"anchor": anchor[has], "content": content[has], "spans": [spans[a:z].tobytes() for a, z in zip(cut_at[:-1], cut_at[1:], strict=True)], "range": -1}
+    out = pd.DataFrame(out | {c: b"" for c in RUN})
     if hot.any():
         _, one = np.unique(which, return_index=True)
         one = one[hot[piece[one]]]
-        one = one[np.argsort(rank[place[one]])]  # a run in suffix order
         sums, s = prefix_sums(x), place[one]
         d1 = span_hashes(sums, s, s + SPAN)
         a = np.lib.stride_tricks.as_strided(word, (len(word), 1), (8, 8))[:, 0] if len(word) else word
         d2 = np.zeros(len(s), np.uint64)
         for step in range(0, SPAN, 8):
             d2 = mixed(d2 * np.uint64(0xD1342543DE82EF95) + a[s + step])
-        found = pd.DataFrame({"anchor": anchor[piece[one]], "content": content[piece[one]], "spans": b"", "at": offset[one], "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
-        out = pd.concat([out, found], ignore_index=True)
+        run = np.lexsort((d2, d1))
+        columns = {"anchors": anchor[piece[one]], "contents": content[piece[one]], "at": offset[one].astype("<i4"), "d1": d1.view(np.int64), "d2": d2.view(np.int64)}
+        columns = {c: v[run] for c, v in columns.items()}
+        which_range = (d1[run] >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        some, edge = np.unique(which_range, return_index=True)
+        edge = np.r_[edge, len(run)]
+        found = {c: [v[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)] for c, v in columns.items()}
+        out = pd.concat([out, pd.DataFrame({"anchor": 0, "content": 0, "spans": b"", "range": some} | found)], ignore_index=True)
     return out
 
 
-FOUND = "anchor long, content long, spans binary, at int, d1 long, d2 long"
+RUN = ("anchors", "contents", "at", "d1", "d2")
+FOUND = "anchor long, content long, spans binary, range long, " + ", ".join(f"{c} binary" for c in RUN)
 
 
-def merged(windows: pd.DataFrame) -> pd.DataFrame:
-    """Windows that two shards have: a binary search of each shard's sorted run in the union of all runs."""
-    key = np.empty(len(windows), [("d1", "<i8"), ("d2", "<i8")])
+def merged(runs: pd.DataFrame) -> pd.DataFrame:
+    """Windows that two shards have, as spans of each piece: a binary search of each shard's sorted run in the union of all runs of the range."""
+    windows = {c: np.frombuffer(b"".join(runs[c]), "<i4" if c == "at" else "<i8") for c in RUN}
+    key = np.empty(len(windows["d1"]), [("d1", "<i8"), ("d2", "<i8")])
     key["d1"], key["d2"] = windows["d1"], windows["d2"]
     union = np.sort(key)
-    n = np.searchsorted(union, key, side="right") - np.searchsorted(union, key)
-    own = windows[n > 1]
-    spans = [np.array([a, a + 1], "<u2").tobytes() for a in own["at"]]
-    return pd.DataFrame({"anchor": own["anchor"], "content": own["content"], "spans": spans})
+    twice = np.flatnonzero(np.searchsorted(union, key, side="right") - np.searchsorted(union, key) > 1)
+    own = {c: windows[c][twice].astype(np.int64) for c in ("anchors", "contents", "at")}
+    order = np.lexsort((own["at"], own["contents"], own["anchors"]))
+    anchor, content, at = (own[c][order] for c in ("anchors", "contents", "at"))
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])] if len(at) else np.zeros(0, bool)
+    spans, of = runs_of(np.cumsum(new), at)
+    cut_at = np.r_[np.searchsorted(of, np.arange(1, new.sum() + 1)), len(of)]
+    return pd.DataFrame({"anchor": anchor[new], "content": content[new], "spans": [spans[a:z].tobytes() for a, z in zip(cut_at[:-1], cut_at[1:], strict=True)]})
+
+
+def frequent_anchors(table: DataFrame) -> list[int]:
+    """Anchors with many distinct pieces in a sample of rows, the most frequent LISTED at most. They are only dealt out differently."""
+    sample = occurrences(table.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0), True)
+    kinds = sample.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("n"))
+    return [r["anchor"] for r in kinds.where(F.col("n") > max(1, HOT // SAMPLED)).orderBy(F.desc("n"), "anchor").limit(LISTED).collect()]
 
 
 def repeated_pieces(table: DataFrame, n_buckets: int) -> DataFrame:
-    """anchor, content, spans of each distinct piece with repeated windows."""
-    counted = occurrences(table, True).repartition("anchor").groupBy("anchor", "content").agg(F.sum("k").alias("k"), F.min(F.struct("row", "at")).alias("one"))
-    of_anchor = W.partitionBy("anchor")
-    chosen = counted.withColumn("total", F.sum("k").over(of_anchor)).withColumn("kinds", F.count("*").over(of_anchor)).where("total > 1")
-    chosen = staged(chosen.select("anchor", "content", "k", "kinds", F.col("one.row").alias("row"), F.col("one.at").alias("at")), "chosen")
-    size = chosen.agg(F.sum(F.expr("at & 65535") + SPAN - 1).alias("n")).collect()[0]["n"] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    hot = F.col("kinds") > HOT
+    """anchor, content, k (its occurrences), spans (arrays of runs of windows) of each distinct piece with repeated windows."""
+    frequent = frequent_anchors(table)
+    listed = F.col("anchor").isin(frequent) if frequent else F.lit(False)
+    # pieces of an anchor meet in one task, those of a frequent anchor in several
+    salted = occurrences(table, True).withColumn("salt", F.when(listed, F.col("content")).otherwise(F.lit(0)))
+    counted = salted.repartition("anchor", "salt").groupBy("anchor", "salt", "content").agg(F.sum("k").alias("k"), F.min(F.struct("row", "at")).alias("one"))
+    of_anchor = W.partitionBy("anchor", "salt")
+    chosen = counted.withColumn("total", F.sum("k").over(of_anchor)).withColumn("kinds", F.count("*").over(of_anchor)).where(listed | (F.col("total") > 1))
+    hot = listed | (F.col("kinds") > HOT)
+    chosen = staged(chosen.select("anchor", "content", "k", hot.alias("hot"), F.col("one.row").alias("row"), F.col("one.at").alias("at")), "chosen")
+    windows = F.expr("at & 65535")
+    sizes = chosen.agg(F.sum(windows + SPAN - 1).alias("bytes"), F.sum(F.when(F.col("hot"), windows)).alias("windows")).collect()[0]
+    shards, ranges = max(1, -(-(sizes["bytes"] or 0) // SHARD_BYTES)), max(1, -(-(sizes["windows"] or 0) // RANGE))
     # a hot anchor's pieces are dealt over all the shards, by content
-    dealt = chosen.withColumn("shard", F.pmod(F.when(hot, F.xxhash64("content")).otherwise(F.xxhash64("anchor")), F.lit(shards))).withColumn("hot", hot)
+    dealt = chosen.withColumn("shard", F.pmod(F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.xxhash64("anchor")), F.lit(shards)))
     wanted = dealt.repartition(n_buckets, "row").groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "k", "at", "shard", "hot")).alias("list"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +280,29 @@ def repeated_pieces(table: DataFrame, n_buckets: int) -> DataFrame:
     brought = table.join(wanted, "row").select("text", "list").mapInArrow(fetch, "shard long, hot boolean, anchor long, content long, k long, windows int, raw binary")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return shard(*(pdf[c].to_numpy() for c in ("anchor", "content", "k")), pdf["windows"].to_numpy(np.int64), list(pdf["raw"]), pdf["hot"].to_numpy(bool))
+        return shard(*(pdf[c].to_numpy() for c in ("anchor", "content", "k")), pdf["windows"].to_numpy(np.int64), list(pdf["raw"]), pdf["hot"].to_numpy(bool), ranges)
 
     found = staged(brought.groupBy("shard").applyInPandas(build, FOUND), "found")
-    windows = found.where("at >= 0")
-    inside = found.where("at < 0").select("anchor", "content", "spans")
-    parts = max(1, -(-windows.count() // 200_000))
-    across = windows.withColumn("part", F.pmod("d1", F.lit(parts))).groupBy("part").applyInPandas(merged, "anchor long, content long, spans binary")
-    return inside.unionByName(across)
+    inside = found.where("range < 0").select("anchor", "content", "spans")
+    across = found.where("range >= 0").groupBy("range").applyInPandas(merged, "anchor long, content long, spans binary")
+    # at most a row per window of the piece, so lists are short
+    spans = inside.unionByName(across).groupBy("anchor", "content").agg(F.collect_list("spans").alias("spans"))
+    return staged(spans.join(chosen.select("anchor", "content", "k"), ["anchor", "content"]), "repeated")
+
+
+def with_spans(places: DataFrame, found: DataFrame, salts: int) -> DataFrame:
+    """row, start, spans of each occurrence of the found pieces; occurrences of frequent pieces are dealt over salts tasks, where a copy of the piece's row waits.
+
+    Pieces with over a LISTED-th of all occurrences are listed: there are fewer than LISTED of them.
+    """
+    total = found.agg(F.sum("k").alias("n")).collect()[0]["n"] or 0
+    often = [r["content"] for r in found.where(F.col("k") > max(salts, total // LISTED)).select("content").collect()]
+    listed = F.col("content").isin(often) if often else F.lit(False)
+    places = places.withColumn("salt", F.when(listed, F.pmod(F.xxhash64("row", "at"), F.lit(salts))).otherwise(F.lit(0)).cast("long"))
+    zero = F.lit(0).cast("long")
+    copies = F.when(listed, F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))
+    found = found.select("anchor", "content", "spans", F.explode(copies).alias("salt"))
+    return places.join(found, ["anchor", "content", "salt"]).select("row", F.shiftright("at", 16).alias("start"), "spans")
 
 
 def cut(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -264,7 +316,7 @@ def cut(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """docs' other columns with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each row of docs.
+    """docs' other columns with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each row of docs; columns of docs with one of these names give way.
 
     Every byte under a SPAN-byte string that also starts elsewhere, in any row or the same, goes; all are judged on the input. Null and
     empty texts have no bytes. Repeated rows are repeats of each other. kept_text leaves out the rests of characters that lost
@@ -272,14 +324,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
     """
     spark = docs.sparkSession
     short_batches(spark)
-    rest = [c for c in docs.columns if c != text_col]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
+    rest = [c for c in docs.columns if c not in (text_col, *names)]
     # under names of their own, whatever the columns are called
     packed = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in rest]).alias("rest"))
     name, n_buckets = f"texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed.write.bucketBy(n_buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    packed.repartition(n_buckets, "row").write.bucketBy(n_buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     found = repeated_pieces(table, n_buckets)
-    places = occurrences(table, False).join(found, ["anchor", "content"]).select("row", F.shiftright("at", 16).alias("start"), "spans")
+    places = with_spans(occurrences(table, False), found, n_buckets)
     lists = places.repartition(n_buckets, "row").groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("list"))
     joined = table.join(lists, "row", "left").select("rest", "text", "list")
 
@@ -290,16 +343,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
                 raw, own = b.column(1)[i].as_buffer().to_pybytes(), b.column(2)[i].as_py()
                 runs = np.zeros((0, 2), np.int64)
                 if own:
-                    spans = np.concatenate([np.frombuffer(x["spans"], "<u2").astype(np.int64).reshape(-1, 2) + x["start"] for x in own])
+                    spans = np.concatenate([np.frombuffer(b"".join(x["spans"]), "<u2").astype(np.int64).reshape(-1, 2) + x["start"] for x in own])
                     runs = cut(len(raw), spans[:, 0], spans[:, 1] + SPAN - 1)
                 kept = b"".join(raw[a:z] for a, z in zip(np.r_[0, runs[:, 1]].tolist(), np.r_[runs[:, 0], len(raw)].tolist(), strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=["rest", *names])
 
     schema = f"rest {docs.select(F.struct(*[F.col(c) for c in rest]).alias('rest')).schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(finish, schema).select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)
+    return joined.mapInArrow(finish, schema).select("rest.*", *names)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,9 +94,12 @@ def test_chunk_encoder_is_the_tokenizer():
                 assert got[at[k] : at[k + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_suffix_dedup(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "sampled", "listed"), [(1500, 32, 1000), (2, 32, 1000), (2, 1, 1000), (2, 1, 3)])
+def test_suffix_dedup(spark, hot, sampled, listed, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", sampled)
+    monkeypatch.setattr(suffix_dedup, "LISTED", listed)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 1500 if hot == 2 else 200_000)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 5000)
     rows = corpus()
     seen = defaultdict(int)
@@ -113,7 +116,8 @@ def test_suffix_dedup(spark, hot, monkeypatch):
                 gone[j : j + 200] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((-1 if i is None else i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-    out = suffix_dedup.remove_repeats(docs(spark), with_text=True)
+    clash = F.lit("x")
+    out = suffix_dedup.remove_repeats(docs(spark).withColumns({"kept_text": clash, "n_bytes": clash, "list": clash, "spans": clash}), with_text=True)
     assert [c for c in ("node", "row", "score") if c not in out.columns] == []
     got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["kept_text"]) for r in out.collect()]
     assert sorted(got) == sorted(want) and sum(r[2] for r in got) > 1000
