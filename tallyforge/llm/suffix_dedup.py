@@ -11,8 +11,8 @@
    with a neighbour, or its piece occurs twice.
 4. Shards that share an anchor are merged: each gives its distinct windows once, in sorted runs cut into ranges (a row for each shard
    and range), and a binary search in the union of the runs finds windows that start in two shards.
-5. Each piece's covered stretches are merged into one row and go back to all its occurrences (those of frequent pieces over several
-   tasks) and, by row number, to the texts.
+5. Each piece's covered stretches are merged into one row. A chunk of texts asks once for each of its distinct pieces (what asks for
+   frequent ones is dealt over several tasks); its answers come back together as one row for each text, and go to the texts by row number.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ SHARD_BYTES, HOT = 1 << 20, 1500
 SAMPLED, LISTED = 32, 1000
 #: Windows of a range in the merge of shards.
 RANGE = 200_000
-#: Pieces that a task counts together before it sends them on.
+#: Pieces of a chunk of texts, which a task sorts together before it sends them on.
 TOGETHER = 250_000
 LOW = np.uint64((1 << 24) - 1)
 
@@ -70,21 +71,29 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[new], h[anchor[new]].view(np.int64), span_hashes(sums, new, end + SPAN - 1).view(np.int64), new - offsets[row[new]], end - new
 
 
-def occurrences(table: DataFrame, together: bool) -> DataFrame:
-    """anchor, content, row, at (start << 16 | windows) of each piece; together: equal pieces of a task once, with their number k."""
+def occurrences(table: DataFrame, where: bool) -> DataFrame:
+    """Equal pieces of a chunk of texts once (TOGETHER pieces at most, about): anchor, content, row and at (start << 16 | windows) of the first, and
+
+    k, their number; or, with where, the chunk's number and more, the rest as row, at, row, at ...
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
+        waiting, n, chunk = [], 0, TaskContext.get().partitionId() << 32
 
         def send() -> pa.RecordBatch:
-            anchor, content, row, at = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            arrays = [anchor, content, row, at]
-            if together:
-                order = np.lexsort((at, row, content, anchor))
-                anchor, content = anchor[order], content[order]
-                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else order
-                arrays = [anchor[new], content[new], row[order[new]], at[order[new]], np.diff(np.r_[new, len(order)])]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["anchor", "content", "row", "at", "k"][: len(arrays)])
+            anchor, content, row, at = (np.concatenate(x).astype(np.int64) for x in zip(*waiting, strict=True))
+            order = np.lexsort((at, row, content, anchor))
+            anchor, content, row, at = (x[order] for x in (anchor, content, row, at))
+            new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]) if len(order) else order
+            size = np.diff(np.r_[new, len(order)])
+            if where:
+                rest = np.ones(len(order), bool)
+                rest[new] = False
+                more = pa.ListArray.from_arrays(pa.array(np.r_[0, 2 * np.cumsum(size - 1)].astype(np.int32)), pa.array(np.stack([row[rest], at[rest]], axis=1).reshape(-1)))
+                extra = [pa.array(np.full(len(new), chunk)), more]
+            else:
+                extra = [pa.array(size)]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (anchor, content, row, at)), *extra], names=["anchor", "content", "row", "at", *(["chunk", "more"] if where else ["k"])])
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -92,13 +101,13 @@ def occurrences(table: DataFrame, together: bool) -> DataFrame:
                 row, anchor, content, start, windows = pieces(data, offsets)
                 waiting.append((anchor, content, ids[first + row], start << 16 | windows))
                 n += len(row)
-                if n >= (TOGETHER if together else 20_000):
+                if n >= TOGETHER:
                     yield send()
-                    waiting, n = [], 0
+                    waiting, n, chunk = [], 0, chunk + 1
         if n:
             yield send()
 
-    return table.select("row", "text").mapInArrow(run, "anchor long, content long, row long, at long" + ", k long" * together)
+    return table.select("row", "text").mapInArrow(run, "anchor long, content long, row long, at long, " + ("chunk long, more array<long>" if where else "k long"))
 
 
 def suffix_order(x: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +252,7 @@ def merged(runs: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_anchors(table: DataFrame) -> list[int]:
     """Anchors with many distinct pieces in a sample of rows, the most frequent LISTED at most. They are only dealt out differently."""
-    sample = occurrences(table.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0), True)
+    sample = occurrences(table.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0), False)
     kinds = sample.groupBy("anchor", "content").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("n"))
     return [r["anchor"] for r in kinds.where(F.col("n") > max(1, HOT // SAMPLED)).orderBy(F.desc("n"), "anchor").limit(LISTED).collect()]
 
@@ -253,7 +262,7 @@ def repeated_pieces(table: DataFrame, n_buckets: int) -> DataFrame:
     frequent = frequent_anchors(table)
     listed = F.col("anchor").isin(frequent) if frequent else F.lit(False)
     # pieces of an anchor meet in one task, those of a frequent anchor in several
-    salted = occurrences(table, True).withColumn("salt", F.when(listed, F.col("content")).otherwise(F.lit(0)))
+    salted = occurrences(table, False).withColumn("salt", F.when(listed, F.col("content")).otherwise(F.lit(0)))
     counted = salted.repartition("anchor", "salt").groupBy("anchor", "salt", "content").agg(F.sum("k").alias("k"), F.min(F.struct("row", "at")).alias("one"))
     of_anchor = W.partitionBy("anchor", "salt")
     chosen = counted.withColumn("total", F.sum("k").over(of_anchor)).withColumn("kinds", F.count("*").over(of_anchor)).where(listed | (F.col("total") > 1))
@@ -290,19 +299,30 @@ def repeated_pieces(table: DataFrame, n_buckets: int) -> DataFrame:
     return staged(spans.join(chosen.select("anchor", "content", "k"), ["anchor", "content"]), "repeated")
 
 
-def with_spans(places: DataFrame, found: DataFrame, salts: int) -> DataFrame:
-    """row, start, spans of each occurrence of the found pieces; occurrences of frequent pieces are dealt over salts tasks, where a copy of the piece's row waits.
+def covered(table: DataFrame, found: DataFrame, salts: int) -> DataFrame:
+    """row, spans (first window and end of each stretch, 64 bits each) of each text with found pieces.
 
-    Pieces with over a LISTED-th of all occurrences are listed: there are fewer than LISTED of them.
+    A chunk of texts asks once for each of its distinct pieces, and its answers come back together. What asks for a frequent piece is
+    dealt over salts tasks, where a copy of the piece's row waits; pieces with over a LISTED-th of all occurrences are listed, fewer than LISTED.
     """
     total = found.agg(F.sum("k").alias("n")).collect()[0]["n"] or 0
     often = [r["content"] for r in found.where(F.col("k") > max(salts, total // LISTED)).select("content").collect()]
     listed = F.col("content").isin(often) if often else F.lit(False)
-    places = places.withColumn("salt", F.when(listed, F.pmod(F.xxhash64("row", "at"), F.lit(salts))).otherwise(F.lit(0)).cast("long"))
     zero = F.lit(0).cast("long")
+    asked = occurrences(table, True).withColumn("salt", F.when(listed, F.pmod(F.xxhash64("chunk"), F.lit(salts))).otherwise(zero).cast("long"))
     copies = F.when(listed, F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))
-    found = found.select("anchor", "content", "spans", F.explode(copies).alias("salt"))
-    return places.join(found, ["anchor", "content", "salt"]).select("row", F.shiftright("at", 16).alias("start"), "spans")
+    waiting = found.select("anchor", "content", "spans", F.explode(copies).alias("salt"))
+    answers = asked.join(waiting, ["anchor", "content", "salt"]).select("chunk", "row", "at", "more", "spans")
+
+    def by_row(answers: pa.Table) -> pa.Table:
+        own: dict[int, list[np.ndarray]] = {}
+        for row, at, more, spans in zip(*(answers.column(c).to_pylist() for c in ("row", "at", "more", "spans")), strict=True):
+            runs = np.frombuffer(b"".join(spans), "<u2").astype(np.int64)
+            for r, a in zip([row, *more[::2]], [at, *more[1::2]], strict=True):
+                own.setdefault(r, []).append(runs + (a >> 16))
+        return pa.table({"row": pa.array(list(own), pa.int64()), "spans": pa.array([np.concatenate(x).astype("<i8").tobytes() for x in own.values()], pa.binary())})
+
+    return answers.groupBy("chunk").applyInArrow(by_row, "row long, spans binary")
 
 
 def cut(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -332,9 +352,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
     packed.repartition(n_buckets, "row").write.bucketBy(n_buckets, "row").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     found = repeated_pieces(table, n_buckets)
-    places = with_spans(occurrences(table, False), found, n_buckets)
-    lists = places.repartition(n_buckets, "row").groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("list"))
-    joined = table.join(lists, "row", "left").select("rest", "text", "list")
+    spans = covered(table, found, n_buckets).repartition(n_buckets, "row")
+    joined = table.join(spans, "row", "left").select("rest", "text", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,7 +362,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", with_text: bool = Fa
                 raw, own = b.column(1)[i].as_buffer().to_pybytes(), b.column(2)[i].as_py()
                 runs = np.zeros((0, 2), np.int64)
                 if own:
-                    spans = np.concatenate([np.frombuffer(b"".join(x["spans"]), "<u2").astype(np.int64).reshape(-1, 2) + x["start"] for x in own])
+                    spans = np.frombuffer(own, "<i8").reshape(-1, 2)
                     runs = cut(len(raw), spans[:, 0], spans[:, 1] + SPAN - 1)
                 kept = b"".join(raw[a:z] for a, z in zip(np.r_[0, runs[:, 1]].tolist(), np.r_[runs[:, 0], len(raw)].tolist(), strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
