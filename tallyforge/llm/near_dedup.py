@@ -6,10 +6,11 @@ their least; after T rounds every round fills one bin for certain, so each coord
 the Jaccard similarity with concentration. BANDS bands of T / BANDS coordinates make buckets; the star of a bucket (each node to its
 least one) keeps it connected in one row per node.
 
-Buckets' connected components are closed worlds: all links lie inside. Components of at most LIMIT nodes are compared whole
-in a task: pairs by falling estimate, exact on full sets, skipping pairs that are joined already. Larger ones are cut into blocks by a
-hash: links inside blocks, then between hubs of the blocks' groups, and at last every node outside a component's
-largest group against every block. So no link between different texts is lost, and no task holds an unbounded group.
+Buckets' connected components are closed worlds: all links lie inside. A node weighs 1 and 1 more for each WEIGHT shingles, so weights
+bound bytes. Worlds of at most LIMIT in weight are compared whole in a task: exact on full sets, skipping pairs that are joined already. Larger
+ones are cut into blocks by a hash: links inside blocks, then between hubs of the blocks' groups. What is still apart meets only where it
+shares a band's bucket: in a bucket with several groups, every node outside its largest group against all nodes, blocks of
+the one by blocks of the other. So no link between different texts is lost, and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import LOWER, blocks, mixed, prefix_sums, read, span_hashes, staged, texts, word_spans, word_table
 
 SHINGLE, PERCENT, T, BANDS = 5, 75, 128, 32
-#: Pairs with a lower estimate aren't compared exactly: over six standard deviations below a similarity of 0.75.
-ESTIMATE = 0.5
-#: Nodes that a task compares with each other; nodes of a block of a larger component.
-LIMIT, BLOCK_NODES = 1000, 400
+#: Pairs with a lower estimate aren't compared exactly: about five standard deviations below a similarity of 0.75.
+ESTIMATE = 0.5625
+#: Weight of nodes that a task compares with each other; of a block of a larger component; shingles that weigh as much as a node.
+LIMIT, BLOCK_NODES, WEIGHT = 1000, 400, 512
 TABLE = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 SEEDS = np.random.default_rng(20240613).integers(1, 2**63, 2 * T, dtype=np.uint64)
 STEP = np.random.default_rng(20240614).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,10 +66,12 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """A row of T coordinates for each non-empty set: round << 56 | hash."""
     full = np.uint64(2**64 - 1)
     out = np.full((len(sets), T), full)
+    if not sets:
+        return out
     flat = out.reshape(-1)
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    values = np.concatenate(sets)
     for i in range(2 * T):
         if not len(values):
             break
@@ -105,8 +108,13 @@ def row_key() -> Column:
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(" "), text), 256))
 
 
+def fetch_key() -> Column:
+    """By what a row is found again: its doc_id, or without one its text's hash. Rows that share it are told apart by their sets."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), bands, and if keyed, row_key."""
+    """doc_id, fetch, n_shingles, node (null for empty sets), bands, and if keyed, row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,11 +126,11 @@ def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
                 for k, i in enumerate(some):
                     nodes[i], lists[i] = digest(sets[i]), keys[k]
                 own = b.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *own.columns[2:]], names=["doc_id", "n_shingles", "node", "bands", "row_key"][: 4 + keyed])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *own.columns[3:]], names=["doc_id", "fetch", "n_shingles", "node", "bands", "row_key"][: 5 + keyed])
 
-    rows = texts(docs)
+    rows = texts(docs).withColumn("fetch", fetch_key())
     rows = rows.withColumn("row_key", row_key()) if keyed else rows
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>" + ", row_key binary" * keyed)
+    return rows.mapInArrow(run, "doc_id long, fetch long, n_shingles long, node long, bands array<long>" + ", row_key binary" * keyed)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -150,48 +158,36 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-class Groups:
-    """Union by least label."""
-
-    def __init__(self, labels: np.ndarray):
-        self.up = {int(x): int(x) for x in labels}
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
-
-
 def links(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray) -> list[tuple[int, int]]:
-    """(label, label) of links that join different groups among nodes of side 0 and between sides 1 and 2."""
-    groups, out = Groups(label), []
-    size = np.array([len(s) for s in sets])
-    rows = np.flatnonzero(side < 2)
-    found = []
-    for i in rows:
-        other = np.arange(i + 1, len(sets)) if side[i] == 0 else np.flatnonzero(side == 2)
-        other = other[(label[other] != label[i]) & (100 * np.minimum(size[other], size[i]) >= PERCENT * np.maximum(size[other], size[i]))]
-        if len(other):
-            share = (sketch[other] == sketch[i]).mean(axis=1)
-            good = np.flatnonzero(share >= ESTIMATE)
-            found.append(np.stack([np.full(len(good), i), other[good], (share[good] * T).astype(np.int64)]))
-    if found:
-        pairs = np.concatenate(found, axis=1)
-        for i, j, _ in pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist():
-            x, y = int(label[i]), int(label[j])
-            if groups.find(x) != groups.find(y) and linked(sets[i], sets[j]):
-                groups.join(x, y)
-                out.append((x, y))
+    """(label, label) of links that join different groups among nodes of side 0 and between sides 1 and 2.
+
+    A node is compared with all nodes at once that aren't in its group yet: sizes and sketches first, then exactly, by marking its shingles.
+    """
+    group, out = label.copy(), []
+    size = np.array([len(s) for s in sets], np.int64)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    end = np.cumsum(size)
+    first = end - size
+    marked = np.zeros(len(shingle), bool)
+    index = np.arange(len(sets))
+    for i in np.flatnonzero(side < 2).tolist():
+        other = index[i + 1 :] if side[i] == 0 else np.flatnonzero(side == 2)
+        other = other[(group[other] != group[i]) & (100 * np.minimum(size[other], size[i]) >= PERCENT * np.maximum(size[other], size[i]))]
+        if not len(other):
+            continue
+        other = other[(sketch[other] == sketch[i]).mean(axis=1) >= ESTIMATE]
+        if not len(other):
+            continue
+        own = shingle[first[i] : end[i]]
+        marked[own] = True
+        n = size[other]
+        stop = np.cumsum(n)
+        common = np.add.reduceat(marked[shingle[np.repeat(first[other] - (stop - n), n) + np.arange(stop[-1])]].astype(np.int64), stop - n)
+        marked[own] = False
+        for j in other[100 * common >= PERCENT * (size[other] + size[i] - common)].tolist():
+            if group[j] != group[i]:
+                out.append((int(label[i]), int(label[j])))
+                group[group == group[j]] = group[i]
     return out
 
 
@@ -213,7 +209,7 @@ def compare(rows: DataFrame, key: str) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen nodes (node, rep, world, size) with their shingles and one byte of each coordinate of their sketch."""
+    """The chosen nodes (node, fetch, world, size) with their weight, shingles and one byte of each coordinate of their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,10 +221,12 @@ def with_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 if good:
                     sketch = sketches([sets[i] for i in good]).astype(np.uint8)
                     kept = own.take(pa.array(good))
-                    yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), pa.array([sets[i].tobytes() for i in good], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["node", "world", "size", "shingles", "sketch"])
+                    weight = pa.array([1 + len(sets[i]) // WEIGHT for i in good], pa.int64())
+                    arrays = [kept.column(1), kept.column(2), kept.column(3), weight, pa.array([sets[i].tobytes() for i in good], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["node", "world", "size", "weight", "shingles", "sketch"])
 
-    joined = texts(docs).join(chosen.select("node", "rep", "world", "size"), F.col("doc_id") == F.col("rep")).select("text", "node", "world", "size")
-    return staged(joined.mapInArrow(run, "node long, world long, size long, shingles binary, sketch binary"), "sets")
+    joined = texts(docs).withColumn("fetch", fetch_key()).join(chosen.select("node", "fetch", "world", "size"), "fetch").select("text", "node", "world", "size")
+    return staged(joined.mapInArrow(run, "node long, world long, size long, weight long, shingles binary, sketch binary"), "sets")
 
 
 def regroup(labels: DataFrame | None, edges: DataFrame, name: str) -> DataFrame:
@@ -239,31 +237,31 @@ def regroup(labels: DataFrame | None, edges: DataFrame, name: str) -> DataFrame:
     return staged(labels.join(new, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")), name)
 
 
-def large_worlds(sets: DataFrame) -> DataFrame:
-    """node, label inside worlds of more than LIMIT nodes: blocks, hubs, then what is outside the largest group against all blocks."""
-    n_blocks = F.ceil(F.col("size") / BLOCK_NODES)
-    rows = staged(sets.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks)).withColumn("key", F.xxhash64("world", "block")), "large")
+def large_worlds(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """node, label inside worlds of more than LIMIT in weight, by the buckets (node, key) of their nodes: blocks, hubs, then what is apart in a bucket."""
+    rows = staged(sets.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES))).withColumn("key", F.xxhash64("world", "block")), "large")
     own = rows.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
     labels = staged(rows.select("node", "node").toDF("node", "label").distinct(), "large-nodes")
     labels = regroup(labels, staged(compare(own, "key"), "inside"), "large-inside")
-    # hubs: of each block's groups the first node by hash, compared in blocks of hubs until few are left
+    # hubs: of each block's groups the first node by hash, compared in blocks of hubs
     hubs = rows.join(labels, "node").withColumn("n", F.row_number().over(W.partitionBy("key", "label").orderBy(F.xxhash64("node", F.lit(1)), "node"))).where("n = 1")
-    per_world = hubs.groupBy("world").agg(F.count("*").alias("hubs"))
+    per_world = hubs.groupBy("world").agg(F.sum("weight").alias("hubs"))
     hubs = hubs.join(per_world, "world").withColumn("key", F.xxhash64("world", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("hubs") / LIMIT))))
     labels = regroup(labels, staged(compare(hubs.withColumn("side", F.lit(0)), "key"), "hubs"), "large-hubs")
-    # the rest, exactly
-    placed = staged(rows.join(labels, "node"), "large-placed")
-    groups = placed.groupBy("world", "label").agg(F.count("*").alias("n"))
-    first = groups.groupBy("world").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups"))
-    left = placed.join(first.where("groups > 1"), "world").where("label <> largest")
-    if left.isEmpty():
-        return labels
-    counts = left.groupBy("world").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("parts"))
-    left = left.join(counts, "world").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-    a = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1))).withColumn("side", F.lit(1))
-    b = placed.join(counts, "world").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(2))
-    columns = ["world", "block", "part", "node", "label", "side", "shingles", "sketch"]
-    pairs = a.select(columns).unionByName(b.select(columns)).withColumn("key", F.xxhash64("world", "block", "part"))
+    # the rest, exactly: buckets whose nodes aren't all in one group
+    light = rows.select("node", "world", "weight").distinct()
+    placed = staged(keys.join(light, "node").join(labels, "node").select("key", "node", "world", "weight", "label"), "large-buckets")
+    groups = placed.groupBy("key", "label").agg(F.sum("weight").alias("n"))
+    apart = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("all"), F.max("n").alias("most")).where("groups > 1")
+    apart = apart.select("key", "largest", F.ceil(F.col("all") / BLOCK_NODES).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK_NODES).alias("parts"))
+    mixed_ = placed.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
+    outside = F.col("label") != F.col("largest")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = mixed_.where(outside).withColumn("block", upto("blocks")).withColumn("side", F.lit(1))
+    b = mixed_.withColumn("part", upto("parts")).withColumn("side", F.lit(2))
+    columns = ["key", "block", "part", "node", "world", "label", "side"]
+    pairs = a.select(columns).unionByName(b.select(columns)).select(F.xxhash64("key", "block", "part").alias("key"), "node", "world", "label", "side")
+    pairs = pairs.join(rows.select("node", "shingles", "sketch").dropDuplicates(["node"]), "node")
     return regroup(labels, staged(compare(pairs, "key"), "rest"), "large-rest")
 
 
@@ -271,26 +269,27 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and if keyed, row_key() of each row of docs (doc_id, text).
 
     Documents without words have an empty set and are linked with nothing. Equal sets are linked. Repeated rows each get
-    their row; of a doc_id with several texts each row goes by its own text. A null doc_id is never a component's id unless all
-    its documents' are null. An empty table gives an empty result; other columns are left out.
+    their row; of a doc_id with several texts each row goes by its own text. Documents without doc_id are linked as others are; a
+    null is a component's id only if all its documents' ids are null. An empty table gives an empty result; other columns are left out.
     """
     signed = staged(signatures(docs, keyed), "signatures")
     key = ["row_key"] if keyed else []
-    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+    found_by = F.coalesce(F.min("doc_id"), F.min("fetch"))
+    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), found_by.alias("fetch"), (F.min("n_shingles") / WEIGHT).cast("long").alias("more"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     stars = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    worlds = components(stars, "worlds").withColumnRenamed("label", "world")
-    sizes = worlds.groupBy("world").agg(F.count("*").alias("size"))
-    chosen = worlds.join(sizes, "world").join(nodes.select("node", "rep"), "node").where("rep IS NOT NULL")
-    sets = with_sets(docs, chosen)
+    worlds = components(stars, "worlds").withColumnRenamed("label", "world").join(nodes.select("node", "fetch", "more"), "node")
+    sizes = worlds.groupBy("world").agg(F.sum(F.col("more") + 1).alias("size"))
+    sets = with_sets(docs, worlds.join(sizes, "world"))
     small = sets.where(F.col("size") <= LIMIT)
-    groups = max(1, -(-small.count() // LIMIT))
+    weight = small.agg(F.sum("weight").alias("n")).collect()[0]["n"] or 0
+    groups = max(1, -(-weight // LIMIT))
     small = small.withColumn("key", F.pmod(F.xxhash64("world"), F.lit(groups))).withColumn("label", F.col("node")).withColumn("side", F.lit(0))
     labels = regroup(None, staged(compare(small, "key"), "links"), "small")
     large = sets.where(F.col("size") > LIMIT)
     if not large.isEmpty():
-        labels = labels.unionByName(large_worlds(large))
+        labels = labels.unionByName(large_worlds(large, keys))
     placed = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_node = placed.join(first, "label").select("node", "component_id")

@@ -211,6 +211,7 @@ def brute_components(rows):
 def test_near_dedup(spark, limit, monkeypatch):
     monkeypatch.setattr(near_dedup, "LIMIT", limit)
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", max(2, limit // 2))
+    monkeypatch.setattr(near_dedup, "WEIGHT", limit // 2)
     rng = random.Random(8)
     rows, w = corpus(), words(rng, 80).split()
     for k in range(14):  # a chain and a star of near copies
@@ -218,12 +219,42 @@ def test_near_dedup(spark, limit, monkeypatch):
         for _ in range(k % 4):
             copy[rng.randrange(len(copy))] = f"q{k}"
         rows.append((500 + k, " ".join(copy)))
+    # links through documents without doc_id
+    rows += [(None, " ".join(w[:-1] + ["end"])), (None, " ".join(["start", *w[1:]])), (None, words(rng, 60)), (None, "")]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()]
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_dedup_without_words(spark):
+    """Partitions in which no text has a word."""
+    for texts in ([None], [""], [" \t\n"], [None, "", " "]):
+        rows = [(i, t) for i, t in enumerate(texts)]
+        got = near_dedup.near_duplicates(docs(spark, rows).coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(i, 0, i, True) for i, _ in rows]
+    twice = near_dedup.near_duplicates(docs(spark, [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, None)]).repartition(3)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in twice) == [(-1, 3, -1, True), (-1, 3, -1, True), (3, 0, 3, True)]
+
+
+def test_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(30, 60)], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)]) for _ in range(40)]
+    sketch = near_dedup.sketches(sets).astype(np.uint8)
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+
+    def groups(pairs):
+        up = list(range(40))
+        for a, b in pairs:
+            up = [up[a] if x == up[b] else x for x in up]
+        return [up.index(x) for x in up]
+
+    for side in (np.zeros(40, int), np.repeat([1, 2], 20)):
+        want = [(i, j) for i in range(40) for j in range(i + 1, 40) if alike(sets[i], sets[j]) and (side[i] == 0 or side[i] != side[j])]
+        assert groups(near_dedup.links(np.arange(40), side, sets, sketch)) == groups(want)
+
+
 def test_sketches_estimate():
     rng = np.random.default_rng(1)
     for n in (1, 3, 40, 2000):
