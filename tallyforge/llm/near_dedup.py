@@ -8,9 +8,9 @@ least one) keeps it connected in one row per node.
 
 Buckets' connected components are closed worlds: all links lie inside. A node weighs 1 and 1 more for each WEIGHT shingles, so weights
 bound bytes. Worlds of at most LIMIT in weight are compared whole in a task: exact on full sets, skipping pairs that are joined already. Larger
-ones are cut into blocks by a hash: links inside blocks, then between hubs of the blocks' groups. What is still apart meets only where it
-shares a band's bucket: in a bucket with several groups, every node outside its largest group against all nodes, blocks of
-the one by blocks of the other. So no link between different texts is lost, and no task holds an unbounded group.
+ones are cut into blocks by a hash: links inside blocks, then between hubs of the blocks' groups. What is then outside a world's largest
+group meets, in parts by blocks, the nodes that share a bucket with it. So no link between different texts is lost, and no task holds
+an unbounded group.
 """
 
 from __future__ import annotations
@@ -248,21 +248,21 @@ def large_worlds(sets: DataFrame, keys: DataFrame) -> DataFrame:
     per_world = hubs.groupBy("world").agg(F.sum("weight").alias("hubs"))
     hubs = hubs.join(per_world, "world").withColumn("key", F.xxhash64("world", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("hubs") / LIMIT))))
     labels = regroup(labels, staged(compare(hubs.withColumn("side", F.lit(0)), "key"), "hubs"), "large-hubs")
-    # the rest, exactly: buckets whose nodes aren't all in one group
-    light = rows.select("node", "world", "weight").distinct()
-    placed = staged(keys.join(light, "node").join(labels, "node").select("key", "node", "world", "weight", "label"), "large-buckets")
-    groups = placed.groupBy("key", "label").agg(F.sum("weight").alias("n"))
-    apart = groups.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("all"), F.max("n").alias("most")).where("groups > 1")
-    apart = apart.select("key", "largest", F.ceil(F.col("all") / BLOCK_NODES).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK_NODES).alias("parts"))
-    mixed_ = placed.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-    outside = F.col("label") != F.col("largest")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = mixed_.where(outside).withColumn("block", upto("blocks")).withColumn("side", F.lit(1))
-    b = mixed_.withColumn("part", upto("parts")).withColumn("side", F.lit(2))
-    columns = ["key", "block", "part", "node", "world", "label", "side"]
-    pairs = a.select(columns).unionByName(b.select(columns)).select(F.xxhash64("key", "block", "part").alias("key"), "node", "world", "label", "side")
-    pairs = pairs.join(rows.select("node", "shingles", "sketch").dropDuplicates(["node"]), "node")
-    return regroup(labels, staged(compare(pairs, "key"), "rest"), "large-rest")
+    # the rest, exactly: nodes outside their world's largest group, and what shares a bucket with them
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES))
+    placed = staged(rows.select("node", "world", "weight", block.alias("block")).distinct().join(labels, "node"), "large-placed")
+    groups = placed.groupBy("world", "label").agg(F.sum("weight").alias("n"))
+    first = groups.groupBy("world").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("left") / BLOCK_NODES))
+    outside = placed.join(first, "world").where("label <> largest").select("node", part.alias("part"))
+    if outside.isEmpty():
+        return labels
+    asked = staged(keys.join(outside, "node"), "large-asked")
+    met = staged(keys.join(asked.select("key").distinct(), "key", "left_semi").join(placed.select("node", "block"), "node"), "large-met")
+    a = asked.join(met.select("key", "block").distinct(), "key").select("node", "part", "block").distinct().withColumn("side", F.lit(1))
+    b = met.join(asked.select("key", "part").distinct(), "key").select("node", "part", "block").distinct().withColumn("side", F.lit(2))
+    pairs = a.unionByName(b).join(placed.drop("block"), "node").join(rows.select("node", "shingles", "sketch").dropDuplicates(["node"]), "node")
+    return regroup(labels, staged(compare(pairs.withColumn("key", F.xxhash64("world", "part", "block")), "key"), "rest"), "large-rest")
 
 
 def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
