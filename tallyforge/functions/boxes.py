@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 EMPTY = ("", "none", "null", "nan")
 MIN_SIDE = 8
+_INF = float("inf")
 
 
 def is_empty(text: Column) -> Column:
@@ -18,24 +19,38 @@ def numbers(text: Column) -> Column:
     return F.transform(F.from_json(text, "array<string>"), lambda x: F.replace(x, F.lit('"'), F.lit("")).try_cast("double"))
 
 
+def parsed(text: Column) -> Column:
+    """error and box of a box text, each text parsed once.
+
+    error: empty, not_a_list, size, not_a_number, not_finite, degenerate or ok; box: [x1, y1, x2, y2] if ok, else null.
+    """
+
+    def judged(v: Column, t: Column) -> Column:
+        x1, y1, x2, y2 = (F.get(v, F.lit(i)) for i in range(4))
+        error = (
+            F.when(is_empty(t), "empty")
+            .when(~F.trim(t).startswith("[") | v.isNull(), "not_a_list")
+            .when(F.size(v) != 4, "size")
+            .when(x1.isNull() | y1.isNull() | x2.isNull() | y2.isNull(), "not_a_number")
+            .when(~(F.abs(x1) < _INF) | ~(F.abs(y1) < _INF) | ~(F.abs(x2) < _INF) | ~(F.abs(y2) < _INF), "not_finite")
+            .when((x2 <= x1) | (y2 <= y1), "degenerate")
+            .otherwise("ok")
+        )
+        return F.struct(error.alias("error"), F.when(error == "ok", v).alias("box"))
+
+    # a one-element transform binds the parsed list to a name, so that the branches don't parse it again
+    bound = F.transform(F.array(F.struct(numbers(text).alias("v"), text.alias("t"))), lambda s: judged(s["v"], s["t"]))
+    return F.get(bound, F.lit(0))
+
+
 def error_class(text: Column) -> Column:
     """empty, not_a_list, size, not_a_number, not_finite, degenerate or ok."""
-    v = numbers(text)
-    listed = F.trim(text).startswith("[") & v.isNotNull()
-    return (
-        F.when(is_empty(text), "empty")
-        .when(~listed, "not_a_list")
-        .when(F.size(v) != 4, "size")
-        .when(F.exists(v, lambda x: x.isNull()), "not_a_number")
-        .when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite")
-        .when((F.get(v, F.lit(2)) <= F.get(v, F.lit(0))) | (F.get(v, F.lit(3)) <= F.get(v, F.lit(1))), "degenerate")
-        .otherwise("ok")
-    )
+    return parsed(text)["error"]
 
 
 def box(text: Column) -> Column:
     """[x1, y1, x2, y2] of a good box text, else null."""
-    return F.when(error_class(text) == "ok", numbers(text))
+    return parsed(text)["box"]
 
 
 def sides(b: Column) -> tuple[Column, Column, Column, Column]:
