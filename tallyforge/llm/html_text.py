@@ -1,8 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
-Pass 1 looks at each block alone: where it stands (inside an article, inside a menu, a form, an advert ...), its length, the share
-of its characters inside links and the share of its words that are stop words. Pass 2 gives each ambiguous short block the
-label of its nearest decided neighbour in the same region. One scan of the page's tags feeds both; nothing is cut off.
+Menus, forms, notices, adverts and comments that their elements or names mark are left out first. Pass 1 looks at each other block alone: the
+share of its characters inside links, its length, and the share of its words that are stop words make it good, bad, near good,
+weak (long enough, but few stop words) or short. Pass 2 decides the ambiguous ones by their nearest decided neighbours in the same
+region, inside or outside the article: a short block takes the nearest one's label, a near-good one needs one good neighbour,
+a weak one only good ones (outside an article on both sides). One scan of the page's tags feeds both; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S,
 )
+#: The tag of a link that comes next: its end, or the start of another, which shows that the link before has no end.
+NEXT_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in WHOLE}
 #: A slash that an unquoted value ends with is part of the value.
 UNQUOTED = re.compile(r"=\s*[^\s\"'=]*/\Z")
@@ -53,14 +57,14 @@ STATES = frozenset("with has have no not without is are hide hides hidden show s
 WORDS = re.compile(r"[^\W\d_]+")
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: Thresholds of pass 1: short and long blocks in characters, stop-word share of good and of near-good blocks, share of characters in links.
-SHORT, LONG, STOP_GOOD, STOP_NEAR, LINKS = 70, 200, 0.32, 0.25, 0.33
+SHORT, LONG, STOP_GOOD, STOP_NEAR, LINKS = 70, 200, 0.2, 0.12, 0.33
 
 
 class Block:
-    __slots__ = ("parts", "linked", "bad", "main", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "bad", "main", "heading", "text", "label", "share")
 
     def __init__(self, bad: int, main: bool, heading: bool):
-        self.parts, self.linked, self.bad, self.main, self.heading, self.text, self.label = [], [], bad, main, heading, "", ""
+        self.parts, self.linked, self.bad, self.main, self.heading, self.text, self.label, self.share = [], [], bad, main, heading, "", "", 0.0
 
 
 def marks_bad(tag: str, attributes: str) -> int:
@@ -101,7 +105,7 @@ def blocks_of(page: str, least: int = 1) -> list[Block]:
     """The page's blocks in order, with the region that each stands in; marks below least don't count."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # tag, bad, main: of each and all above it
-    block, links = Block(0, False, False), 0
+    block, links = Block(0, False, False), 0  # links: 1 in a link without an end, up to the block's end; 2 in one with an end
 
     def close(heading: bool = False, own: int = 0) -> Block:
         if block.parts:
@@ -125,7 +129,8 @@ def blocks_of(page: str, least: int = 1) -> list[Block]:
         if not m[2]:
             continue
         if name == "a":
-            links = 0 if m[1] else 1
+            after = None if m[1] else NEXT_LINK.search(page, at)
+            links = 0 if m[1] else 2 if after and after[1] else 1
         elif name == "br":
             block.parts.append(" ")
         elif name in INLINE:
@@ -136,7 +141,7 @@ def blocks_of(page: str, least: int = 1) -> list[Block]:
                     if stack[i][0] == name:
                         del stack[i:]
                         break
-            block, links = close(), 0
+            block, links = close(), links & 2
         else:
             bad, main = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             marked = marks_bad(name, m[3])
@@ -149,7 +154,7 @@ def blocks_of(page: str, least: int = 1) -> list[Block]:
                 block = close()
             else:
                 block = close(name in ("h1", "h2", "h3", "h4", "h5", "h6"), marked)
-            links = 0
+            links &= 2
     if at < len(page):
         block.parts.append(page[at:])
     close()
@@ -157,45 +162,43 @@ def blocks_of(page: str, least: int = 1) -> list[Block]:
 
 
 def first_pass(block: Block, has_main: bool) -> str:
-    """good, bad, short, near, or other: refused for its share of stop words alone."""
+    """left (not looked at: marked, or outside the article), bad, short, good, near or weak."""
     if block.bad or (has_main and not block.main):
-        return "bad"
+        return "left"
     n = len(block.text)
     linked = len(" ".join(html.unescape(" ".join(block.linked)).split())) if block.linked else 0
     if linked > LINKS * n:
         return "bad"
+    words = WORDS.findall(block.text.lower())
+    block.share = sum(w in STOPS for w in words) / max(1, len(words))
     if n < SHORT:
         return "short" if block.main or not linked else "bad"
-    words = WORDS.findall(block.text.lower())
-    share = sum(w in STOPS for w in words) / max(1, len(words))
-    if share >= STOP_GOOD and n > LONG:
-        return "good"
-    if share >= STOP_NEAR or block.main:
-        return "near"
-    return "other"
+    if block.share >= STOP_GOOD:
+        return "good" if n > LONG else "near"
+    return "near" if block.share >= STOP_NEAR else "weak"
 
 
 def by_language(found: list[Block]) -> None:
-    """Settles blocks that were refused for their stop words: if they hold more text than those taken, the page is in a language without stop words here, and length and link density decide."""
-    refused = sum(len(b.text) for b in found if b.label == "other")
-    unknown = refused > sum(len(b.text) for b in found if b.label in ("good", "near"))
-    for b in found:
-        if b.label == "other":
-            b.label = ("good" if len(b.text) > LONG else "near") if unknown else "bad"
+    """If weak blocks hold more text than good and near-good ones, the page is in a language without stop words here, and length and link density decide."""
+    weak = sum(len(b.text) for b in found if b.label == "weak")
+    if weak > sum(len(b.text) for b in found if b.label in ("good", "near")):
+        for b in found:
+            if b.label == "weak":
+                b.label = "good" if len(b.text) > LONG else "near"
 
 
 def second_pass(found: list[Block]) -> None:
-    """Near-good blocks in the article are good; elsewhere they, and all short blocks, take the label of the nearest decided block (the earlier, if two are as near); a heading takes that of what follows."""
-    for b in found:
-        if b.label == "near" and b.main:
-            b.label = "good"
-    regions: dict[bool, list[Block]] = {}
-    for b in found:
-        regions.setdefault(b.main, []).append(b)
-    for main, own in regions.items():
-        # inside the article, what was refused (adverts, lists of links) says nothing about the paragraphs around it
+    """Decides short, near-good and weak blocks by the decided blocks before and after them in their region (the earlier, if two are as near).
+
+    What pass 1 left out is no neighbour, and in the article links are none either: they say nothing about the paragraphs around them. A heading
+    goes with what follows. In a region without decided blocks those of the article, near-good ones, and short ones with as
+    many stop words as good ones, are good.
+    """
+    for main in (True, False):
+        own = [b for b in found if b.main == main and b.label != "left"]
         decided = [b.label if b.label == "good" or (b.label == "bad" and not main) else "" for b in own]
-        before, after, last = [None] * len(own), [None] * len(own), None
+        before, after = [None] * len(own), [None] * len(own)
+        last = None
         for i, x in enumerate(decided):
             last = i if x else last
             before[i] = last
@@ -204,15 +207,21 @@ def second_pass(found: list[Block]) -> None:
             last = i if decided[i] else last
             after[i] = last
         for i, b in enumerate(own):
-            if b.label not in ("short", "near"):
+            if b.label not in ("short", "near", "weak"):
                 continue
             p, q = before[i], after[i]
-            if p is None and q is None:
-                b.label = "good" if main or b.label == "near" else "bad"
+            sides = [decided[x] for x in (p, q) if x is not None]
+            if not sides:
+                good = main or b.label == "near" or (b.label == "short" and b.share >= STOP_GOOD)
+            elif b.label == "near":
+                good = "good" in sides
+            elif b.label == "weak":
+                good = "bad" not in sides and (main or len(sides) == 2)
             elif p is None or (q is not None and (q - i < i - p or b.heading)):
-                b.label = decided[q]
+                good = decided[q] == "good"
             else:
-                b.label = decided[p]
+                good = decided[p] == "good"
+            b.label = "good" if good else "bad"
 
 
 def extract(page: str) -> str:
