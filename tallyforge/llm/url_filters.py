@@ -5,9 +5,9 @@ A rule list names keys: a host suffix and a path prefix with an action. A url pr
 corpus is the complete key universe, so a cascade can encode the listed keys exactly: level 1 is a Bloom filter of
 the listed keys, level 2 of the universe's keys that level 1 takes wrongly, level 3 of the listed keys that level 2
 takes, and so on until a level takes none wrongly. The parity of the first level that refuses a key is its exact
-membership; no url is joined to anything. The filters are short binary literals whose size is proportional to the list
-(checked: MAX_BITS), not to the corpus; only keys wrongly taken, a fraction RATE of the universe per level, are
-looked at again.
+membership; no url is joined to anything. A filter is one array of 64-bit words, built by an aggregate and handed to the scan as a
+scalar subquery: about 9 bits for each listed rule, whatever the corpus holds, and neither in the plan nor in the driver's Python.
+Only keys wrongly taken, a fraction RATE of the universe, are looked at again.
 """
 
 from __future__ import annotations
@@ -23,25 +23,24 @@ from tallyforge.llm.shared import read, staged
 
 #: The rules of the query: host, path, action.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Wrong answers of level 1 per key of the universe that isn't listed; the bits that a whole cascade may have.
-RATE, MAX_BITS, MAX_LEVELS = 1 / 64, 1 << 26, 24
+#: Wrong answers of level 1, and of each further level, per key that isn't listed there.
+RATE, NEXT_RATE = 1 / 64, 1 / 8
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: words of 64 bits and the number of bits tested for a key."""
+    """One Bloom filter: a table of one row with its words of 64 bits, and the number of bits tested for a key."""
 
-    words: tuple[int, ...]
+    words: DataFrame
+    bits: int
     tests: int
     salt: int
 
     def takes(self, key: Column) -> Column:
-        """Whether all bits of the key are set. Words that are zero everywhere aren't looked up."""
-        bits = len(self.words) * 64
-        table = F.array(*[F.lit(w) for w in self.words])
-        out = F.lit(True)
+        """Whether all bits of the key are set."""
+        table, out = self.words.scalar(), F.lit(True)
         for i in range(self.tests):
-            at = positions(key, bits, self.salt, i)
+            at = positions(key, self.bits, self.salt, i)
             word = F.get(table, F.shiftright(at, 6).cast("int"))
             out = out & (F.expr("0") != F.getbit(word, (at % 64).cast("int")))
         return out
@@ -51,20 +50,16 @@ def positions(key: Column, bits: int, salt: int, i: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt * 16 + i), key), F.lit(bits))
 
 
-def level_of(keys: DataFrame, n: int, universe: int, salt: int) -> Level:
-    """The filter of the n keys of a column key. Its bits are set by an aggregate: a row for each 64-bit word."""
-    rate = min(0.5, RATE if salt == 1 else 0.5)
+def level_of(keys: DataFrame, n: int, salt: int) -> Level:
+    """The filter of the n keys of a column key. Its bits are set by an aggregate: a row for each 64-bit word, then one row with all words."""
+    rate = RATE if salt == 1 else NEXT_RATE
     bits = 64 * max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits; a filter may have {MAX_BITS}")
-    tests = max(1, round(bits / n * math.log(2))) if n else 1
-    tests = min(tests, 8)
+    tests = min(8, max(1, round(bits / n * math.log(2))))
     at = keys.select(F.explode(F.array(*[positions(F.col("key"), bits, salt, i) for i in range(tests)])).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).collect()
-    words = [0] * (bits // 64)
-    for r in rows:  # at most MAX_BITS / 64 rows
-        words[r["word"]] = r["set"]
-    return Level(tuple(words), tests, salt)
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(found, "word", "left").select("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))
+    words = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("words"))
+    return Level(staged(words, "filter"), bits, tests, salt)
 
 
 @dataclass(frozen=True)
@@ -80,26 +75,20 @@ class Cascade:
 
 
 def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """The cascade of listed (key) over universe (key, distinct). Keys that no row of the universe has are left out of the list, as nothing asks for them."""
+    """The cascade of listed (key) over universe (key, distinct). Listed keys that no row of the universe has are in the first filter, too; nothing asks for them.
+
+    There is no limit to the levels: each takes a fraction of the keys before it, under hashes of its own, until none is taken wrongly.
+    """
     listed = listed.select("key").distinct()
     n = listed.count()
-    levels: list[Level] = []
     if not n:
         return Cascade(())
-    first = level_of(listed, n, 0, 1)
-    levels.append(first)
-    taken = universe.where(first.takes(F.col("key")))
-    wrong = staged(taken.join(listed, "key", "left_anti"), "cascade")  # RATE of the universe
-    inside = listed
-    while len(levels) < MAX_LEVELS:
-        m = wrong.count()
-        if not m:
-            break
-        level = level_of(wrong, m, n, len(levels) + 1)
-        levels.append(level)
-        inside, wrong = wrong, staged(inside.where(level.takes(F.col("key"))), "cascade")
-    if wrong.count():
-        raise ValueError("the cascade doesn't end; use a lower RATE")
+    levels = [level_of(listed, n, 1)]
+    taken = universe.where(levels[0].takes(F.col("key")))
+    inside, wrong = listed, staged(taken.join(listed, "key", "left_anti"), "cascade")  # RATE of the universe
+    while m := wrong.count():
+        levels.append(level_of(wrong, m, len(levels) + 1))
+        inside, wrong = wrong, staged(inside.where(levels[-1].takes(F.col("key"))), "cascade")
     return Cascade(tuple(levels))
 
 
@@ -136,7 +125,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     cascades = {}
     for action in ("block", "allow"):
         own = [f"{h.count('.') + 1}:{len(p)}:{h}{p}" for h, p, a in rules if a == action]
-        cascades[action] = build(spark.range(1).select(F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("key")), universe)
+        cascades[action] = build(spark.createDataFrame([(k,) for k in own], "key string"), universe)
     found = []
     for n, k in shapes:
         plain, tagged = probe(n, k), F.concat(F.lit(f"{n}:{k}:"), probe(n, k))
