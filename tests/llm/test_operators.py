@@ -376,7 +376,7 @@ def test_sharding(spark):
     assert sharding.assign(t.where("1 = 0"), sharding.tree([1.0] * 3)).count() == 0
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, words(rng, 25)) for i in range(6)] + [(20, "Only Four WORDS here"), (21, ""), (22, None), (None, "x y z"), (3, "other text")]
     rows = corpus() + [(200, "lead " + items[0][1].upper() + ". tail"), (201, "only, four; words HERE only four"), (202, " ".join(items[1][1].split()[:12]) + " " + " ".join(items[2][1].split()[5:18])), (203, " ".join(items[1][1].split()[:9]))]
@@ -401,18 +401,24 @@ def test_decontamination(spark):
     assert got == sorted(want) and sum(r[5] for r in got) >= 3
     assert decontamination.contamination(empty(spark), bench).count() == 0
     assert decontamination.contamination(docs(spark), bench.where("1 = 0")).where("contaminated").count() == 0
-    turns = decontamination.ITEMS_A_TURN
-    try:
-        decontamination.ITEMS_A_TURN = 3  # several turns give the same
-        again = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.contamination(docs(spark, rows), bench).collect())
-    finally:
-        decontamination.ITEMS_A_TURN = turns
+    for name, value in (("BLOCK_BYTES", 3000), ("ASKED", 2)):  # several blocks, several rows for a term: the same
+        monkeypatch.setattr(decontamination, name, value)
+    again = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.contamination(docs(spark, rows), bench).collect())
     assert again == got
 
 
+def test_index_holds_all_tokens(spark):
+    """Of all words of all documents, whatever is searched."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    n = sum(len(pattern.findall(low(t))) for _, t in corpus())
+    indexed = decontamination.index(docs(spark))
+    assert indexed.agg(F.sum("n")).first()[0] == n == indexed.where("term IS NULL").select(F.explode("n_words").alias("n")).agg(F.sum("n")).first()[0]
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta"
     t = docs(spark, [(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha x x x x beta gamma delta")])
-    near = decontamination.search(decontamination.index(t), [(1, item)], slop=1)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    near = decontamination.search(decontamination.index(t), items, slop=1)
     assert {r["doc_id"] for r in near.collect()} == {1, 2}
-    assert {r["doc_id"] for r in decontamination.search(decontamination.index(t), [(1, item)]).collect()} == {2}
+    assert {r["doc_id"] for r in decontamination.search(decontamination.index(t), items).collect()} == {2}

@@ -13,9 +13,10 @@ def test_items_that_share_a_passage(spark):
     passage = " ".join(f"p{i}" for i in range(10))
     docs = spark.createDataFrame([(1, " ".join([passage, *(f"f{i}" for i in range(980)), passage]))], "doc_id long, text string")
     items = [(1, passage), (2, passage)]
-    found = decontamination.search(decontamination.index(docs), items).collect()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.search(decontamination.index(docs), bench).collect()
     assert sorted((r["item_id"], r["start"], r["end"]) for r in found) == [(i, a, a + 10) for i in (1, 2) for a in (0, 990)]
-    row = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()[0]
+    row = decontamination.contamination(docs, bench).collect()[0]
     assert (row["n_words"], row["n_hit"], row["n_items"]) == (1000, 20, 2)
 
 
