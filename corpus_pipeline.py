@@ -38,9 +38,10 @@ def suffix_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
-    hit = decontamination.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """Documents in which no benchmark window occurs; each goes by its own text, whatever its doc_id."""
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = decontamination.contamination(by_text, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, F.xxhash64("text") == F.col("_hit"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
