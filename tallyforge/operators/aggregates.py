@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.audit import ranked
+
 
 def label_pivot(rows: DataFrame, key: str, label: str = "label", values: Sequence[int] = (0, 1)) -> DataFrame:
     """key, n_<value> for each label value, 0 where there is none."""
@@ -121,9 +123,9 @@ def run_rollup(rows: DataFrame, run: str, epoch: str, metric: str, tests: DataFr
 
 
 def trial_ranking(rows: DataFrame, run: str, start: str, end: str, metric: str) -> DataFrame:
-    """run, minutes, metric, rank: by metric, trials without one last, then by name. Trials are a small table."""
-    m = rows.withColumn("minutes", F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 60.0)
-    return m.select(run, "minutes", metric, F.row_number().over(W.orderBy(F.asc_nulls_last(metric), run)).alias("rank"))
+    """run, minutes, metric, rank: by metric, trials without one last, then by name. Ranked in two levels, so no task has all trials."""
+    m = rows.withColumn("minutes", F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 60.0).withColumn("_last", F.coalesce(F.col(metric).cast("double"), F.lit(float("inf"))))
+    return ranked(m, [], "_last", run).select(run, "minutes", metric, (F.col("place") + 1).cast("int").alias("rank"))
 
 
 def dataset_use(rows: DataFrame, dataset: str, steps: int, slots: int) -> DataFrame:

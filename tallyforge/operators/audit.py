@@ -79,10 +79,30 @@ def class_exclusion(rows: DataFrame, label: int, excluded: DataFrame, path: str)
     return own.join(seen, F.col(path) == F.col("_x"), "left").agg(F.count("*").alias("n_class"), F.count("_x").alias("n_excluded"))
 
 
-def percentile_rank(keys: Sequence[str], order: Sequence[str]) -> Column:
-    """Position / (n - 1) in a key's order; the order's last column must break ties."""
-    w = W.partitionBy(*keys)
-    return (F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1)).cast("double")
+def ranked(rows: DataFrame, keys: Sequence[str], order: str, tie: str, per_bucket: int = 100_000) -> DataFrame:
+    """rows with place (0, 1, ... by order, then tie, within each key) and size (the key's rows).
+
+    Rows are bucketed at approximate quantiles of order, as many buckets as they need; each (key, bucket) is ranked for itself and lifted by the
+    key's earlier buckets, so no task ranks a whole key. Null order values come first.
+    """
+    n = rows.count()
+    buckets = max(1, -(-n // per_bucket))
+    bounds = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("b")).first()["b"] if buckets > 1 else None
+    place = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    rows = rows.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(place, lambda b: b <= F.col(order)))))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    before = own.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    lifts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"), F.sum("_n").over(own).alias("size"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order, tie)) - 1
+    joined = rows.withColumn("_i", inside).join(lifts, [*keys, "_bucket"])
+    return joined.withColumn("place", (F.col("_i") + F.col("_lift")).cast("long")).drop("_bucket", "_i", "_lift")
+
+
+def percentile_rank(rows: DataFrame, keys: Sequence[str], order: str, tie: str, out: str = "pct") -> DataFrame:
+    """rows with out: position / (n - 1) in a key's order; tie must break ties."""
+    r = ranked(rows, keys, order, tie)
+    return r.withColumn(out, F.col("place") / F.greatest(F.col("size") - 1, F.lit(1)).cast("double")).drop("place", "size")
 
 
 def is_artefact(name: Column) -> Column:

@@ -49,11 +49,46 @@ def covered(rows: DataFrame, key: str, dataset: str, batch_size: int, label: str
     return out.drop("at")
 
 
+class FirstFit:
+    """The first of all open batches with room enough: a tree of the largest room below each node."""
+
+    def __init__(self):
+        self.n, self.size, self.most = 0, 1, [0, 0]
+
+    def add(self, room: int) -> int:
+        if self.n == self.size:
+            leaves = self.most[self.size :] + [0] * self.size
+            self.size *= 2
+            self.most = [0] * self.size + leaves
+            for i in range(self.size - 1, 0, -1):
+                self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+        self.n += 1
+        self.take(self.n - 1, -room)
+        return self.n - 1
+
+    def first(self, wanted: int) -> int | None:
+        if self.most[1] < wanted:
+            return None
+        i = 1
+        while i < self.size:
+            i *= 2
+            if self.most[i] < wanted:
+                i += 1
+        return i - self.size
+
+    def take(self, k: int, used: int) -> None:
+        i = self.size + k
+        self.most[i] -= used
+        while i > 1:
+            i //= 2
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+
 def source_pairs(rows: DataFrame, key: str, source: str, batch_size: int, label: str = "label", seed: int = 42, shard_rows: int = 20_000) -> DataFrame:
     """batch_id, slot, key, repeated: a source and the rows that point to it share a batch; other rows fill up, steered to the label share; padding repeats rows.
 
     Units (a source with at most batch_size - 1 of its rows; a wider group is cut, each part with the source) are dealt to shards by a hash
-    and packed first-fit, largest first, inside each shard.
+    and packed first-fit over all open batches, largest first, inside each shard.
     """
     n_shards = max(1, -(-rows.count() // shard_rows))
     linked = rows.where(F.col(source).isNotNull()).select(F.col(key).alias("row"), F.col(source).alias("unit"), F.col(label).alias("label"))
@@ -71,14 +106,15 @@ def source_pairs(rows: DataFrame, key: str, source: str, batch_size: int, label:
         units = [g["row"].tolist() for _, g in pdf[pdf["unit"].notna()].sort_values(["unit", "part", "row"]).groupby(["unit", "part"])]
         units.sort(key=lambda u: (-len(u), u[0]))
         batches: list[list[int]] = []
+        room = FirstFit()
         for u in units:
-            for b in batches[-16:]:  # the latest are the emptiest
-                fresh = [r for r in u if r not in b]
-                if len(b) + len(fresh) <= batch_size:
-                    b += fresh
-                    break
-            else:
-                batches.append(list(dict.fromkeys(u)))
+            k = room.first(len(u))
+            if k is None:
+                batches.append([])
+                k = room.add(batch_size)
+            fresh = [r for r in dict.fromkeys(u) if r not in batches[k]]
+            batches[k] += fresh
+            room.take(k, len(fresh))
         pools = {y: pdf[pdf["unit"].isna() & (pdf["label"] == y)]["row"].sort_values().tolist() for y in (0, 1)}
         spare, at, out, k = sorted(labels), 0, [], 0
         while k < len(batches) or pools[0] or pools[1]:

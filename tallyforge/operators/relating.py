@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,14 +60,18 @@ def same_content(train: DataFrame, test: DataFrame, content: str) -> DataFrame:
     return a.join(b, content).withColumn("n_pairs", F.col("n_train") * F.col("n_test"))
 
 
-def near_hashes(train: DataFrame, test: DataFrame, most: int, h: str = "h") -> DataFrame:
+def near_hashes(train: DataFrame, test: DataFrame, most: int, h: str = "h", spare: int = 4) -> DataFrame:
     """train_hash, test_hash, distance, n_pairs: pairs of distinct 64-bit hashes at most `most` bits apart.
 
-    Of most + 1 bands of bits two such hashes share one at least, so an equi-join on (band, bits) misses none. Equal hashes are one row.
+    Of most + spare bands of bits two such hashes share `spare` at least, so an equi-join on (which spare bands, their bits) misses none: the join's
+    keys have 64 * spare / (most + spare) bits instead of the 64 / (most + 1) of one band, so that few hashes share one by chance. Equal hashes are one row.
     """
-    bands = most + 1
+    bands = most + spare
     edges = [i * 64 // bands for i in range(bands + 1)]
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("v"), lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long")).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    masks = [((1 << edges[i + 1] - edges[i]) - 1) << edges[i] for i in range(bands)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(bands), spare)]
+    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.col("v").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(choices)])
     side = lambda t, name: t.groupBy(F.col(h).alias("v")).agg(F.count("*").alias(f"n_{name}")).select(F.col("v").alias(f"{name}_hash"), f"n_{name}", F.explode(cut).alias("c")).select("*", "c.band", "c.bits").drop("c")
     j = side(train, "train").join(side(test, "test"), ["band", "bits"])
     d = F.bit_count(F.col("train_hash").bitwiseXOR(F.col("test_hash")))

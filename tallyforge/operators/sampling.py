@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,18 @@ from tallyforge.functions.keyed import gumbel, shuffle_key, uniform
 from tallyforge.sources.staging import staged
 
 
-def placed(rows: DataFrame, key: str, seed: int | str = 42, by: Sequence[str] = ()) -> DataFrame:
+#: Rows that a task ranks, about; the number of buckets follows from it.
+PER_BUCKET = 100_000
+
+
+def placed(rows: DataFrame, key: str, seed: int | str = 42, by: Sequence[str] = (), per_bucket: int | None = None) -> DataFrame:
     """rows with place: 0, 1, ... in keyed random order within each value of by (or over all rows).
 
-    Rows are ranked inside 256 buckets of the order's first byte and lifted by the earlier buckets' counts, so no task ranks all rows.
+    Rows are ranked inside buckets of the order's leading digits, as many as the rows need, and lifted by the earlier buckets' counts, so no
+    task ranks all rows or all rows of a group.
     """
-    rows = rows.withColumn("_o", shuffle_key(seed, F.col(key))).withColumn("_k", F.substring("_o", 1, 2))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / (per_bucket or PER_BUCKET)), 16)))
+    rows = rows.withColumn("_o", shuffle_key(seed, F.col(key))).withColumn("_k", F.substring("_o", 1, digits))
     counts = rows.groupBy(*by, "_k").agg(F.count("*").alias("_n"))
     own = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     lifts = counts.select(*by, "_k", F.coalesce(F.sum("_n").over(own.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_lift"))
@@ -84,12 +91,14 @@ def quotas(rows: DataFrame, by: str, total: int) -> DataFrame:
 
 def stratified(rows: DataFrame, by: str, total: int, key: str, seed: int | str = 42) -> DataFrame:
     """About total rows, each stratum by its quota in keyed random order; what rounding leaves short is topped up from the rest."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(shuffle_key(seed, F.col(key)), key))
-    ranked = rows.withColumn("_n", n).join(quotas(rows, by, total).select(by, "quota"), by)
-    picked = ranked.where("_n <= quota")
-    short = max(0, min(total, rows.count()) - picked.count())
-    more = first(ranked.where("_n > quota"), short, key, f"{seed}-more")
-    return picked.unionByName(more).drop("_n", "quota")
+    dealt = staged(quotas(rows, by, total), "quotas")  # a row per stratum
+    sums = dealt.agg(F.sum("n").alias("n"), F.sum("quota").alias("quota")).first()
+    ranked = placed(rows, key, seed, [by]).join(dealt.select(by, "quota"), by)
+    picked = ranked.where("place < quota")
+    short = max(0, min(total, sums["n"] or 0) - (sums["quota"] or 0))
+    if short:
+        picked = picked.unionByName(first(ranked.where("place >= quota"), short, key, f"{seed}-more"))
+    return picked.drop("place", "quota")
 
 
 def undersampled(rows: DataFrame, by: str, key: str, label: str = "label", seed: int | str = 42) -> DataFrame:
@@ -131,27 +140,43 @@ def weighted(rows: DataFrame, weight: str, n: int, key: str, seed: int | str = 4
 def two_caps(rows: DataFrame, order: Sequence[str], group: str, cap_group: int, bucket: str, cap_bucket: int, n: int | None = None) -> DataFrame:
     """Rows that a walk in order takes while neither their group nor their bucket is full; at most n.
 
-    The walk's answer is the only fixed point of "taken if fewer than cap taken rows of its group, and of its bucket, come before";
-    each round counts both in two windows, and rows on which two rounds agree with the bounds stay. Rounds are written to the shared folder.
+    The walk's answer is the only one in which a row is taken if and only if fewer than cap taken rows of its group, and of its bucket, come
+    before it. Each round settles rows for certain: a row is in if fewer than cap rows that aren't out come before it on both sides, and out if
+    cap rows that are in come before it on one. The first row that isn't settled always is, so the rounds end; only open rows go on to
+    the next, with the number of settled rows that each group and bucket has taken so far. Open rows of a group or bucket beyond its
+    cap-th settled one are out at once, so a round's windows hold what is still open only.
     """
-    now = staged(rows.withColumn("_in", F.lit(True)), "walk")
-    while True:
-        earlier = lambda c: F.coalesce(F.sum(F.col("_in").cast("int")).over(W.partitionBy(c).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        step = now.withColumn("_new", (earlier(group) < cap_group) & (earlier(bucket) < cap_bucket))
-        step = staged(step, "walk")
-        if step.where("_new <> _in").isEmpty():
-            break
-        now = step.drop("_in").withColumnRenamed("_new", "_in")
-    out = now.where("_in").drop("_in")
+    everything = staged(rows, "walk")
+    open_, taken = everything, None
+    while not open_.isEmpty():
+        judged = open_
+        for c, cap in ((group, cap_group), (bucket, cap_bucket)):
+            before = W.partitionBy(c).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            judged = judged.withColumn(f"_open_{c}", F.count("*").over(before))
+        held = None if taken is None else taken
+        for c, cap in ((group, cap_group), (bucket, cap_bucket)):
+            if held is None:
+                judged = judged.withColumn(f"_in_{c}", F.lit(0).cast("long"))
+                continue
+            # taken rows of the group or bucket, whose order tells how many come before: at most cap of them
+            at = F.struct(*order)
+            lists = held.groupBy(c).agg(F.collect_list(at).alias("_at"))
+            judged = judged.join(lists, c, "left").withColumn(f"_in_{c}", F.coalesce(F.size(F.filter("_at", lambda x: x < at)), F.lit(0)).cast("long")).drop("_at")
+        full = (F.col(f"_in_{group}") >= cap_group) | (F.col(f"_in_{bucket}") >= cap_bucket)
+        sure = (F.col(f"_in_{group}") + F.col(f"_open_{group}") < cap_group) & (F.col(f"_in_{bucket}") + F.col(f"_open_{bucket}") < cap_bucket)
+        judged = staged(judged.select(*everything.columns, full.alias("_out"), sure.alias("_sure")), "walk")
+        fresh = judged.where("_sure AND NOT _out").drop("_out", "_sure")
+        taken = fresh if taken is None else taken.unionByName(fresh)
+        open_ = judged.where("NOT _sure AND NOT _out").drop("_out", "_sure")
+    out = everything.limit(0) if taken is None else taken
     return out if n is None else out.orderBy(*order).limit(n)
 
 
 def split(rows: DataFrame, share: float, key: str, label: str = "label", seed: int | str = 42) -> DataFrame:
     """rows with is_val: of each label the rounded share in keyed order, at least one row and never all; a label with one row has none."""
-    n = F.count("*").over(W.partitionBy(label))
-    take = F.least(F.greatest(F.lit(1), F.bround(n * F.lit(share), 0).cast("long")), n - 1)
-    r = F.row_number().over(W.partitionBy(label).orderBy(shuffle_key(seed, F.col(key)), key))
-    return rows.withColumn("is_val", r <= take)
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    take = F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(share), 0).cast("long")), F.col("_n") - 1)
+    return placed(rows, key, seed, [label]).join(sizes, label).withColumn("is_val", F.col("place") < take).drop("place", "_n")
 
 
 def folds(rows: DataFrame, group: str, k: int = 5, label: str = "label", seed: int | str = 42) -> DataFrame:

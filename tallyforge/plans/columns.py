@@ -148,7 +148,7 @@ both("f05_usable_scores", M + "SELECT event_id FROM manifest WHERE event_id % 6
 both("f06_usable_geometry", BX + f"SELECT id FROM boxes WHERE {CLASS} = 'ok'", lambda s, d: T.boxes(s, d).where(B.box(F.col("bbox")).isNotNull()), "id")
 register("f07_class_with_exclusion", M + "SELECT count(*) AS n_class, count(*) FILTER (WHERE event_id % 7 = 0) AS n_excluded FROM manifest WHERE label = 1")(
     lambda s, d: audit.class_exclusion(T.manifest(s, d), 1, T.manifest(s, d).where("event_id % 7 = 0").select("path"), "path"))
-both("f08_percentile_band", M + f"SELECT event_id FROM (SELECT event_id, {RANK} AS pct FROM manifest) WHERE pct BETWEEN 0.6 AND 0.9", lambda s, d: T.manifest(s, d).withColumn("pct", audit.percentile_rank(["dataset"], ["score", "event_id"])).where("pct BETWEEN 0.6 AND 0.9"), "event_id")
+both("f08_percentile_band", M + f"SELECT event_id FROM (SELECT event_id, {RANK} AS pct FROM manifest) WHERE pct BETWEEN 0.6 AND 0.9", lambda s, d: audit.percentile_rank(T.manifest(s, d), ["dataset"], "score", "event_id").where("pct BETWEEN 0.6 AND 0.9"), "event_id")
 register("f09_minimum_support", M + "SELECT grp, count(*) AS n FROM manifest GROUP BY grp HAVING count(*) >= 12")(lambda s, d: T.manifest(s, d).groupBy("grp").agg(F.count("*").alias("n")).where("n >= 12"))
 register("f10_plain_evaluations", RN + "SELECT run, round(min(val_eer), 6) AS eer FROM runs WHERE coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 90 END, 0) = 0 GROUP BY run")(
     lambda s, d: T.runs(s, d).withColumn("rotate", F.when(F.col("o_orderkey") % 4 == 0, 90)).where(F.coalesce("rotate", F.lit(0)) == 0).groupBy("run").agg(F.round(F.min("val_eer"), 6).alias("eer")))

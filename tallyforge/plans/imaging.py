@@ -45,6 +45,25 @@ def bright(x: np.ndarray):
 register("i01_content_hash")(lambda s, d: I.content_hash(frames(s, d)).select("vec_id", "content"))
 register("i01_content_leakage")(lambda s, d: (lambda h: J.same_content(h.where("vec_id % 5 < 4"), h.where("vec_id % 5 = 4"), "content"))(I.content_hash(frames(s, d))))
 register("i02_perceptual_hash")(lambda s, d: I.perceptual_hash(frames(s, d)).select("vec_id", "phash", "error"))
+
+
+@register("i02_near_leakage")
+def near_leakage(s, d):
+    """Near-duplicate frames between splits: perceptual hashes of all frames, joined within a Hamming distance of 3; changed copies of some frames stand in the test split."""
+    own = frames(s, d)
+    flat = np.zeros(32 * 32, np.uint8)
+    flat[:16] = 3  # a few pixels a little brighter: a near copy
+
+    def lit(batches):
+        for pdf in batches:
+            data = [np.clip(np.frombuffer(x, np.uint8).astype(int) + flat, 0, 255).astype(np.uint8).tobytes() for x in pdf["data"]]
+            yield pdf.assign(data=data)
+
+    copies = own.where("vec_id % 25 = 0").mapInPandas(lit, own.schema)
+    h = lambda t: I.perceptual_hash(t).where("error IS NULL").select(F.col("phash").alias("h"))
+    return J.near_hashes(h(own.where("vec_id % 5 < 4")), h(own.where("vec_id % 5 = 4").unionByName(copies)), 3)
+
+
 register("i03_low_resolution_export")(lambda s, d: I.export_low(frames(s, d), 12).select("id", "path", "export_height", "export_width", "blob"))
 register("g13_patch_proposals")(lambda s, d: I.proposals(frames(s, d).drop("data"), "path", 8).select("path", "zone", "try", "x", "y", "is_valid"))
 register("g14_accepted_patches")(lambda s, d: I.accepted(I.proposals(frames(s, d).drop("data"), "path", 8), "path", 8, 2, 4.0))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.functions.keyed import shuffle_key
-from tallyforge.functions.scores import band_weight, section
+from tallyforge.functions.keyed import gumbel, uniform
+from tallyforge.functions.scores import band_weight, hardness, section
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import audit, batches
 from tallyforge.operators import sampling as S
@@ -23,9 +23,10 @@ def ids(df):
     return df.select("event_id")
 
 
-register("w02_percentile_rank", M + f" SELECT event_id, round({RANK}, 6) AS pct FROM manifest")(lambda s, d: T.manifest(s, d).select("event_id", F.round(audit.percentile_rank(["dataset"], ["score", "event_id"]), 6).alias("pct")))
+register("w02_percentile_rank", M + f" SELECT event_id, round({RANK}, 6) AS pct FROM manifest")(
+    lambda s, d: audit.percentile_rank(T.manifest(s, d).select("event_id", "dataset", "score"), ["dataset"], "score", "event_id").select("event_id", F.round("pct", 6).alias("pct")))
 register("w03_thinned_series", M + " SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY dataset ORDER BY score, event_id) - 1 AS i FROM manifest) WHERE i % 10 = 0")(
-    lambda s, d: ids(T.manifest(s, d).withColumn("i", F.row_number().over(W.partitionBy("dataset").orderBy("score", "event_id")) - 1).where("i % 10 = 0")))
+    lambda s, d: ids(audit.ranked(T.manifest(s, d).select("event_id", "dataset", "score"), ["dataset"], "score", "event_id").where("place % 10 = 0")))
 register("w04_capped_groups", M + f" SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY grp ORDER BY {O}) AS n FROM manifest) WHERE n <= 3")(lambda s, d: ids(S.capped(T.manifest(s, d), ["grp"], 3, "event_id")))
 register("w05_keep_first", M + " SELECT user_id, min(event_id) AS event_id FROM manifest GROUP BY user_id")(lambda s, d: S.keep_first(T.manifest(s, d), ["user_id"], ["event_id"]).select("user_id", "event_id"))
 register("w06_top_per_key", M + " SELECT dataset, event_id, CAST(n AS INT) AS rank FROM (SELECT dataset, event_id, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, event_id) AS n FROM manifest) WHERE n <= 5")(lambda s, d: S.top_k(T.manifest(s, d), ["dataset"], [F.desc("score"), F.col("event_id")], 5).select("dataset", "event_id", "rank"))
@@ -94,14 +95,51 @@ register("r14_pair_report", L + ", s AS (SELECT a.media_id FROM links a JOIN lin
 
 
 def mined(s, d):
-    """Mining end to end: hardness of label 1, percentile in dataset, the band, weights, a weighted pick under a group cap."""
-    rows = T.manifest(s, d).where("label = 1").withColumn("hardness", 1 - F.col("score"))
-    rows = rows.withColumn("pct", audit.percentile_rank(["dataset"], ["hardness", "event_id"]))
+    """Both labels with hardness, its percentile in (dataset, label), section and the band's ramp weight."""
+    rows = T.manifest(s, d).withColumn("hardness", hardness(F.col("label"), F.col("score")))
+    rows = audit.percentile_rank(rows, ["dataset", "label"], "hardness", "event_id")
     return rows.withColumn("section", section(F.col("pct"), 0.6, 0.95)).withColumn("weight", band_weight(F.col("pct"), 0.6, 0.95))
 
 
-MINED = M + ", h AS (SELECT *, 1 - score AS hardness FROM manifest WHERE label = 1), p AS (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY hardness, event_id) - 1) / CAST(greatest(count(*) OVER (PARTITION BY dataset) - 1, 1) AS DOUBLE) AS pct FROM h), m AS (SELECT *, CASE WHEN pct > 0.95 THEN 'noise' WHEN pct >= 0.6 THEN 'band' ELSE 'easy' END AS section FROM p)"
-register("k05_mining_sections", MINED + " SELECT section, count(*) AS n, round(avg(hardness), 6) AS mean_hardness FROM m GROUP BY 1")(lambda s, d: r6(mined(s, d).groupBy("section").agg(F.count("*").alias("n"), F.avg("hardness").alias("mean_hardness")), "mean_hardness"))
-PICK = f", k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {O}) AS i FROM m WHERE section = 'band')"
-register("k06_mixed_training_table", MINED + PICK + " SELECT event_id, count(*) AS n FROM (SELECT event_id FROM manifest UNION ALL SELECT event_id FROM k, range(0, 3) r(c) WHERE i <= 2) GROUP BY 1")(
-    lambda s, d: ids(T.manifest(s, d)).unionByName(ids(S.capped(mined(s, d).where("section = 'band'"), ["grp"], 2, "event_id").withColumn("c", F.explode(F.array(*map(F.lit, range(3))))))).groupBy("event_id").agg(F.count("*").alias("n")))
+MINED = M + """, h AS (SELECT *, CASE WHEN label = 1 THEN 1 - score ELSE score END AS hardness FROM manifest),
+  p AS (SELECT *, (row_number() OVER (PARTITION BY dataset, label ORDER BY hardness, event_id) - 1) / CAST(greatest(count(*) OVER (PARTITION BY dataset, label) - 1, 1) AS DOUBLE) AS pct FROM h),
+  m AS (SELECT *, CASE WHEN pct > 0.95 THEN 'noise' WHEN pct >= 0.6 THEN 'band' ELSE 'easy' END AS section, 0.5 + 0.5 * (pct - 0.6) / (0.95 - 0.6) AS ramp FROM p)"""
+register("k05_mining_sections", MINED + " SELECT label, section, count(*) AS n, round(avg(hardness), 6) AS mean_hardness FROM m GROUP BY 1, 2")(
+    lambda s, d: r6(mined(s, d).groupBy("label", "section").agg(F.count("*").alias("n"), F.avg("hardness").alias("mean_hardness")), "mean_hardness"))
+#: The pick: rows of the band by Gumbel keys of ramp x production likeness (a stand-in column here: 0.1 to 10 by user), at most 2 of a group, the first N_PICKED; and a control arm of the same size by a random order under the same cap.
+N_PICKED = 200
+LIKENESS = "(0.1 + 9.9 * (user_id % 13) / 12.0)"
+PICK = f""", g AS (SELECT *, ln(ramp * {LIKENESS}) - ln(-ln({U})) AS gumbel FROM m WHERE section = 'band'),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gumbel DESC, event_id) AS i FROM g) WHERE i <= 2 ORDER BY gumbel DESC, event_id LIMIT {N_PICKED}),
+  o AS (SELECT *, md5('control|' || CAST(event_id AS VARCHAR)) AS o FROM m),
+  ctl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY o, event_id) AS i FROM o) WHERE i <= 2 ORDER BY o, event_id LIMIT {N_PICKED})"""
+
+
+def picked(s, d):
+    """The mining arm: the band's rows in weighted order (ramp x production likeness), at most two of a group, the first N_PICKED."""
+    band = mined(s, d).where("section = 'band'").withColumn("w", F.col("weight") * (0.1 + 9.9 * (F.col("user_id") % 13) / 12.0))
+    ordered = band.withColumn("gumbel", gumbel(F.col("w"), uniform(42, F.col("event_id"))))
+    capped = ordered.withColumn("_n", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("gumbel"), "event_id"))).where("_n <= 2")
+    return ids(capped.orderBy(F.desc("gumbel"), "event_id").limit(N_PICKED))
+
+
+def control(s, d):
+    """The control arm: as many rows of all sections in random order, under the same cap."""
+    return ids(S.first(S.capped(mined(s, d), ["grp"], 2, "event_id", "control"), N_PICKED, "event_id", "control"))
+
+
+register("k05_mining_arms", MINED + PICK + " SELECT 'selected' AS arm, event_id FROM k UNION ALL SELECT 'control', event_id FROM ctl UNION ALL SELECT 'review', event_id FROM m WHERE section = 'noise'")(
+    lambda s, d: picked(s, d).select(F.lit("selected").alias("arm"), "event_id").unionByName(control(s, d).select(F.lit("control").alias("arm"), "event_id")).unionByName(ids(mined(s, d).where("section = 'noise'")).select(F.lit("review").alias("arm"), "event_id")))
+register("k06_mixed_training_table", MINED + PICK + " SELECT arm, event_id, count(*) AS n FROM (SELECT a.arm, event_id FROM manifest, (VALUES ('selected'), ('control')) a(arm) UNION ALL SELECT 'selected', event_id FROM k, range(0, 3) r(c) UNION ALL SELECT 'control', event_id FROM ctl, range(0, 3) r(c)) GROUP BY 1, 2")(
+    lambda s, d: mixed(s, d).groupBy("arm", "event_id").agg(F.count("*").alias("n")))
+
+
+def mixed(s, d):
+    """The base table and three copies of the arm's rows, for both arms."""
+    base = ids(T.manifest(s, d)).withColumn("arm", F.explode(F.array(F.lit("selected"), F.lit("control"))))
+    arms = picked(s, d).withColumn("arm", F.lit("selected")).unionByName(control(s, d).withColumn("arm", F.lit("control")))
+    copies = arms.withColumn("c", F.explode(F.array(*map(F.lit, range(3))))).drop("c")
+    return base.unionByName(copies)
+
+
+register("k05_two_cap_pick")(lambda s, d: ids(S.two_caps(mined(s, d).where("section = 'band'").withColumn("bucket", F.col("event_id") % 20), ["pct", "event_id"], "grp", 2, "bucket", 25, 300)))
