@@ -9,7 +9,7 @@ least one) keeps it connected in one row per node.
 Buckets' connected components are closed worlds: all links lie inside. A node weighs 1 and 1 more for each WEIGHT shingles, so weights
 bound bytes. Worlds of at most LIMIT in weight are compared whole in a task: exact on full sets, skipping pairs that are joined already. Larger
 ones are cut into blocks by a hash: links inside blocks, then between hubs of the blocks' groups. What is then outside a world's largest
-group meets, in parts by blocks, the nodes that share a bucket with it. So no link between different texts is lost, and no task holds
+group meets the world block by block; if that is many blocks' worth, only nodes that share a bucket. So no link between different texts is lost, and no task holds
 an unbounded group.
 """
 
@@ -31,6 +31,8 @@ SHINGLE, PERCENT, T, BANDS = 5, 75, 128, 32
 ESTIMATE = 0.5625
 #: Weight of nodes that a task compares with each other; of a block of a larger component; shingles that weigh as much as a node.
 LIMIT, BLOCK_NODES, WEIGHT = 1000, 400, 512
+#: Blocks outside a world's largest group up to which each meets the whole world; more of them meet only what shares a bucket.
+FEW = 4
 TABLE = word_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 SEEDS = np.random.default_rng(20240613).integers(1, 2**63, 2 * T, dtype=np.uint64)
 STEP = np.random.default_rng(20240614).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -248,20 +250,27 @@ def large_worlds(sets: DataFrame, keys: DataFrame) -> DataFrame:
     per_world = hubs.groupBy("world").agg(F.sum("weight").alias("hubs"))
     hubs = hubs.join(per_world, "world").withColumn("key", F.xxhash64("world", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("hubs") / LIMIT))))
     labels = regroup(labels, staged(compare(hubs.withColumn("side", F.lit(0)), "key"), "hubs"), "large-hubs")
-    # the rest, exactly: nodes outside their world's largest group, and what shares a bucket with them
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES))
-    placed = staged(rows.select("node", "world", "weight", block.alias("block")).distinct().join(labels, "node"), "large-placed")
+    # the rest, exactly: nodes outside their world's largest group
+    blocks_ = F.ceil(F.col("size") / BLOCK_NODES)
+    placed = staged(rows.dropDuplicates(["node"]).select("node", "world", "weight", "size", "shingles", "sketch").join(labels, "node"), "large-placed")
     groups = placed.groupBy("world", "label").agg(F.sum("weight").alias("n"))
-    first = groups.groupBy("world").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0")
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("left") / BLOCK_NODES))
-    outside = placed.join(first, "world").where("label <> largest").select("node", part.alias("part"))
+    first = groups.groupBy("world").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil((F.sum("n") - F.max("n")) / BLOCK_NODES).alias("parts")).where("parts > 0")
+    outside = placed.join(first, "world").where("label <> largest").select("node", "world", "parts", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).alias("part"), blocks_.alias("blocks"))
+    outside = staged(outside, "large-outside")
     if outside.isEmpty():
         return labels
-    asked = staged(keys.join(outside, "node"), "large-asked")
-    met = staged(keys.join(asked.select("key").distinct(), "key", "left_semi").join(placed.select("node", "block"), "node"), "large-met")
-    a = asked.join(met.select("key", "block").distinct(), "key").select("node", "part", "block").distinct().withColumn("side", F.lit(1))
-    b = met.join(asked.select("key", "part").distinct(), "key").select("node", "part", "block").distinct().withColumn("side", F.lit(2))
-    pairs = a.unionByName(b).join(placed.drop("block"), "node").join(rows.select("node", "shingles", "sketch").dropDuplicates(["node"]), "node")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    # few parts: each meets the whole world, block by block
+    a = outside.where(F.col("parts") <= FEW).select("node", "part", upto("blocks").alias("block"))
+    world = placed.select("node", "world", F.pmod(F.xxhash64("node"), blocks_).alias("block"))
+    b = world.join(first.where(F.col("parts") <= FEW).select("world", "parts"), "world").select("node", upto("parts").alias("part"), "block")
+    # many: each meets what shares a bucket with it
+    asked = staged(keys.join(outside.where(F.col("parts") > FEW).select("node", "part", "blocks"), "node"), "large-asked")
+    met = keys.join(asked.select("key", "blocks").distinct(), "key").select("key", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    met = staged(met, "large-met")
+    a = a.unionByName(asked.join(met.select("key", "block").distinct(), "key").select("node", "part", "block").distinct())
+    b = b.unionByName(met.join(asked.select("key", "part").distinct(), "key").select("node", "part", "block").distinct())
+    pairs = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(2)), allowMissingColumns=True).join(placed, "node")
     return regroup(labels, staged(compare(pairs.withColumn("key", F.xxhash64("world", "part", "block")), "key"), "rest"), "large-rest")
 
 

@@ -207,9 +207,10 @@ def brute_components(rows):
     return [(d, len(sets[k]), d if not sets[k] else first.get(find(k))) for k, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limit", [1000, 4])
-def test_near_dedup(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "few"), [(1000, 4), (4, 4), (4, 0)])
+def test_near_dedup(spark, limit, few, monkeypatch):
     monkeypatch.setattr(near_dedup, "LIMIT", limit)
+    monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", max(2, limit // 2))
     monkeypatch.setattr(near_dedup, "WEIGHT", limit // 2)
     rng = random.Random(8)
