@@ -21,11 +21,11 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_
     The index is cut into blocks by a hash, each query meets each block once (a matrix product), and the blocks' k best are merged. The work is
     queries x index: it is meant for samples; for all rows of a large table use an approximate index.
     """
-    blocks = max(1, -(-(n_index or index.count()) // BLOCK))
+    blocks, parts = max(1, -(-(n_index or index.count()) // BLOCK)), max(1, -(-queries.count() // BLOCK))
     cast = lambda t, name: t.select(F.col(id_col).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"), F.lit(name).alias("side"))
     x = cast(index, "i").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = cast(queries, "q").withColumn("p", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    x = x.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    q = cast(queries, "q").withColumn("p", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    x = x.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
@@ -64,6 +64,39 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
 
+def neighbours_by(queries: DataFrame, index: DataFrame, by: str, k: int, within: str | None = None, vector: str = "embedding") -> DataFrame:
+    """query_id, by, neighbour_id, distance: the k nearest index rows of other groups in each value of by (and, with within, of the query's value of it).
+
+    From these lists the k nearest of any choice of values follow exactly, without another search. The values (domains) are few.
+    """
+    values = [tuple(r) for r in index.select(by, *([within] if within else [])).distinct().collect()]
+    out = None
+    for value in sorted(values):
+        own, asked = index.where(F.col(by) == value[0]), queries
+        if within:
+            own, asked = own.where(F.col(within) == value[1]), asked.where(F.col(within) == value[1])
+        part = neighbours(asked, own, k, vector=vector).select("query_id", F.lit(value[0]).alias(by), "neighbour_id", "distance")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def coverage_of(lists: DataFrame, choices: DataFrame, sizes: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """choice, query_id, label, coverage for each choice of pool domains.
+
+    lists: query_id, domain, neighbour_id, distance (domain null: production). choices: choice, domain (its pool). sizes: label, domain, n (domain null:
+    production). labels: query_id, label. Coverage is the pool's share of the k nearest of production and pool, over its chance share.
+    """
+    everything = choices.select("choice").distinct()
+    pools = choices.withColumn("pool", F.lit(True)).unionByName(everything.select("choice", F.lit(None).cast("string").alias("domain"), F.lit(False).alias("pool")))
+    pools = pools.withColumnRenamed("domain", "_d")
+    mine = lists.join(F.broadcast(pools), F.col("domain").eqNullSafe(F.col("_d"))).drop("_d")  # a row per choice and domain: small
+    rank = F.row_number().over(W.partitionBy("choice", "query_id").orderBy("distance", "neighbour_id"))
+    share = mine.withColumn("_n", rank).where(F.col("_n") <= k).groupBy("choice", "query_id").agg(F.avg(F.col("pool").cast("double")).alias("share")).join(labels, "query_id")
+    totals = sizes.join(pools, F.col("domain").eqNullSafe(F.col("_d"))).groupBy("choice", "label").agg(F.sum(F.when(F.col("pool"), F.col("n")).otherwise(0)).alias("_pool"), F.sum("n").alias("_all"))
+    chance = F.when(F.col("_pool") > 0, F.col("_pool") / (F.col("_all") - 1)).otherwise(1.0)
+    return share.join(totals, ["choice", "label"]).select("choice", "query_id", "label", (F.col("share") / chance).alias("coverage"))
+
+
 def coverage(near: DataFrame, is_pool: DataFrame, n_pool: int, n_prod: int) -> DataFrame:
     """query_id, coverage: the pool's share of a production row's neighbours over its chance share. is_pool: neighbour_id, pool (boolean)."""
     chance = n_pool / (n_pool + n_prod - 1) if n_pool else 1.0
@@ -72,10 +105,13 @@ def coverage(near: DataFrame, is_pool: DataFrame, n_pool: int, n_prod: int) -> D
 
 
 def lift(near: DataFrame, cells: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """cell, n, hits, lift: a pool cell's share of the neighbours over its share of the pool. cells: neighbour_id and the cell columns, for all of the pool."""
+    """cell, n, hits, lift: a pool cell's share of the neighbours over its share of the pool, within each value of cell's columns but the first.
+
+    cells: neighbour_id and the cell columns, for all of the pool.
+    """
     hits = near.join(cells, "neighbour_id").groupBy(*cell).agg(F.count("*").alias("hits"))
     n = cells.groupBy(*cell).agg(F.count("*").alias("n")).join(hits, list(cell), "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
-    everything = W.partitionBy(F.lit(0))
+    everything = W.partitionBy(*cell[1:]) if len(cell) > 1 else W.partitionBy(F.lit(0))
     return n.withColumn("lift", (F.col("hits") / F.sum("hits").over(everything)) / (F.col("n") / F.sum("n").over(everything)))
 
 
