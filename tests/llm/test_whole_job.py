@@ -92,3 +92,66 @@ def test_neighbours_among_many_copies(spark):
         best = sorted((float(((x - v) ** 2).sum()), i) for i, h, x in rows if h != g)[:5]
         want += [(q, n + 1, int(i)) for n, (_, i) in enumerate(best)]
     assert got == sorted(want)
+
+
+def article_blocks(page):
+    """A plain reading of a page: the blocks of text under article, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        depth, out, text = 0, [], ""
+
+        def block(self):
+            if self.depth and " ".join(self.text.split()):
+                self.out.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("article", "p", "h1", "div", "footer"):
+                self.block()
+            self.text += " " * (tag == "br")
+            self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1", "div", "footer"):
+                self.block()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.text += data
+
+    reader = Reader()
+    reader.out = []
+    reader.feed(page)
+    reader.block()
+    return "\n".join(reader.out)
+
+
+def test_pages_against_a_plain_reading(spark):
+    """The given pages' articles; and nearly all of it with the article tags taken away, when the rules of density decide alone."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    want = [article_blocks(p) for p in pages]
+    assert [html_text.extract(p) for p in pages] == want
+    bare = [html_text.extract(re.sub(r"<(/?)article\b", r"<\1div", p)) for p in pages]
+    assert sum(map(len, bare)) >= 0.98 * sum(map(len, want)) and sum(a == b for a, b in zip(bare, want, strict=True)) >= 0.85 * len(pages)
+    assert all(set(b.split("\n")) <= {*w.split("\n"), ""} for b, w in zip(bare, want, strict=True)), "nothing else comes in"
+
+
+def test_density_decides(monkeypatch):
+    good = "the cat and the dog were in the house with all of the other animals that have been there. " * 4
+    tags = "red green blue yellow purple orange silver golden crimson scarlet " * 2
+    page = f"<div><p>{good}</p><p>{tags}</p><p><a href='/x'>{good}</a></p><p>Yes.</p></div>"
+    assert html_text.extract(page) == good.strip()
+    # short blocks go with their neighbours, before and after
+    assert html_text.extract(f"<div><p>{good}</p><p>Yes.</p><p><a href='/x'>{good}</a></p></div>") == good.strip() + "\nYes."
+    # a link around blocks counts in all of them; one without an end in its own block alone
+    assert html_text.extract(f"<div><a href='/x'><div>{good}</div><div>{good}</div></a></div><p>{good}</p>") == good.strip()
+    assert html_text.extract(f"<p><a href='/x'>one</p><p>{good}</p><p><a href='/y'>two</a></p>").endswith(good.strip())
+    # between good blocks a weak one is part of the text, in the article and outside
+    assert tags.strip() in html_text.extract(f"<div><p>{good}</p><p>{tags}</p><p>{good}</p></div>")
+    assert tags.strip() in html_text.extract(f"<article><p>{good}</p><p>{tags}</p></article>")
+    # without stop words the weak block can't be told from the text
+    monkeypatch.setattr(html_text, "STOPS", frozenset())
+    assert html_text.extract(page) != good.strip()
