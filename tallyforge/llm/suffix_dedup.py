@@ -113,8 +113,9 @@ def occurrences(table: DataFrame, where: bool) -> DataFrame:
 def suffix_order(x: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array of x, its ranks and the 8 bytes at each place; a suffix stops at the end of its piece (ends, of each place), at most depth bytes on.
 
-    Larsson-Sadakane: ranks by the first 8 bytes, then each round sorts the members of groups that are still together by the rank of the
+    Larsson-Sadakane: ranks by the first few bytes, then each round sorts the members of groups that are still together by the rank of the
     suffix h bytes on, and h doubles. Of a suffix and its beginning the beginning comes first; equal ones stay in order of place, as common_prefixes needs it.
+    Keys and places are sorted together as one number where 64 bits hold them.
     """
     n = len(x)
     padded = np.concatenate([x, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -122,42 +123,60 @@ def suffix_order(x: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarra
     for k in range(8):
         word = word << np.uint64(8) | padded[k : n + k]
     left = ends - np.arange(n)
-    short = np.clip(8 - left, 0, 8).astype(np.uint64) * np.uint64(8)
-    key = np.where(short < 64, word >> np.minimum(short, np.uint64(63)) << np.minimum(short, np.uint64(63)), np.uint64(0))
-    order = np.lexsort((np.minimum(left, 8), key)) if (left < 8).any() else np.argsort(key, kind="stable")
-    new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (np.minimum(left[order[1:]], 8) != np.minimum(left[order[:-1]], 8))]
-    first = np.flatnonzero(new)
+    bits = n.bit_length()
+    h = (61 - bits) // 8  # bytes, 3 bits of length and the place
+    short = np.minimum(left, h).astype(np.uint64)
+    drop = np.uint64(8) * (np.uint64(8) - short)
+    key = (word >> drop << (drop - np.uint64(64 - 8 * h))) << np.uint64(3) | short
+    packed = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    order, key = (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
+    size = np.diff(np.r_[first, n])
+    group = np.repeat(first, size)  # the place of its group's first
     rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(first, np.diff(np.r_[first, n]))  # the place of its group's first
-    h = 8
-    while h < depth:
-        size = np.diff(np.r_[np.flatnonzero(new), n])
-        places = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(places):
-            break
+    rank[order] = group
+    places = np.flatnonzero(np.repeat(size > 1, size))
+    group = group[places]
+    while h < depth and len(places):
         own = order[places]
-        on = np.where(left[own] > h, rank[np.minimum(own + h, n - 1)], -1)
-        again = np.argsort(rank[own] * (n + 1) + on + 1, kind="stable")
-        own, on = own[again], on[again]
-        group = rank[own]
+        on = np.where(left[own] > h, rank[np.minimum(own + h, n - 1)], -1) + 1
+        some = len(own).bit_length()
+        if 2 * bits + some <= 64:
+            both = np.sort((group << bits | on).astype(np.uint64) << np.uint64(some) | np.arange(len(own), dtype=np.uint64))
+            again, both = (both & np.uint64((1 << some) - 1)).astype(np.int64), both >> np.uint64(some)
+        else:
+            both = group * (n + 1) + on
+            again = np.argsort(both, kind="stable")
+            both = both[again]
+        own = own[again]
         order[places] = own
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (on[1:] != on[:-1])]
-        new[places] = fresh
-        at = np.flatnonzero(fresh)
-        rank[own] = np.repeat(places[at], np.diff(np.r_[at, len(own)]))
+        at = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        size = np.diff(np.r_[at, len(own)])
+        group = np.repeat(places[at], size)
+        rank[own] = group
+        go_on = np.repeat((size > 1) & (on[again[at]] > 0), size)  # equal ones that have ended stay together
+        places, group = places[go_on], group[go_on]
         h *= 2
     exact = np.empty(n, np.int64)
     exact[order] = np.arange(n)
     return order, exact, word
 
 
+def equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many leading bytes of two words are equal, of their exclusive or."""
+    top = differ & ~(differ >> np.uint64(1))  # the same highest bit, and no rounding up to the next in a double
+    return 8 - (np.frexp(top.astype(np.float64))[1].astype(np.int64) + 7 >> 3)
+
+
 def common_prefixes(order: np.ndarray, rank: np.ndarray, word: np.ndarray, ends: np.ndarray, first: np.ndarray, n_own: np.ndarray, cap: int = SPAN) -> np.ndarray:
     """For each place that a piece owns, the common prefix (up to cap) with the suffix before it in order; 0 elsewhere.
 
-    Kasai: going right by one place, at most one byte of the prefix is lost. All pieces go along together, 8 bytes at a time.
+    Kasai: going right by one place, at most one byte of the prefix is lost. All pieces go along together, 8 bytes at once; of those that
+    share these all further words are compared together.
     """
     out = np.zeros(len(order), np.int64)
     h = np.zeros(len(first), np.int64)
+    steps = np.arange(0, cap, 8)
     for j in range(int(n_own.max(initial=0))):
         who = np.flatnonzero(n_own > j)
         i = first[who] + j
@@ -166,15 +185,16 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, word: np.ndarray, ends:
         most = np.where(r > 0, np.minimum(np.minimum(ends[i] - i, ends[before] - before), cap), 0)
         have = np.minimum(np.maximum(h[who] - 1, 0), most)
         open_ = np.flatnonzero(have < most)
-        while len(open_):
-            a, b = i[open_] + have[open_], before[open_] + have[open_]
-            differ = word[a] ^ word[b]
-            same = np.full(len(open_), 8)
-            for k in range(8):
-                same -= differ >= np.uint64(1 << 8 * k)
-            have[open_] += same
-            go_on = (same == 8) & (have[open_] < most[open_])
-            open_ = open_[go_on]
+        same = equal_bytes(word[i[open_] + have[open_]] ^ word[before[open_] + have[open_]])
+        have[open_] += same
+        open_ = open_[(same == 8) & (have[open_] < most[open_])]
+        if len(open_):
+            on = have[open_][:, None] + steps
+            last = len(word) - 1
+            differ = word[np.minimum(i[open_][:, None] + on, last)] ^ word[np.minimum(before[open_][:, None] + on, last)]
+            at = np.argmax(differ != 0, axis=1)  # the first word that differs; without one the first of all, in which 8 bytes are equal
+            found = differ[np.arange(len(at)), at]
+            have[open_] += np.where(found == 0, 8 * len(steps), 8 * at + equal_bytes(found))
         h[who] = out[i] = np.minimum(have, most)
     return out
 
