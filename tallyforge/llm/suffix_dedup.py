@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,6 +41,8 @@ SAMPLED, LISTED = 32, 1000
 RANGE = 200_000
 #: Pieces of a chunk of texts, which a task sorts together before it sends them on.
 TOGETHER = 250_000
+#: Bytes of pieces that a task brings to the shards at once.
+BROUGHT = 1 << 23
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -296,15 +299,17 @@ def repeated_pieces(table: DataFrame, n_buckets: int) -> DataFrame:
     wanted = dealt.repartition(n_buckets, "row").groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "k", "at", "shard", "hot")).alias("list"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["shard", "hot", "anchor", "content", "k", "windows", "raw"]
         for b in batches:
-            for i in range(len(b)):
-                raw, out = b.column(0)[i].as_buffer().to_pybytes(), []
-                for r in b.column(1)[i].as_py():
-                    start, windows = r["at"] >> 16, r["at"] & 65535
-                    out.append((r["shard"], r["hot"], r["anchor"], r["content"], r["k"], windows, raw[start : start + windows + SPAN - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=names)
+            texts = [memoryview(v.as_buffer()) for v in b.column(0)]
+            listed = b.column(1).flatten()
+            own = {c: listed.field(c) for c in ("shard", "hot", "anchor", "content", "k")}
+            at, of = listed.field("at").to_numpy(), np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy())
+            start, windows = at >> 16, at & 65535
+            end = start + windows + SPAN - 1
+            edge = np.flatnonzero(np.diff(np.cumsum(end - start) // BROUGHT, prepend=-1, append=-1))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                raw = [bytes(texts[t][s:e]) for t, s, e in zip(of[i:j].tolist(), start[i:j].tolist(), end[i:j].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(v[i:j] for v in own.values()), pa.array(windows[i:j].astype(np.int32)), pa.array(raw, pa.binary())], names=[*own, "windows", "raw"])
 
     brought = table.join(wanted, "row").select("text", "list").mapInArrow(fetch, "shard long, hot boolean, anchor long, content long, k long, windows int, raw binary")
 
@@ -335,12 +340,22 @@ def covered(table: DataFrame, found: DataFrame, salts: int) -> DataFrame:
     answers = asked.join(waiting, ["anchor", "content", "salt"]).select("chunk", "row", "at", "more", "spans")
 
     def by_row(answers: pa.Table) -> pa.Table:
-        own: dict[int, list[np.ndarray]] = {}
-        for row, at, more, spans in zip(*(answers.column(c).to_pylist() for c in ("row", "at", "more", "spans")), strict=True):
-            runs = np.frombuffer(b"".join(spans), "<u2").astype(np.int64)
-            for r, a in zip([row, *more[::2]], [at, *more[1::2]], strict=True):
-                own.setdefault(r, []).append(runs + (a >> 16))
-        return pa.table({"row": pa.array(list(own), pa.int64()), "spans": pa.array([np.concatenate(x).astype("<i8").tobytes() for x in own.values()], pa.binary())})
+        row, at, more, spans = (answers.column(c).combine_chunks() for c in ("row", "at", "more", "spans"))
+        n, rest = np.arange(len(row)), more.flatten().to_numpy()
+        # the runs of each answer, then those of each place that it is for
+        runs = np.frombuffer(b"".join(spans.flatten().to_pylist()), "<u2").astype(np.int64).reshape(-1, 2)
+        size = np.bincount(np.repeat(n, spans.value_lengths().to_numpy()), pc.binary_length(spans.flatten()).to_numpy() // 4, len(n)).astype(np.int64)
+        of = np.r_[n, np.repeat(n, more.value_lengths().to_numpy() // 2)]
+        row, at = np.r_[row.to_numpy(), rest[::2]], np.r_[at.to_numpy(), rest[1::2]] >> 16
+        order = np.argsort(row, kind="stable")
+        of, row, at = of[order], row[order], at[order]
+        own = size[of]
+        which = np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        placed = (runs[which] + np.repeat(at, own)[:, None]).astype("<i8")
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        edge = 16 * np.r_[0, np.cumsum(np.add.reduceat(own, first))]
+        data = memoryview(placed.tobytes())
+        return pa.table({"row": pa.array(row[first]), "spans": pa.array([bytes(data[a:z]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())})
 
     return answers.groupBy("chunk").applyInArrow(by_row, "row long, spans binary")
 
