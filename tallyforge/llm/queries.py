@@ -16,6 +16,7 @@ NAMES = {
     "op8_url_filters": "url_filters",
     "op9_sharding": "sharding",
     "op10_decontamination": "decontamination",
+    "op13_merkle_manifest": "merkle",
 }
 
 
@@ -24,6 +25,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyforge.llm import url_filters
+    from tallyforge.llm import merkle, url_filters
 
-    return {"op8_url_filters": url_filters.SQL}
+    return {"op8_url_filters": url_filters.SQL, "op13_merkle_manifest": merkle.SQL}
