@@ -16,6 +16,7 @@ NAMES = {
     "op8_url_filters": "url_filters",
     "op9_sharding": "sharding",
     "op10_decontamination": "decontamination",
+    "op11_token_counts": "token_counts",
     "op13_merkle_manifest": "merkle",
 }
 
