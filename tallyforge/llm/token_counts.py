@@ -1,17 +1,18 @@
 """Token counts by distinct pre-tokens: no text's ids are ever built.
 
 1. Each text is cut into pre-tokens, which are counted per document (one pass). Documents stand in units of about UNIT bytes; within
-   a unit a pre-token is a number. A table in the shared folder keeps the documents' (number, times) lists and each unit's pre-tokens.
-2. Pre-tokens are made distinct over all units, and the tokenizer's model counts the pieces of each distinct one once.
-3. Units ask for their pre-tokens' counts by a join, one row for each pre-token of a unit, however often it occurs there. A pre-token of more
-   than an eighth of the units is one of at most eight times as many as a unit has: those few are broadcast, so no key of the join has more rows.
-4. Each unit sums times x pieces over its documents' lists.
+   a unit a pre-token is a number. A table in the shared folder keeps the documents' (number, times) lists and each unit's pre-tokens,
+   numbered and listed by hash buckets.
+2. A bucket has each of its pre-tokens from all units: the distinct ones' pieces are counted once, by the tokenizer's model, and every
+   unit gets its list's counts back, in its order. However often a pre-token occurs, a unit asks for it once.
+3. Each unit sums times x pieces over its documents' lists.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,13 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import read, staged, texts
+from tallyforge.llm.shared import prefix_sums, read, shared_dir, span_hashes, texts
 
 LIMIT = 512
-#: Bytes of text in a unit; a longer document is a unit of its own.
-UNIT = 2 << 20
-#: A pre-token is broadcast from this share of the units on, and from this number on.
-HOT_SHARE, HOT_UNITS = 8, 256
+#: Bytes of text in a unit; a longer document is a unit of its own. There is a bucket of pre-tokens for each BUCKET bytes of text.
+UNIT, BUCKET = 16 << 20, 16 << 20
 # fixed values: the byte-level pre-tokenizer's pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of which this module's and the tokenizer's pattern libraries know the same classes; texts with others go through the tokenizer's.
@@ -90,90 +89,122 @@ def pre_tokens(path: str) -> PreTokens:
     return _loaded[path]
 
 
-KINDS = pa.schema([("unit", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("which", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("place", pa.int32()), ("pre_token", pa.string())])
-
-
-def unit_rows(unit: int, ids: list, sizes: list[int], lists: list[tuple[list[int], list[int]]], words: list[str]) -> Iterator[pa.RecordBatch]:
-    """A unit's documents with their lists, then its pre-tokens."""
-    n, none = len(ids), lambda k, t: pa.nulls(k, t)
-    offsets = pa.array(np.r_[0, np.cumsum([len(a) for a, _ in lists])].astype(np.int32))
-    flat = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.asarray(x[i], np.int32) for x in lists]))) for i in (0, 1)]
-    yield pa.RecordBatch.from_arrays([pa.array([unit] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *flat, none(n, pa.int32()), none(n, pa.string())], schema=KINDS)
-    for i in range(0, len(words), 10_000):
-        own = words[i : i + 10_000]
-        k = len(own)
-        yield pa.RecordBatch.from_arrays([pa.array([unit] * k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, KINDS.field("which").type), none(k, KINDS.field("times").type), pa.array(np.arange(i, i + k, dtype=np.int32)), pa.array(own, pa.string())], schema=KINDS)
-
-
-def frequencies(docs: DataFrame, path: str, unit_bytes: int) -> DataFrame:
-    """Rows of documents (unit, doc_id, n_bytes, which, times) and of their units' pre-tokens (unit, place, pre_token)."""
+KINDS = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("steps", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string()))])
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs, after a byte that says how many those are."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+class Unit:
+    """The documents of a unit with their pre-tokens' numbers, in order of first use until the unit ends."""
+
+    def __init__(self, number: int):
+        self.number, self.room = number, 0
+        self.words: defaultdict = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.ids, self.sizes, self.lists = [], [], []
+
+    def add(self, doc_id: int | None, size: int, counts: Counter) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(size)
+        self.room += size
+        n = len(counts)
+        self.lists.append((np.fromiter(map(self.words.__getitem__, counts), np.int32, n), np.fromiter(counts.values(), np.int64, n)))
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Rows of the documents, whose numbers go by bucket now, and one row of words for each bucket."""
+        words = pa.array(list(self.words), pa.string())
+        bucket = np.zeros(0, np.int64)
+        if len(words):
+            offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+            hashes = span_hashes(prefix_sums(np.frombuffer(words.buffers()[2] or b"", np.uint8)), offsets[:-1], offsets[1:])
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        for i in range(0, len(self.ids), 1000):
+            rows = []
+            for doc_id, size, (which, times) in zip(self.ids[i : i + 1000], self.sizes[i : i + 1000], self.lists[i : i + 1000], strict=True):
+                at = place[which]
+                by = np.argsort(at)
+                rows.append((self.number, None, doc_id, size, narrow(np.diff(at[by], prepend=0)), narrow(times[by]), None))
+            yield self.batch(rows)
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        listed = words.take(pa.array(order))
+        for i in range(0, len(first), 1000):
+            starts = first[i : i + 1000]
+            ends = np.r_[first[i + 1 : i + 1001], len(order)][: len(starts)]
+            yield self.batch([(self.number, int(bucket[order[a]]), None, None, None, None, listed[a:z].to_pylist()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+    @staticmethod
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), KINDS, strict=True)], schema=KINDS)
+
+
+def frequencies(docs: DataFrame, path: str, unit_bytes: int, buckets: int) -> DataFrame:
+    """Rows of documents (unit, doc_id, n_bytes, steps, times) and of their units' pre-tokens (unit, bucket, words), written once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, unit = pre_tokens(path), TaskContext.get().partitionId() << 32
-        number: defaultdict = defaultdict()
-        number.default_factory = number.__len__
-        ids, sizes, lists, room = [], [], [], unit_bytes
+        own, unit = pre_tokens(path), Unit(TaskContext.get().partitionId() << 32)
         for batch in batches:
             bytes_of = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for doc_id, size, text in zip(batch.column(0).to_pylist(), bytes_of, batch.column(1), strict=True):
-                if ids and size > room:
-                    yield from unit_rows(unit, ids, sizes, lists, list(number))
-                    unit, ids, sizes, lists, room = unit + 1, [], [], [], unit_bytes
-                    number.clear()
-                found = own.counts(text.as_py() or "")
-                ids.append(doc_id)
-                sizes.append(size)
-                lists.append((list(map(number.__getitem__, found)), list(found.values())))
-                room -= size
-        if ids:
-            yield from unit_rows(unit, ids, sizes, lists, list(number))
-
-    return texts(docs).mapInArrow(count, "unit long, doc_id long, n_bytes long, which array<int>, times array<int>, place int, pre_token string")
-
-
-def counted(words: DataFrame, path: str) -> DataFrame:
-    """pre_token, units, pieces of distinct pre-tokens (with units)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pre_tokens(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.pieces(batch.column(0).to_pylist()), pa.int64())], names=["pre_token", "units", "pieces"])
+                if unit.ids and unit.room + size > unit_bytes:
+                    yield from unit.rows(buckets)
+                    unit = Unit(unit.number + 1)
+                unit.add(doc_id, size, own.counts(text.as_py() or ""))
+        if unit.ids:
+            yield from unit.rows(buckets)
 
-    return words.select("pre_token", "units").mapInArrow(count, "pre_token string, units long, pieces long")
+    made = docs.mapInArrow(count, "unit long, bucket int, doc_id long, n_bytes long, steps binary, times binary, words array<string>")
+    folder = f"{shared_dir(docs.sparkSession)}/pre-tokens-{uuid.uuid4().hex}"
+    made.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(made.schema).parquet(folder)
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, unit_bytes: int = UNIT) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, unit_bytes: int = UNIT, bucket_bytes: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row of docs (doc_id, text).
 
     Counts are those of the tokenizer file without begin, end or added special tokens; special strings inside texts are one token each. A
     null text counts as empty and has no tokens; a null doc_id stays null; repeated rows are counted each. A pre-token may be as long as a
     text. An empty table gives an empty result; other columns are left out, whatever their names.
     """
-    path = tokenizer or default_tokenizer()
-    table = staged(frequencies(docs, path, unit_bytes), "pre-tokens")
-    asked = table.where("place IS NOT NULL").select("unit", "place", "pre_token")
-    units = table.agg(F.count_distinct("unit").alias("n")).first()["n"]
-    known = staged(counted(asked.groupBy("pre_token").agg(F.count("*").alias("units")), path), "pieces")
-    # at most HOT_SHARE times the mean number of pre-tokens in a unit
-    often = F.col("units") > max(HOT_UNITS, units // HOT_SHARE)
-    hot = known.where(often).select("pre_token", F.col("pieces").alias("hot_pieces"))
-    marked = asked.join(F.broadcast(hot), "pre_token", "left")
-    frequent = marked.where("hot_pieces IS NOT NULL").select("unit", "place", F.col("hot_pieces").alias("pieces"))
-    rest = marked.where("hot_pieces IS NULL").join(known.where(~often).select("pre_token", "pieces"), "pre_token").select("unit", "place", "pieces")
-    answers = frequent.unionByName(rest).withColumnRenamed("unit", "of")
-    documents = table.where("place IS NULL").select("unit", "doc_id", "n_bytes", "which", "times")
-
-    def total(own: pa.Table, answers: pa.Table) -> pa.Table:
-        pieces = np.zeros(len(answers), np.int64)
-        pieces[answers.column("place").to_numpy()] = answers.column("pieces").to_numpy()
-        own = own.combine_chunks()
-        which, times = (pc.list_flatten(own.column(c)).to_numpy() for c in ("which", "times"))
-        ends = np.cumsum(pc.list_value_length(own.column("which")).to_numpy())
-        sums = np.r_[0, np.cumsum(pieces[which] * times)][np.r_[0, ends]]
-        tokens = np.diff(sums)
-        return pa.table({"doc_id": own.column("doc_id"), "n_bytes": own.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array(tokens > limit)})
-
-    return documents.groupBy("unit").cogroup(answers.groupBy("of")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    path, docs = tokenizer or default_tokenizer(), texts(docs)
+    pre_tokens(path)  # refuses here what it can't count
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    table = frequencies(docs, path, unit_bytes, max(1, -(-total // bucket_bytes)))
+
+    def pieces(asked: pa.Table) -> pa.Table:
+        """The pieces of the pre-tokens of a bucket, for each unit in its order."""
+        asked = asked.combine_chunks()
+        lists = asked.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        words, found = coded.dictionary.to_pylist(), []
+        for i in range(0, len(words), 10_000):
+            found += pre_tokens(path).pieces(words[i : i + 10_000])
+        values = np.array(found, np.int64)[coded.indices.to_numpy()]
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        return pa.table({"unit": asked.column("unit"), "bucket": asked.column("bucket"), "pieces": pa.array([narrow(x) for x in np.split(values, ends[:-1])], pa.binary())})
+
+    def sums(own: pa.Table, answers: pa.Table) -> pa.Table:
+        by = np.argsort(answers.column("bucket").to_numpy())
+        listed = answers.column("pieces").to_pylist()
+        pieces = np.concatenate([np.zeros(0, np.int64)] + [wide(listed[i]) for i in by])
+        steps, times = own.column("steps").to_pylist(), own.column("times").to_pylist()
+        tokens = [int(pieces[np.cumsum(wide(a))] @ wide(b)) if len(a) > 1 else 0 for a, b in zip(steps, times, strict=True)]
+        return pa.table({"doc_id": own.column("doc_id"), "n_bytes": own.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens], pa.bool_())})
+
+    asked = table.where("bucket IS NOT NULL").select("unit", "bucket", "words")
+    answers = asked.groupBy("bucket").applyInArrow(pieces, "unit long, bucket int, pieces binary").withColumnRenamed("unit", "of")
+    documents = table.where("bucket IS NULL").select("unit", "doc_id", "n_bytes", "steps", "times")
+    return documents.groupBy("unit").cogroup(answers.groupBy("of")).applyInArrow(sums, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
