@@ -17,6 +17,7 @@ NAMES = {
     "op9_sharding": "sharding",
     "op10_decontamination": "decontamination",
     "op11_token_counts": "token_counts",
+    "op12_collocations": "collocations",
     "op13_merkle_manifest": "merkle",
 }
 
@@ -26,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyforge.llm import merkle, url_filters
+    from tallyforge.llm import collocations, merkle, url_filters
 
-    return {"op8_url_filters": url_filters.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op8_url_filters": url_filters.SQL, "op12_collocations": collocations.SQL, "op13_merkle_manifest": merkle.SQL}
