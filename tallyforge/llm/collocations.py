@@ -5,7 +5,7 @@
    are equal are one state, found in a register when their block is frozen.
 2. Union: the transducers of one range, from all shards, are added up; phrases under the least count go, as all parts of a frequent
    phrase are as frequent themselves.
-3. Parts: each range builds a transducer of the parts that its candidates ask for (without their last, or first, word), weighted by the largest
+3. Parts: each range builds a transducer of the parts that its candidates ask for (both sides of each cut), weighted by the largest
    count of a candidate that asks. Cut by ranges, it is composed with the counts of the range that has the parts. Counts come
    back in the order in which they were asked; the weights tell the other range which of its candidates lie inside a longer one.
 4. Scores are exact integers. A range hands on the best of each language, which are ranked in two steps.
@@ -401,12 +401,14 @@ def built(docs: DataFrame, keys: list[Key], longest: int, shard_bytes: int) -> D
 
 
 def parts(trie: Trie) -> Trie:
-    """What the candidates of a trie ask for: each without its last and without its first word; weights are the largest count of those who ask."""
+    """What the candidates of a trie ask for: both parts at each cut; weights are the largest count of those who ask."""
     asked: list[list] = [[] for _ in range(trie.depth - 1)]
     for level in range(2, trie.depth):
         has = np.flatnonzero(trie.count[level])
         path, count = trie.paths(level)[has], trie.count[level][has]
-        asked[level - 1] += [(path[:, :-1], count), (np.delete(path, 1, axis=1), count)]
+        for k in range(1, level):
+            asked[k].append((path[:, : 1 + k], count))
+            asked[level - k].append((np.delete(path, range(1, 1 + k), axis=1), count))
     none = lambda i: (np.zeros((0, i + 1), np.int64), np.zeros(0, np.int64))
     paths = [tuple(np.concatenate(x) for x in zip(*own, strict=True)) if own else none(i) for i, own in enumerate(asked)]
     return tree(trie.words, paths, np.maximum)
