@@ -33,28 +33,30 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase lies inside a longer one, and is dropped, if the longer one has this many hundredths of its occurrences.
 INSIDE = 50
 #: Bytes of text whose phrases a task counts at a time, and bytes of text for each range of prefixes. Larger ones share more, and take more memory.
-SHARD, RANGE = 8 << 20, 16 << 20
+SHARD, RANGE = 8 << 20, 8 << 20
 #: Bytes of text sampled to lay the ranges, for each of them. Where ranges begin decides no result.
 SAMPLED = 64 << 10
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORD = word_table(b"\x20\x09" + BREAKS)
 BREAK = ~word_table(BREAKS)
+#: Phrases of a range's transducers that are added up together.
+TOGETHER = 2_000_000
 #: First-word subtrees that are frozen together.
 BLOCK_OF = 4096
 
 Key = tuple[bytes, ...]
 
 
-def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the first place of each, and which one each key is."""
-    return np.unique(key, return_index=True, return_inverse=True)
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and which one each key is."""
+    return np.unique(key, return_inverse=True)
 
 
 @dataclass
 class Trie:
     """Phrases as a tree in sorted order: at each level a node's parent (at the level before), word and count. Level 0 is the language."""
 
-    words: list[bytes]  # in the order of word + space, which is the order of whole phrases, too
+    words: list[bytes]  # each with a space after it, sorted: so phrases are in the order of their bytes, too
     parent: list[np.ndarray]
     label: list[np.ndarray]
     count: list[np.ndarray]
@@ -79,7 +81,7 @@ class Trie:
                 out.append(at)
                 continue
             a, z = (0, len(self.label[0])) if not level else (int(x) for x in self.first_child(level, np.array([at, at + 1])))
-            word = bisect_left(self.words, key[level] + b" ", key=lambda w: w + b" ")
+            word = bisect_left(self.words, key[level])
             known = word < len(self.words) and self.words[word] == key[level]
             at = a + int(np.searchsorted(self.label[level][a:z], word))
             exact = known and at < z and self.label[level][at] == word
@@ -134,7 +136,7 @@ def tree(words: list[bytes], paths: list[tuple[np.ndarray, np.ndarray]], total=n
     for level in range(depth):
         longer = range(level, depth)
         key = np.concatenate([tries[i] * width + paths[i][0][:, level] for i in longer])
-        distinct, _, which = grouped(key)
+        distinct, which = grouped(key)
         count = np.full(len(distinct), start, np.int64)
         total.at(count, which[: len(paths[level][0])], paths[level][1])
         for i, own in zip(longer, np.split(which, np.cumsum([len(tries[i]) for i in longer])[:-1]), strict=True):
@@ -146,14 +148,16 @@ def tree(words: list[bytes], paths: list[tuple[np.ndarray, np.ndarray]], total=n
 
 def union(tries: list[Trie], total=np.add) -> Trie:
     """All phrases of tries of one depth, their counts added up (or met by another total)."""
-    words = sorted({w for t in tries for w in t.words}, key=lambda w: w + b" ")
+    if len(tries) == 1:
+        return tries[0]
+    words = sorted(set().union(*(t.words for t in tries)))
     number = {w: i for i, w in enumerate(words)}
     to = [np.array([number[w] for w in t.words], np.int64) for t in tries]
     node = [np.zeros(1, np.int64) for _ in tries]
     parent, label, count = [], [], []
     for level in range(tries[0].depth):
         key = np.concatenate([n[t.parent[level]] * max(1, len(words)) + m[t.label[level]] for t, n, m in zip(tries, node, to, strict=True)])
-        distinct, _, which = grouped(key)
+        distinct, which = grouped(key)
         own = np.zeros(len(distinct), np.int64)
         total.at(own, which, np.concatenate([t.count[level] for t in tries]))
         node = np.split(which, np.cumsum([len(t.label[level]) for t in tries])[:-1])
@@ -200,7 +204,7 @@ class Transducer:
         label, count, target = trie.label[d], trie.count[d], to[d]
         salt = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
         x = mixed(mixed(mixed(label[a:z].astype(np.uint64) * salt[0]) + count[a:z].astype(np.uint64) * salt[1]) + target[a:z].astype(np.uint64) * salt[2])
-        sums, one, which = grouped(np.add.reduceat(x, start - a))
+        sums, one, which = np.unique(np.add.reduceat(x, start - a), return_index=True, return_inverse=True)
         ids, register = np.empty(len(sums), np.int64), self.register[d]
         fresh = []
         for k, s in enumerate(sums.tolist()):
@@ -239,7 +243,7 @@ class Transducer:
     def pack(self) -> bytes:
         """Words, then sizes of states, words, counts and targets of each depth, in as few bytes a number as they need."""
         out = [np.array([self.depth], "<i8").tobytes()]
-        for x in [np.frombuffer(b" ".join(self.words), np.uint8), *(y for d in range(self.depth) for y in (np.diff(self.first[d]), self.label[d], self.count[d], self.target[d]))]:
+        for x in [np.frombuffer(b"".join(self.words), np.uint8), *(y for d in range(self.depth) for y in (np.diff(self.first[d]), self.label[d], self.count[d], self.target[d]))]:
             kind = np.min_scalar_type(int(x.max(initial=0)))
             out += [np.array([len(x), kind.itemsize], "<i8").tobytes(), x.astype(kind).tobytes()]
         return b"".join(out)
@@ -253,7 +257,7 @@ def unpack(raw: bytes) -> Trie:
         n, width = np.frombuffer(raw, "<i8", 2, at).tolist()
         found.append(np.frombuffer(raw, f"<u{width}", n, at + 16))
         at += 16 + n * width
-    words = found[0].tobytes().split(b" ")
+    words = [w + b" " for w in found[0].tobytes().split(b" ")[:-1]]
     parent, label, count, state, above = [], [], [], np.array([1]), np.array([0])
     for d in range(depth):
         sizes, *rest = (x.astype(np.int64) for x in found[1 + 4 * d : 5 + 4 * d])
@@ -299,15 +303,15 @@ def compose(asked: Trie, counts: Trie) -> np.ndarray:
 
 def shard_trie(words: np.ndarray, follows: np.ndarray, langs: np.ndarray, texts: list[bytes], names: list[bytes], longest: int) -> Trie:
     """The phrases of a shard: of each word occurrence its word and language (numbers in texts and names) and whether the next one follows in the same piece."""
-    vocabulary = sorted(set(texts) | set(names), key=lambda w: w + b" ")
+    vocabulary = sorted({*texts, *names})
     number = {w: i for i, w in enumerate(vocabulary)}
     word = np.array([number[w] for w in texts], np.int64)[words] if len(words) else words
     width = max(1, len(vocabulary))
-    lang, _, which = grouped(np.array([number[w] for w in names], np.int64)[langs] if len(words) else langs)
+    lang, which = grouped(np.array([number[w] for w in names], np.int64)[langs] if len(words) else langs)
     parent, label, count = [np.zeros(len(lang), np.int64)], [lang], [np.zeros(len(lang), np.int64)]
     at = np.arange(len(word))  # where the phrases of the level's length begin
     for level in range(longest):
-        distinct, _, place = grouped(which * width + word[at + level])
+        distinct, place = grouped(which * width + word[at + level])
         parent.append(distinct // width)
         label.append(distinct % width)
         count.append(np.bincount(place, minlength=len(distinct)))
@@ -318,46 +322,37 @@ def shard_trie(words: np.ndarray, follows: np.ndarray, langs: np.ndarray, texts:
 
 def shards(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Iterator[Trie]:
     """The tries of runs of about size bytes of the batches' texts (language, text)."""
-    got, room = [], size
-    known: dict[int, int] = {}
-    texts: list[bytes] = []
+    got, raws, room = [], [], size
     names: dict[bytes, int] = {}
 
     def flush() -> Trie:
-        columns = [np.concatenate(x) for x in zip(*got, strict=True)]
-        return shard_trie(*columns, texts, list(names), longest)
+        hashes, start, end, follows, langs = (np.concatenate(x) for x in zip(*got, strict=True))
+        first, words = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+        block = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])[first]
+        texts = [raws[i][a:z] + b" " for i, a, z in zip(block.tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
+        return shard_trie(words, follows, langs, texts, list(names), longest)
 
     for batch in batches:
-        lang = np.array([names.setdefault(x.encode().hex().encode(), len(names)) for x in batch.column(0).to_pylist()], np.int64)
+        lang = np.array([names.setdefault(x.encode().hex().encode() + b" ", len(names)) for x in batch.column(0).to_pylist()], np.int64)
         for first, _, data, offsets in blocks(batch.column(1)):
             data = LOWER[data]
             start, end, row = word_spans(data, offsets, WORD)
             if not len(start):
                 continue
-            hashes, one, which = grouped(span_hashes(prefix_sums(data), start, end))
-            raw, ids = data.tobytes(), []
-            for h, a, z in zip(hashes.tolist(), start[one].tolist(), end[one].tolist(), strict=True):
-                if h not in known:
-                    known[h] = len(texts)
-                    texts.append(raw[a:z])
-                ids.append(known[h])
             broken = np.r_[0, np.cumsum(BREAK[data])]
             follows = np.r_[(row[1:] == row[:-1]) & (broken[start[1:]] == broken[end[:-1]]), False]
-            got.append((np.array(ids, np.int64)[which], follows, lang[first + row]))
+            got.append((span_hashes(prefix_sums(data), start, end), start.astype(np.int32), end.astype(np.int32), follows, lang[first + row].astype(np.int32)))
+            raws.append(data.tobytes())
             room -= len(data)
             if room <= 0:
                 yield flush()
-                got, room = [], size
-                known, texts = {}, []
-                names_now = list(names)
-                names.clear()
-                names.update({w: i for i, w in enumerate(names_now)})
+                got, raws, room = [], [], size
     if got:
         yield flush()
 
 
 def sort_key(key: Key) -> bytes:
-    return b"".join(w + b" " for w in key)
+    return b"".join(key)
 
 
 def range_keys(docs: DataFrame, total: int, longest: int, range_bytes: int) -> list[Key]:
@@ -379,7 +374,7 @@ def range_keys(docs: DataFrame, total: int, longest: int, range_bytes: int) -> l
     rank = F.row_number().over(W.partitionBy("part").orderBy("key"))
     ordered = keys.repartitionByRange("key").withColumn("part", F.spark_partition_id())
     found = ordered.withColumn("rank", rank).where(F.col("rank") % share == 0).select("key").distinct().collect()  # about as many as there are ranges
-    return sorted((tuple(r["key"].split(b" ")[:-1]) for r in found), key=sort_key)
+    return sorted((tuple(w + b" " for w in r["key"].split(b" ")[:-1]) for r in found), key=sort_key)
 
 
 def arrow(kind: str) -> list[str]:
@@ -461,14 +456,14 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
 
     def add_up(group: pa.Table) -> pa.Table:
         """The frequent phrases of a range, and the number of words of each language that begin here."""
-        at, own = group.column("range")[0].as_py(), []
-        for _, body in rows_of(group):
-            own.append(unpack(body))
-            while len(own) > 1 and len(own[-2]) <= 2 * len(own[-1]):  # equal sizes meet, so each phrase is added a few times only
-                own[-2:] = [union(own[-2:])]
-        whole = union(own)
+        at, whole, own = group.column("range")[0].as_py(), [], []
+        for body in group.column("body"):
+            own.append(unpack(body.as_py()))
+            if sum(map(len, own)) >= TOGETHER:
+                whole, own = [union(whole + own)], []
+        whole = union(whole + own)
         words = np.bincount(whole.parent[1], whole.count[1], len(whole.label[0])).astype(np.int64)
-        rows = [(at, WORDS, whole.words[w] + b" " + str(n).encode()) for w, n in zip(whole.label[0].tolist(), words.tolist(), strict=True) if n]
+        rows = [(at, WORDS, whole.words[w] + str(n).encode()) for w, n in zip(whole.label[0].tolist(), words.tolist(), strict=True) if n]
         frequent = [(c >= least) for c in whole.count]
         frequent[0][:] = False
         if any(k.any() for k in frequent):
@@ -533,10 +528,10 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
             for i, (line, n) in enumerate(zip(path.tolist(), a.tolist(), strict=True)):
                 cut = min((1_000_000 * n * n // (int(left[i]) * int(right[i])), k) for k, (left, right) in enumerate(sides))
                 left, right = sides[cut[1]]
-                best[own.words[line[0]]].append((-cut[0], -n, b" ".join(own.words[w] for w in line[1:]), int(left[i]), int(right[i])))
+                best[own.words[line[0]]].append((-cut[0], -n, b"".join(own.words[w] for w in line[1:])[:-1], int(left[i]), int(right[i])))
         rows = [(lang, *r) for lang, own_rows in best.items() for r in sorted(own_rows)[:top]]
         text = lambda b: b.decode("utf-8", "replace")
-        columns = [[text(bytes.fromhex(r[0].decode())) for r in rows], [text(r[3]) for r in rows], [-r[2] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [-r[1] for r in rows]]
+        columns = [[text(bytes.fromhex(r[0][:-1].decode())) for r in rows], [text(r[3]) for r in rows], [-r[2] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [-r[1] for r in rows]]
         return pa.table({c: pa.array(v, pa.string() if c in ("lang", "phrase") else pa.int64()) for c, v in zip(("lang", "phrase", "a", "l", "r", "score"), columns, strict=True)})
 
     scored = staged(counts.unionByName(answers).groupBy("range").applyInArrow(score, "lang string, phrase string, a long, l long, r long, score long"), "scored-phrases")
