@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,3 +186,45 @@ def folds(rows: DataFrame, group: str, k: int = 5, label: str = "label", seed: i
     g = rows.groupBy(group).agg(F.mode(label, True).alias("_y"))
     dealt = placed(g, group, seed, ["_y"]).select(group, F.pmod("place", F.lit(k)).cast("int").alias("fold"))
     return rows.join(dealt, group)
+
+
+def dealt(classes: pd.DataFrame, k: int) -> pd.DataFrame:
+    """classes (n0, n1: rows of label 0 and 1 in a group; m: groups of that kind) with base and rest: each fold gets base of a class, the folds in rest one more.
+
+    Classes go from large groups to small. What is left of a class goes, one group after the other, where it keeps the folds' shares of both labels
+    closest to each other; ties go to the fold with fewer rows, then to the first.
+    """
+    classes = classes.assign(size=classes["n0"] + classes["n1"]).sort_values(["size", "n1"], ascending=False)
+    have, total = np.zeros((k, 2)), np.maximum(1, (classes[["n0", "n1"]].to_numpy() * classes[["m"]].to_numpy()).sum(0))
+    rest = []
+    for n0, n1, m in classes[["n0", "n1", "m"]].itertuples(index=False):
+        own, one = [], np.array([n0, n1])
+        have += one * (m // k)
+        for _ in range(m % k):
+            share = have / total
+            # the spread after giving the group to each fold; of a fold that got one of this class, the others come first
+            spread = [(own.count(f), round(float(np.var(np.where(np.arange(k)[:, None] == f, share + one / total, share), axis=0).sum()), 15), have[f].sum(), f) for f in range(k)]
+            best = min(spread)[3]
+            own.append(best)
+            have[best] += one
+        rest.append(own)
+    return classes.assign(base=classes["m"] // k, rest=rest).drop(columns="size")
+
+
+def balanced_folds(rows: DataFrame, group: str, k: int = 5, label: str = "label", by: Sequence[str] = (), seed: int | str = 42) -> DataFrame:
+    """rows with fold, within each value of by (not null): a group lies in one fold, and each fold gets about as many rows of label 0 and of label 1.
+
+    Groups count by their (rows of label 0, rows of label 1): such classes are dealt, not groups, and a class's groups take its places in keyed order. So
+    the work beside counting grows with the distinct classes, and of each class the folds differ by one group at most.
+    """
+    whole = list(by) or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    groups = rows.groupBy(*whole, group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) != 0).alias("n1"))
+    groups = staged(groups.where(F.col(group).isNotNull()), "groups")
+    classes = groups.groupBy(*whole, "n0", "n1").agg(F.count("*").alias("m"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
+    places = classes.groupBy(*whole).applyInPandas(lambda own: dealt(own, k), f"{kinds}, base long, rest array<int>")
+    of_class = [*whole, "n0", "n1"]
+    fold = F.when(F.col("place") < F.col("base") * k, F.pmod("place", F.lit(k))).otherwise(F.get("rest", (F.col("place") - F.col("base") * k).cast("int")))
+    found = placed(groups, group, seed, of_class).join(places.drop("m"), of_class).select(*whole, group, fold.cast("int").alias("fold"))
+    return rows.join(found, [*whole, group]).drop("_all")

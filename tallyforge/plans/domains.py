@@ -137,7 +137,6 @@ def probed(s, d, where="TRUE", scale=False):
     return V.probe(S.folds(t, "grp", label="y"), "y", "embedding", "fold", scale=scale)
 
 
-register("v09_domain_probe_auc")(lambda s, d: r6(X.auc(probed(s, d, "label = 1"), score="probability", label="y"), "auc"))
 register("v10_scaled_domain_auc")(lambda s, d: r6(X.auc(probed(s, d, scale=True), score="probability", label="y"), "auc"))
 register("v11_production_weights")(lambda s, d: V.odds_weights(probed(s, d)).select("vec_id", F.round("weight", 6).alias("weight")))
 register("v12_transfer_auc")(lambda s, d: r6(X.auc(V.transfer(*[T.samples(s, d).where((F.col("role") == "train") == t) for t in (True, False)], "label", "embedding"), score="probability"), "auc"))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans import catalog, columns, counting, detection, domains, imaging, relations, sampled  # noqa: F401
+from tallyforge.plans import catalog, columns, counting, detection, domains, imaging, relations, reports, sampled  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: The rest takes as long again; TEST_ALL=1 runs all.
