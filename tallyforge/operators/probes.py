@@ -106,6 +106,19 @@ def fitted(rows: DataFrame, k: int, c: float) -> dict[str, np.ndarray]:
     return done | {cell: s[1] for cell, s in state.items()}
 
 
+def out_of_fold(data: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """The rows' other columns with z and p: the log-odds and chance of y = 1 by the fit that hasn't seen the row."""
+    rest = [f for f in data.schema if f.name != "v"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.stack([weights[a][f] for a, f in zip(pdf["c"], pdf["fold"], strict=True)])
+        z = (design(pdf["v"]) * w).sum(1)
+        return pdf[[f.name for f in rest]].assign(z=z, p=1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return data.mapInPandas(lambda parts: (score(p) for p in parts if len(p)), f"{kinds}, z double, p double")
+
+
 def cell_probes(rows: DataFrame, cell: list[str], side: Column, match: str, vector: str = "embedding", group: str = "grp", key: str = "vec_id", side_cap: int = 1500, least: int = 20, k: int = 5, c: float = 1.0, seed: int = 42) -> DataFrame:
     """cell, n, auc: of each cell of the rows outside the side, how well a linear probe tells it from the side's rows with its value of match.
 
@@ -115,12 +128,5 @@ def cell_probes(rows: DataFrame, cell: list[str], side: Column, match: str, vect
     job a step; building the result runs the jobs. An empty table gives an empty result.
     """
     sizes, data = pairs(rows, cell, side, match, vector, group, key, side_cap, least, k, seed)
-    weights = fitted(data, k, c)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.stack([weights[a][f] for a, f in zip(pdf["c"], pdf["fold"], strict=True)])
-        z = (design(pdf["v"]) * w).sum(1)
-        return pd.DataFrame({"c": pdf["c"], "y": pdf["y"], "z": z})
-
-    scored = data.select("c", "fold", "y", "v").mapInPandas(lambda parts: (score(p) for p in parts if len(p)), "c string, y int, z double")
+    scored = out_of_fold(data, fitted(data, k, c))
     return sizes.join(metrics.auc(scored, ["c"], "z", "y"), "c", "left").select(*cell, "n", "auc")

@@ -139,39 +139,65 @@ def weighted(rows: DataFrame, weight: str, n: int, key: str, seed: int | str = 4
     return g.orderBy(F.desc("gumbel"), key).limit(n)
 
 
+def before(rows: DataFrame, key: str, order: Sequence[str], part: str, sums: dict[str, Column]) -> DataFrame:
+    """rows with a column for each of sums: its sum over the rows of the same key that come before in order.
+
+    rows are parted by ranges of the order (part), so sums run inside (key, part) and are lifted by the earlier parts' totals: a key's rows are
+    never one task's. Keys aren't null.
+    """
+    totals = rows.groupBy(key, part).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row for each part at most
+    lifts = totals.select(key, part, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    inside = W.partitionBy(key, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return own.join(lifts, [key, part]).withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in sums}).drop(*[f"_t_{n}" for n in sums])
+
+
+def settled(live: DataFrame, order: Sequence[str], caps: dict[str, int]) -> DataFrame:
+    """The taken rows of a walk over live rows (with _part, _in and the keys of caps), once no row is open."""
+    while not live.where("NOT _in").isEmpty():
+        judged = live
+        for c in caps:
+            judged = before(judged, c, order, "_part", {f"_taken{c}": F.col("_in").cast("long"), f"_open{c}": (~F.col("_in")).cast("long")})
+        out, sure = F.lit(False), F.lit(True)
+        for c, cap in caps.items():
+            out, sure = out | (F.col(f"_taken{c}") >= cap), sure & (F.col(f"_taken{c}") + F.col(f"_open{c}") < cap)
+        kept = judged.where(F.col("_in") | ~out)
+        live = staged(kept.withColumn("_in", F.col("_in") | sure).select(*live.columns), "walk")
+    return live
+
+
 def two_caps(rows: DataFrame, order: Sequence[str], group: str, cap_group: int, bucket: str, cap_bucket: int, n: int | None = None) -> DataFrame:
-    """Rows that a walk in order takes while neither their group nor their bucket is full; at most n.
+    """Rows that a walk in order takes while neither their group nor their bucket is full; the first n.
 
     The walk's answer is the only one in which a row is taken if and only if fewer than cap taken rows of its group, and of its bucket, come
-    before it. Each round settles rows for certain: a row is in if fewer than cap rows that aren't out come before it on both sides, and out if
-    cap rows that are in come before it on one. The first row that isn't settled always is, so the rounds end; only open rows go on to
-    the next, with the number of settled rows that each group and bucket has taken so far. Open rows of a group or bucket beyond its
-    cap-th settled one are out at once, so a round's windows hold what is still open only.
+    before it. Each round settles rows for certain: a row is in if fewer than cap taken or open rows come before it on both sides, and out if cap
+    taken ones do on one. The first open row always settles, so the rounds end. Rows are parted once, by ranges of the order; rounds count
+    inside parts and lift by the parts before (see `before`), and only taken and open rows go on. With n, the walk goes over a first run of parts,
+    and over as many again while fewer than n are taken. Nulls are a group, and a bucket, of their own; rows equal in all of order are taken
+    in any order. Building the result runs the rounds' jobs.
     """
-    everything = staged(rows, "walk")
-    open_, taken = everything, None
-    while not open_.isEmpty():
-        judged = open_
-        for c, cap in ((group, cap_group), (bucket, cap_bucket)):
-            before = W.partitionBy(c).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-            judged = judged.withColumn(f"_open_{c}", F.count("*").over(before))
-        held = None if taken is None else taken
-        for c, cap in ((group, cap_group), (bucket, cap_bucket)):
-            if held is None:
-                judged = judged.withColumn(f"_in_{c}", F.lit(0).cast("long"))
-                continue
-            # taken rows of the group or bucket, whose order tells how many come before: at most cap of them
-            at = F.struct(*order)
-            lists = held.groupBy(c).agg(F.collect_list(at).alias("_at"))
-            judged = judged.join(lists, c, "left").withColumn(f"_in_{c}", F.coalesce(F.size(F.filter("_at", lambda x: x < at)), F.lit(0)).cast("long")).drop("_at")
-        full = (F.col(f"_in_{group}") >= cap_group) | (F.col(f"_in_{bucket}") >= cap_bucket)
-        sure = (F.col(f"_in_{group}") + F.col(f"_open_{group}") < cap_group) & (F.col(f"_in_{bucket}") + F.col(f"_open_{bucket}") < cap_bucket)
-        judged = staged(judged.select(*everything.columns, full.alias("_out"), sure.alias("_sure")), "walk")
-        fresh = judged.where("_sure AND NOT _out").drop("_out", "_sure")
-        taken = fresh if taken is None else taken.unionByName(fresh)
-        open_ = judged.where("NOT _sure AND NOT _out").drop("_out", "_sure")
-    out = everything.limit(0) if taken is None else taken
-    return out if n is None else out.orderBy(*order).limit(n)
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    ranged = rows.withColumn("_g", key(group)).withColumn("_b", key(bucket)).withColumn("_tie", F.monotonically_increasing_id())
+    walk = [*order, "_tie"]
+    ranged = staged(ranged.repartitionByRange(*walk).sortWithinPartitions(*walk).withColumn("_part", F.spark_partition_id()), "walk")
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each part
+    wanted, done, taken = 8 * n if n is not None else None, -1, ranged.limit(0).withColumn("_in", F.lit(True))
+    while True:
+        parts, seen = [p for p in sorted(sizes) if p > done], 0
+        for p in parts:
+            seen, last = seen + sizes[p], p
+            if wanted is not None and seen >= wanted:
+                break
+        if not parts:
+            break
+        fresh = ranged.where((F.col("_part") > done) & (F.col("_part") <= last)).withColumn("_in", F.lit(False))
+        taken = settled(taken.unionByName(fresh), walk, {"_g": cap_group, "_b": cap_bucket})
+        done, wanted = last, 2 * wanted if wanted is not None else None
+        if n is not None and taken.count() >= n:
+            break
+    out = taken.orderBy(*walk).limit(n) if n is not None else taken
+    return out.select(*rows.columns)
 
 
 def split(rows: DataFrame, share: float, key: str, label: str = "label", seed: int | str = 42) -> DataFrame:

@@ -164,6 +164,16 @@ def centred_pca(rows: DataFrame, fit_on: DataFrame, k: int, vector: str = "embed
     return done.drop("_v", "_c", "_p"), float(sum(model.explainedVariance))
 
 
+def standardised(rows: DataFrame, vector: str) -> DataFrame:
+    """rows with the vector's columns at mean 0 and deviation 1 over all rows; constant columns become 0."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    raw = rows.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
+    done = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(raw).transform(raw)
+    return done.withColumn(vector, vector_to_array("_s")).drop("_x", "_s")
+
+
 def probe(rows: DataFrame, label: str, vector: str, fold: str, folds: int = 5, reg: float = 0.01, scale: bool = False) -> DataFrame:
     """rows with probability: out-of-fold chance of label 1 by a linear probe with balanced weights; folds keep groups together."""
     from pyspark.ml.classification import LogisticRegression

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import domain_report as R
-from tallyforge.operators import probes, sampling
+from tallyforge.operators import mining, probes, sampling
 from tallyforge.operators import vectors as V
 from tallyforge.plans import domains as D
 from tallyforge.plans import tables as T
@@ -77,3 +77,14 @@ def sample_report(s, d):
     places = D.map_coordinates(s, d).join(on_map, "vec_id")
     out = scored(s, d).select("vec_id", "role", *CELL, "score", "error").join(D.regions(s, d).select("vec_id", "cluster"), "vec_id")
     return r6(out.join(near, "vec_id", "left").join(places, "vec_id", "left"), "coverage", "score", "x", "y")
+
+
+def mined(s, d):
+    """Candidates of label 1 outside production, scored by the trained probe, mined by likeness to production and clusters."""
+    rows = scored(s, d).drop("error")
+    pool, prod = rows.where("role <> 'prod' AND label = 1"), rows.where("role = 'prod' AND label = 1")
+    return staged(mining.mine(pool, prod, 30, "vec_id", "domain", low=0.3, high=0.9, clusters=12, per_group=8, bucket_share=0.2), "mined")
+
+
+register("k05_mined_rows")(lambda s, d: r6(mined(s, d).select("vec_id", "domain", "hardness", "pct", "section", "prod_weight", "bucket", "picked", "control"), "hardness", "pct", "prod_weight"))
+register("k05_mining_summary")(lambda s, d: r6(mining.summary(mined(s, d), "domain"), "mean_score_picked", "mean_score_control", "largest_bucket_share"))
