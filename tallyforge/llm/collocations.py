@@ -33,14 +33,14 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase lies inside a longer one, and is dropped, if the longer one has this many hundredths of its occurrences.
 INSIDE = 50
 #: Bytes of text whose phrases a task counts at a time, and bytes of text for each range of prefixes. Larger ones share more, and take more memory.
-SHARD, RANGE = 8 << 20, 8 << 20
+SHARD, RANGE = 4 << 20, 4 << 20
 #: Bytes of text sampled to lay the ranges, for each of them. Where ranges begin decides no result.
 SAMPLED = 64 << 10
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 WORD = word_table(b"\x20\x09" + BREAKS)
 BREAK = ~word_table(BREAKS)
 #: Phrases of a range's transducers that are added up together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 #: First-word subtrees that are frozen together.
 BLOCK_OF = 4096
 
@@ -258,16 +258,17 @@ def unpack(raw: bytes) -> Trie:
         found.append(np.frombuffer(raw, f"<u{width}", n, at + 16))
         at += 16 + n * width
     words = [w + b" " for w in found[0].tobytes().split(b" ")[:-1]]
-    parent, label, count, state, above = [], [], [], np.array([1]), np.array([0])
+    parent, label, count, state, above = [], [], [], np.array([1]), np.zeros(1, np.int32)
     for d in range(depth):
-        sizes, *rest = (x.astype(np.int64) for x in found[1 + 4 * d : 5 + 4 * d])
-        size, ends = sizes[state], np.cumsum(sizes)
+        sizes, words_of, counts, targets = found[1 + 4 * d : 5 + 4 * d]
+        size, ends = sizes[state].astype(np.int64), np.cumsum(sizes, dtype=np.int64)
         own = np.cumsum(size)
         at = np.repeat((ends - sizes)[state] - (own - size), size) + np.arange(own[-1] if len(own) else 0)
+        # small numbers: a range's phrases are many
         parent.append(np.repeat(above, size))
-        label.append(rest[0][at])
-        count.append(rest[1][at])
-        state, above = rest[2][at], np.arange(len(at))
+        label.append(words_of[at].astype(np.int32))
+        count.append(counts[at].astype(np.int32 if counts.itemsize < 4 else np.int64))
+        state, above = targets[at].astype(np.int32), np.arange(len(at), dtype=np.int32)
     return Trie(words, parent, label, count)
 
 
@@ -326,10 +327,13 @@ def shards(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Iterat
     names: dict[bytes, int] = {}
 
     def flush() -> Trie:
+        block_of = [len(x[0]) for x in got]
         hashes, start, end, follows, langs = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
         first, words = np.unique(hashes, return_index=True, return_inverse=True)[1:]
-        block = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])[first]
+        block = np.repeat(np.arange(len(block_of)), block_of)[first]
         texts = [raws[i][a:z] + b" " for i, a, z in zip(block.tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
+        del hashes, start, end, first, block
         return shard_trie(words, follows, langs, texts, list(names), longest)
 
     for batch in batches:
@@ -459,7 +463,7 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
         at, whole, own = group.column("range")[0].as_py(), [], []
         for body in group.column("body"):
             own.append(unpack(body.as_py()))
-            if sum(map(len, own)) >= TOGETHER:
+            if sum(map(len, own)) >= max(TOGETHER, sum(map(len, whole)) // 2):
                 whole, own = [union(whole + own)], []
         whole = union(whole + own)
         words = np.bincount(whole.parent[1], whole.count[1], len(whole.label[0])).astype(np.int64)
