@@ -213,27 +213,6 @@ def odds_weights(rows: DataFrame, probability: str = "probability", low: float =
     return o.withColumn("_m", middle.scalar()).withColumn("weight", F.least(F.lit(high), F.greatest(F.lit(low), F.col("_o") / F.col("_m")))).drop("_o", "_m")
 
 
-def frechet(a: DataFrame, b: DataFrame, vector: str) -> float:
-    """Frechet distance of Gaussian fits; means and covariances are aggregated in Spark, the small matrices are solved here."""
-
-    def moments(t: DataFrame):
-        v = F.col(vector).cast("array<double>")
-        d = t.select(F.size(v)).first()[0]
-        each = t.select(F.posexplode(v).alias("i", "x"), v.alias("v")).select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-        n = t.count()
-        mean, cov = np.zeros(d), np.zeros((d, d))
-        for r in each.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m")).collect():  # d (d + 1) / 2 rows
-            cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["c"]
-            mean[r["i"]] = r["m"]
-        return n, mean, cov
-
-    (_, m1, c1), (_, m2, c2) = moments(a), moments(b)
-    w, q = np.linalg.eigh(c1)
-    root = q @ np.diag(np.sqrt(np.maximum(w, 0))) @ q.T
-    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ c2 @ root), 0)).sum()
-    return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)
-
-
 def kmeans(rows: DataFrame, k: int, vector: str, seed: int = 42) -> DataFrame:
     """rows with cluster."""
     from pyspark.ml.clustering import KMeans

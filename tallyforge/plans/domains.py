@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import aggregates as A
+from tallyforge.operators import gaps as G
 from tallyforge.operators import metrics as X
 from tallyforge.operators import sampling as S
 from tallyforge.operators import vectors as V
@@ -147,8 +148,8 @@ register("v13_centroid_distance", VS + ", e AS (SELECT role = 'prod' AS side, ge
 
 @register("v14_frechet_distance")
 def frechet(s, d):
-    z = V.centred_pca(T.samples(s, d), T.samples(s, d), 8)[0]
-    return s.range(1).select(F.lit(round(V.frechet(z.where("role = 'prod'"), z.where("role <> 'prod'"), "z"), 6)).alias("distance"))
+    value = G.frechet(*G.moments(T.samples(s, d), F.col("role") == "prod"))
+    return s.createDataFrame([(round(value, 6),)], "distance double")
 
 
 CROSS = VS + near_sql("nb", "TRUE", "TRUE") + " SELECT a.role = 'prod' AS prod, round(avg(CAST((b.role = 'prod') <> (a.role = 'prod') AS INT)), 6) AS cross_share FROM nb JOIN samples a ON query_id = a.vec_id JOIN samples b ON neighbour_id = b.vec_id GROUP BY 1"
@@ -163,16 +164,7 @@ def cross_share(s, d, where="TRUE"):
 register("v15_cross_share", CROSS)(cross_share)
 
 
-@register("v16_gap_report")
-def gap_report(s, d):
-    out = None
-    for scope, where in (("all", "TRUE"), ("label 0", "label = 0"), ("label 1", "label = 1")):
-        t = T.samples(s, d).where(where)
-        part = X.auc(probed(s, d, where, scale=True), score="probability", label="y").select(F.lit("auc").alias("metric"), F.col("auc").alias("amount"))
-        part = part.unionByName(V.centroid_distance(t, F.col("role") == "prod").select(F.lit("centroid").alias("metric"), F.col("distance").alias("amount")))
-        part = part.unionByName(cross_share(s, d, where).where("prod").select(F.lit("cross_share").alias("metric"), F.col("cross_share").alias("amount"))).withColumn("scope", F.lit(scope))
-        out = part if out is None else out.unionByName(part)
-    return r6(out, "amount")
+register("v16_gap_report")(lambda s, d: r6(G.gap_report(T.samples(s, d), F.col("role") == "prod", k=K), "amount"))
 
 
 def regions(s, d):
