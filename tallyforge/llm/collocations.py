@@ -156,7 +156,7 @@ def union(tries: list[Trie], total=np.add) -> Trie:
     node = [np.zeros(1, np.int64) for _ in tries]
     parent, label, count = [], [], []
     for level in range(tries[0].depth):
-        key = np.concatenate([n[t.parent[level]] * max(1, len(words)) + m[t.label[level]] for t, n, m in zip(tries, node, to, strict=True)])
+        key = np.concatenate([n[t.parent[level]].astype(np.int64) * max(1, len(words)) + m[t.label[level]] for t, n, m in zip(tries, node, to, strict=True)])
         distinct, which = grouped(key)
         own = np.zeros(len(distinct), np.int64)
         total.at(own, which, np.concatenate([t.count[level] for t in tries]))
@@ -292,7 +292,7 @@ def compose(asked: Trie, counts: Trie) -> np.ndarray:
     to = np.array([number.get(w, -1) for w in asked.words], np.int64)
     node, width, out = np.zeros(1, np.int64), max(1, len(counts.words)), []
     for level in range(min(asked.depth, counts.depth)):
-        keys = counts.parent[level] * width + counts.label[level]
+        keys = counts.parent[level].astype(np.int64) * width + counts.label[level]
         label, above = to[asked.label[level]], node[asked.parent[level]]
         key = np.where((label < 0) | (above < 0), -1, above * width + label)
         at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
@@ -548,7 +548,7 @@ def counted(own: Trie, look: Trie, path: np.ndarray) -> np.ndarray:
     to = np.array([number.get(w, -1) for w in own.words], np.int64)
     node, width = np.zeros(len(path), np.int64), max(1, len(look.words))
     for level in range(path.shape[1]):
-        keys = look.parent[level] * width + look.label[level]
+        keys = look.parent[level].astype(np.int64) * width + look.label[level]
         node = np.searchsorted(keys, node * width + to[path[:, level]])
     return look.count[path.shape[1] - 1][node]
 

@@ -175,3 +175,15 @@ def test_merkle_against_sql(spark):
     assert merkle.manifest(merkle.document_leaves(docs.where("1 = 0")), ["doc_id"]).count() == 0
     one = merkle.manifest(merkle.document_leaves(docs.limit(1)), ["doc_id"]).select(F.col("leaf") == F.col("root")).first()
     assert one[0]
+
+
+def test_compose_with_many_words():
+    """Products of nodes and words pass 32 bits, though tries that were packed have 32-bit numbers."""
+    n = 60_000
+    words = [f"w{i:06d} ".encode() for i in range(n)]
+    lang, first = np.zeros((n, 1), np.int64), np.arange(n)[:, None]
+    paths = [(lang[:1], np.ones(1, np.int64)), (np.c_[lang, first], np.arange(1, n + 1)), (np.c_[lang, first, first[::-1]], np.arange(2, n + 2))]
+    trie = collocations.unpack(collocations.packed(collocations.tree(words, paths)))
+    found = collocations.compose(trie, trie)
+    assert all((node == np.arange(len(node))).all() for node in found)
+    assert (collocations.counted(trie, trie, np.c_[lang, first, first[::-1]]) == np.arange(2, n + 2)).all()
