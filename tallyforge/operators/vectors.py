@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,56 +12,153 @@ from pyspark.sql import functions as F
 
 from tallyforge.sources.staging import staged
 
-BLOCK = 4000
-
-
-def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_id", group: str = "grp", vector: str = "embedding", n_index: int | None = None) -> DataFrame:
-    """query_id, rank, neighbour_id, distance: the k nearest index rows of other groups, exactly; ties to the smaller id.
-
-    The index is cut into blocks by a hash, each query meets each block once (a matrix product), and the blocks' k best are merged. The work is
-    queries x index: it is meant for samples; for all rows of a large table use an approximate index.
+#: Index rows of a block that meet one task, about; queries that meet a block in one task; a block's pivot stands for PER_PIVOT rows.
+BLOCK, PER_PIVOT = 4000, 1000
+
+
+def nearest_in(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, neighbour_id, distance: the k nearest rows of b in other groups for each row of a (id, g, v); ties to the smaller id."""
+    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+    if not len(a) or not len(b):
+        return empty
+    # of equal vectors only those that can be among the k: the k least ids of each group, and of these the 2 k least
+    b = b.sort_values("id")
+    same = b["v"].map(lambda v: (v + 0.0).tobytes())
+    b = b[b.groupby([same, b["g"]], sort=False, dropna=False).cumcount() < k]
+    b = b[b.groupby(same.loc[b.index], sort=False).cumcount() < 2 * k]
+    b_ids = b["id"].to_numpy()
+    xa, xb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    rough = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * xa @ xb.T
+    rough[a["g"].to_numpy()[:, None] == b["g"].to_numpy()[None, :]] = np.inf
+    take = min(len(b), k + 16)
+    near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+    d = ((xb[near] - xa[:, None, :]) ** 2).sum(2)
+    d[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
+    ids = b_ids[near]
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    d, ids = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    # the product's rounding: where more rows than were taken may be as near as the k-th, all of them are summed term by term
+    kth = np.partition(rough, min(len(b), k) - 1, axis=1)[:, min(len(b), k) - 1]
+    margin = 8 * (xa.shape[1] + 4) * np.finfo(float).eps * ((xa * xa).sum(1) + (xb * xb).sum(1).max())
+    close = (rough <= (kth + margin)[:, None]) & np.isfinite(rough)
+    for i in np.flatnonzero(close.sum(1) > take):
+        own = np.flatnonzero(close[i])
+        exact = ((xb[own] - xa[i]) ** 2).sum(1)
+        best = np.lexsort((b_ids[own], exact))[: d.shape[1]]
+        d[i], ids[i] = exact[best], b_ids[own][best]
+    out = pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), d.shape[1]), "neighbour_id": ids.reshape(-1), "distance": np.sqrt(d).reshape(-1)})
+    return out[np.isfinite(out["distance"])]
+
+
+class Pivots:
+    """Rows of the index that stand for blocks of the rows nearest to them, with the blocks' sizes and least and largest distances."""
+
+    def __init__(self, index: DataFrame, rows: int, per_pivot: int):
+        m = max(1, per_pivot if rows > per_pivot else rows)
+        found = index.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(m)) == 0).select("v").collect() if rows > per_pivot else []  # one of per_pivot rows
+        found = found or index.select("v").limit(1).collect()
+        self.at = np.unique(np.array([r["v"] for r in found], float), axis=0)
+        self.blocks: pd.DataFrame | None = None
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (self.at * self.at).sum(1)[None, :] - 2 * x @ self.at.T))
+
+    def homed(self, rows: DataFrame) -> DataFrame:
+        """rows (id, g, v) with home, the nearest pivot's number, and r, the distance to it."""
+
+        def home(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    d = self.distances(np.stack(pdf["v"].to_numpy()))
+                    yield pdf.assign(home=d.argmin(1), r=d.min(1))
+
+        return rows.mapInPandas(home, "id long, g string, v array<double>, home long, r double")
+
+    def measured(self, homed: DataFrame) -> None:
+        found = homed.groupBy("home").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # a row for each pivot
+        blocks = pd.DataFrame([r.asDict() for r in found]).set_index("home").reindex(range(len(self.at)))
+        self.blocks = blocks.assign(n=blocks["n"].fillna(0).astype(int))
+
+
+def visits(queries: DataFrame, pivots: Pivots, enough: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(home, id, g, v) rows: first the nearest blocks with `enough` rows together; then, given id and bound (distance to beat, or null), all others that may hold a row as near."""
+    n, low, high = (pivots.blocks[c].to_numpy() for c in ("n", "low", "high"))
+    full = np.flatnonzero(n > 0)
+
+    def spread(pdf: pd.DataFrame, which: np.ndarray) -> pd.DataFrame:
+        row, block = np.nonzero(which)
+        return pdf[["id", "g", "v"]].iloc[row].assign(home=full[block])
+
+    def first_of(d: np.ndarray) -> np.ndarray:
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(n[full][order], axis=1) - n[full][order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < enough, axis=1)
+        return out
+
+    def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                yield spread(pdf, first_of(pivots.distances(np.stack(pdf["v"].to_numpy()))[:, full]))
+
+    def rest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                d = pivots.distances(x)[:, full]
+                # the triangle inequality, with room for rounding
+                least = np.maximum(d - high[full], low[full] - d) - 1e-6 * (1 + d + np.abs(x).max())
+                yield spread(pdf, (least <= pdf["bound"].fillna(np.inf).to_numpy()[:, None]) & ~first_of(d))
+
+    kinds = "id long, g string, v array<double>, home long"
+    return queries.mapInPandas(near, kinds), lambda bounds: queries.join(bounds, "id", "left").mapInPandas(rest, kinds)
+
+
+def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_id", group: str = "grp", vector: str = "embedding", n_index: int | None = None, per_pivot: int = PER_PIVOT, compared: list | None = None) -> DataFrame:
+    """query_id, rank, neighbour_id, distance: the k nearest index rows of other groups, exactly; ties to the smaller id. Ids are distinct.
+
+    Index rows stand in blocks around pivots, a sample of one row in per_pivot. A query meets its nearest blocks first; its k-th distance there and
+    the triangle inequality then rule out blocks that can't hold a nearer row, and it meets the rest. A block that many rows or many queries
+    meet is dealt over tasks. How much is ruled out depends on the vectors: clustered ones leave little, high-dimensional noise nearly all.
+    compared, if given, gets the numbers of pairs that were compared and that there are. Building the result runs the first round's jobs.
     """
-    blocks, parts = max(1, -(-(n_index or index.count()) // BLOCK)), max(1, -(-queries.count() // BLOCK))
-    cast = lambda t, name: t.select(F.col(id_col).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.col(vector).cast("array<double>").alias("v"), F.lit(name).alias("side"))
-    x = cast(index, "i").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = cast(queries, "q").withColumn("p", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    x = x.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if not len(a) or not len(b):
-            return empty
-        # of equal vectors only those that can be among the k: the k least ids of each group, and of these the 2 k least
-        b = b.sort_values("id")
-        same = b["v"].map(lambda v: (v + 0.0).tobytes())
-        b = b[b.groupby([same, b["g"]], sort=False, dropna=False).cumcount() < k]
-        b = b[b.groupby(same.loc[b.index], sort=False).cumcount() < 2 * k]
-        b_ids = b["id"].to_numpy()
-        xa, xb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        rough = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * xa @ xb.T
-        rough[a["g"].to_numpy()[:, None] == b["g"].to_numpy()[None, :]] = np.inf
-        take = min(len(b), k + 16)
-        near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        d = ((xb[near] - xa[:, None, :]) ** 2).sum(2)
-        d[np.isinf(np.take_along_axis(rough, near, 1))] = np.inf
-        ids = b_ids[near]
-        order = np.lexsort((ids, d), axis=1)[:, :k]
-        d, ids = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-        # the product's rounding: where more rows than were taken may be as near as the k-th, all of them are summed term by term
-        kth = np.partition(rough, min(len(b), k) - 1, axis=1)[:, min(len(b), k) - 1]
-        margin = 8 * (xa.shape[1] + 4) * np.finfo(float).eps * ((xa * xa).sum(1) + (xb * xb).sum(1).max())
-        close = (rough <= (kth + margin)[:, None]) & np.isfinite(rough)
-        for i in np.flatnonzero(close.sum(1) > take):
-            own = np.flatnonzero(close[i])
-            exact = ((xb[own] - xa[i]) ** 2).sum(1)
-            best = np.lexsort((b_ids[own], exact))[: d.shape[1]]
-            d[i], ids[i] = exact[best], b_ids[own][best]
-        out = pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), d.shape[1]), "neighbour_id": ids.reshape(-1), "distance": np.sqrt(d).reshape(-1)})
-        return out[np.isfinite(out["distance"])]
-
-    found = q.groupBy("b", "p").cogroup(x.groupBy("b", "p")).applyInPandas(meet, "query_id long, neighbour_id long, distance double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbour_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
+    cast = lambda t: t.select(F.col(id_col).cast("long").alias("id"), F.col(group).cast("string").alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    x, q = staged(cast(index), "index"), staged(cast(queries), "queries")
+    total = n_index or x.count()
+    nothing = q.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance")).limit(0)
+    if not total:
+        return nothing
+    pivots = Pivots(x, total, per_pivot)
+    homed = staged(pivots.homed(x), "homed")
+    pivots.measured(homed)
+    sizes = homed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("subs"))
+    homed = homed.join(sizes, "home").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs"))).drop("r")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbour_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def meeting(asked: DataFrame) -> DataFrame:
+        """The k nearest of each (query, block) that meet, in parts of BLOCK queries x BLOCK rows."""
+        asked = staged(asked, "asked")
+        parts = asked.groupBy("home").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("parts"))
+        if compared is not None:
+            met = parts.join(homed.groupBy("home").agg(F.count("*").alias("rows")), "home").agg(F.sum(F.col("n") * F.col("rows")).alias("n")).first()["n"] or 0
+            compared.append(met)
+        dealt = asked.join(parts.drop("n"), "home").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).drop("parts")
+        dealt = dealt.join(sizes, "home").withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).drop("subs")
+        copies = homed.drop("subs").join(parts.drop("n"), "home").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        on = ["home", "sub", "part"]
+        met = dealt.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(lambda a, b: nearest_in(a, b, k), "query_id long, neighbour_id long, distance double")
+        return staged(met, "met")
+
+    near, others = visits(q, pivots, 4 * k)
+    first = meeting(near)
+    bounds = best(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+    found = first.unionByName(meeting(others(bounds))) if len(pivots.at) > 1 else first
+    if compared is not None:
+        compared[:] = [sum(compared), q.count() * total]
+    return best(found).select("query_id", "rank", "neighbour_id", "distance")
 
 
 def neighbours_by(queries: DataFrame, index: DataFrame, by: str, k: int, within: str | None = None, vector: str = "embedding") -> DataFrame:
