@@ -145,8 +145,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """The model of the labelled rows: labels (doc_id, quality) with docs (doc_id, text). Null labels and ids are left out."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates(["doc_id"])
+    """The model of the labelled rows: labels (doc_id, quality) with docs (doc_id, text). Null labels and ids, and ids with both labels, are left out."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other")).where("quality = _other").drop("_other")
     sizes = {r["quality"]: r["n"] for r in own.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in sizes.items():  # at most half the sample from each label

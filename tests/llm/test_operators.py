@@ -304,6 +304,19 @@ def test_html(spark):
     assert len(got) == 4 and all(n == k for _, n, k in got) and html_text.main_text(pages.where("1 = 0")).count() == 0
 
 
+def test_quality_of_conflicting_labels(spark):
+    """An id with both labels teaches nothing, however the labels are partitioned."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 30) + (" good" if i % 2 else " bad")) for i in range(120)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    clear = [(i, i % 2) for i in range(80)]
+    both = clear + [(i, label) for i in range(80, 120) for label in (0, 1)] + clear[:9]
+    kind = "doc_id long, quality int"
+    want = quality.predict(t, quality.train(t, spark.createDataFrame(clear, kind))).collect()
+    for parts in (1, 5):
+        assert quality.predict(t, quality.train(t, spark.createDataFrame(both, kind).repartition(parts))).collect() == want
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 40)) for i in range(60)] + [(100 + i, " | ".join(words(rng, 20).split())) for i in range(60)] + [(300, None), (301, "")]

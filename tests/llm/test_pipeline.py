@@ -51,10 +51,13 @@ def test_stages(spark):
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows, an extra column with a clashing name; and empty tables."""
     rows = [(None, None, "x"), (1, "", "x"), (2, "a b", None), (2, "a b", None), (3, "word " * 30_000, "x"), (None, "some text of the page " * 30, "x")]
-    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "k") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int, kept_text string")
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "k", 7, "h", "r") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int, kept_text string, _key int, _hit string, rest string")
     for own, least in ((docs, 5), (docs.where("1 = 0"), 0)):
         for name, stage in c.STAGES[1:]:
             own = staged(stage(spark, own, SF), "odd")
             assert own.count() >= least, name
             if name != "best-fit packing":
                 assert own.columns == docs.columns
+                assert own.where("_key <> 7 OR _hit <> 'h' OR rest <> 'r'").count() == 0, name
+        rated = c.STAGES[0][1](spark, docs if least else docs.where("1 = 0"), SF)
+        assert rated.columns == docs.columns and rated.where("_key <> 7").count() == 0 and rated.count() <= 6
