@@ -13,6 +13,14 @@ from tallyforge.llm import decontamination, near_dedup, packing, quality, suffix
 from tallyforge.llm.shared import held_out, read, staged
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes (score >= 0.5); it learns from the labels that op6 learns from."""
     model = quality.train(docs, read(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)))
@@ -24,9 +32,10 @@ def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without doc_id, and several texts of one doc_id, each go by their own text.
     """
-    kept = near_dedup.near_duplicates(docs, keyed=True).where("kept").select(F.col("row_key").alias("_key")).distinct()
-    found = docs.withColumn("_key", near_dedup.row_key()).join(kept, "_key", "left_semi")
-    return found.dropDuplicates(["_key"]).select(*docs.columns)
+    key = unused(docs, "_key")
+    kept = near_dedup.near_duplicates(docs, keyed=True).where("kept").select(F.col("row_key").alias(key)).distinct()
+    found = docs.withColumn(key, near_dedup.row_key()).join(kept, key, "left_semi")
+    return found.dropDuplicates([key]).select(*docs.columns)
 
 
 def suffix_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +48,10 @@ def suffix_dedup_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs; each goes by its own text, whatever its doc_id."""
+    key = unused(docs, "_hit")
     by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    hit = decontamination.contamination(by_text, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.xxhash64("text") == F.col("_hit"), "left_anti")
+    hit = decontamination.contamination(by_text, read(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(hit, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
