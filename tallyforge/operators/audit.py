@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions import boxes
+from tallyforge.sources.staging import staged
 
 
 class MissingColumns(ValueError):
@@ -66,6 +67,38 @@ def box_audit(rows: DataFrame, bbox: str) -> DataFrame:
     return rows.groupBy(boxes.error_class(F.col(bbox)).alias("error_class")).agg(F.count("*").alias("n"))
 
 
+def scan_until(files: Sequence[str], load: Callable[[list[str]], DataFrame], status: Column, most: int, good: Sequence[str] = ("ok", "empty"), first: int = 1) -> tuple[DataFrame, dict[str, int]]:
+    """The first `most` bad rows of files with their status, in order of file and row, and how many rows of each good status, rows and files were read.
+
+    load reads some files (all columns of theirs have one schema). Files are read in steps of first, 2 first, 4 first, ... until `most` rows are bad; later files
+    stay unread. A step is one pass: its counts are observed while its bad rows are written. With fewer bad rows all files are read. Rows
+    come with file, row (their order within it) and status. No files, no rows: files must not be empty.
+    """
+    from pyspark.sql import Observation
+
+    totals: dict[str, int] = {}
+    found, at, step = None, 0, max(1, first)
+    while at < len(files):
+        rows = load(list(files[at : at + step])).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("row", F.monotonically_increasing_id()).withColumn("status", status)
+        seen = Observation()
+        rows = rows.observe(seen, F.count("*").alias("n"), *[F.count_if(F.col("status") == g).alias(f"n_{i}") for i, g in enumerate(good)])
+        place = F.row_number().over(W.partitionBy("file").orderBy("_block", "row"))
+        bad = rows.where(~F.col("status").isin(list(good)) | F.col("status").isNull())
+        # of a file no more than `most` bad rows can be asked for
+        bad = staged(bad.withColumn("_n", place).where(F.col("_n") <= most).drop("_n"), "bad-rows")
+        counts = seen.get
+        for i, g in enumerate(good):
+            totals[g] = totals.get(g, 0) + counts[f"n_{i}"]
+        totals["rows"] = totals.get("rows", 0) + counts["n"]
+        found = bad if found is None else found.unionByName(bad)
+        at, step = at + step, 2 * step
+        if found.count() >= most:
+            break
+    totals["files"] = min(at, len(files))
+    order = ["file", "_block", "row"]
+    return found.orderBy(*order).limit(most).drop("_block"), totals
+
+
 def conversion_counts(rows: DataFrame, accepted: Column, converted: Column) -> DataFrame:
     """reason, n: ok, decision (not accepted) or geometry (no box)."""
     reason = F.when(~accepted, "decision").when(converted.isNotNull(), "ok").otherwise("geometry")

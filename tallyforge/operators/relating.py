@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.sources.staging import staged
+
 
 def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left rows with right's columns and is_matched; right has a row per key."""
@@ -78,6 +80,41 @@ def near_hashes(train: DataFrame, test: DataFrame, most: int, h: str = "h", spar
     return j.withColumn("distance", d.cast("int")).where(F.col("distance") <= most).select("train_hash", "test_hash", "distance", (F.col("n_train") * F.col("n_test")).alias("n_pairs")).distinct()
 
 
+def leaking(train: DataFrame, test: DataFrame, key: str, path: str, session: str, near: int | None = None) -> DataFrame:
+    """type, distance, train_hash, test_hash, n_train, n_test, train_file, train_session, test_file, test_session: a row for each pair of hashes that leak.
+
+    type exact: equal keys (distance 0). With near, keys are 64-bit hashes, and type near are different ones at most near bits apart. Files named are the
+    first by path of each side; `leaking_files` has all. A hash is one row a side, however many files have it; null keys leak nothing.
+    """
+    side = lambda t, name: t.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_h")).agg(F.count("*").alias(f"n_{name}"), F.min(F.struct(F.col(path).alias("file"), F.col(session).alias("session"))).alias("_f")).select(F.col("_h").alias(f"{name}_hash"), f"n_{name}", F.col("_f.file").alias(f"{name}_file"), F.col("_f.session").alias(f"{name}_session"))
+    a, b = staged(side(train, "train"), "train-hashes"), staged(side(test, "test"), "test-hashes")
+    kind = lambda t, name, d: t.select(F.lit(name).alias("type"), d.cast("int").alias("distance"), *LEAK)
+    out = kind(a.join(b, F.col("train_hash") == F.col("test_hash")), "exact", F.lit(0))
+    if near is not None:
+        pairs = near_hashes(a.withColumnRenamed("train_hash", "h"), b.withColumnRenamed("test_hash", "h"), near).where("distance > 0").select("train_hash", "test_hash", "distance")
+        out = out.unionByName(kind(pairs.join(a, "train_hash").join(b, "test_hash"), "near", F.col("distance")))
+    return out
+
+
+LEAK = [f"{name}_{what}" for what in ("hash",) for name in ("train", "test")] + ["n_train", "n_test"] + [f"{name}_{what}" for name in ("train", "test") for what in ("file", "session")]
+
+
+def leaking_files(train: DataFrame, test: DataFrame, leaks: DataFrame, key: str, path: str, session: str, salts: int = 16) -> DataFrame:
+    """type, split, session, file, hash, distance, n_partners: every file of every leak, once for each type.
+
+    distance is that of the nearest hash on the other side, n_partners how many hashes leak with the file's. Rows grow with the files. A hash that very many
+    files have is dealt over `salts` tasks, where its row of the (far smaller) list of leaking hashes waits.
+    """
+    out = None
+    for name, rows in (("train", train), ("test", test)):
+        hashes = leaks.groupBy("type", F.col(f"{name}_hash").alias("hash")).agg(F.min("distance").alias("distance"), F.count("*").alias("n_partners"))
+        waiting = hashes.withColumn("_s", F.explode(F.array(*map(F.lit, range(salts)))))
+        files = rows.select(F.col(key).alias("hash"), F.col(path).alias("file"), F.col(session).alias("session")).withColumn("_s", F.pmod(F.xxhash64("file"), F.lit(salts)).cast("int"))
+        part = files.join(waiting, ["hash", "_s"]).select("type", F.lit(name).alias("split"), "session", "file", "hash", "distance", "n_partners")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def first_source(rows: DataFrame, path: str, source_rank: str) -> DataFrame:
     """rows with kept_in: the rank of the first source (by rank) that has the path, which keeps it."""
     return rows.withColumn("kept_in", F.min(source_rank).over(W.partitionBy(path)))

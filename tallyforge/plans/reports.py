@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import domain_report as R
-from tallyforge.operators import mining, probes, sampling
+from tallyforge.operators import mining, probes, relating, sampling
 from tallyforge.operators import vectors as V
 from tallyforge.plans import domains as D
+from tallyforge.plans import relations as L
 from tallyforge.plans import tables as T
 from tallyforge.plans.catalog import register
 from tallyforge.plans.detection import r6
@@ -88,3 +89,40 @@ def mined(s, d):
 
 register("k05_mined_rows")(lambda s, d: r6(mined(s, d).select("vec_id", "domain", "hardness", "pct", "section", "prod_weight", "bucket", "picked", "control"), "hardness", "pct", "prod_weight"))
 register("k05_mining_summary")(lambda s, d: r6(mining.summary(mined(s, d), "domain"), "mean_score_picked", "mean_score_control", "largest_bucket_share"))
+
+
+LEAKS = """WITH f AS (SELECT sha256(text) AS h, 'doc' || CAST(doc_id AS VARCHAR) AS file, source AS session, CAST(substr(source, 4) AS INT) < 15 AS train FROM documents),
+  t AS (SELECT h, count(*) AS n, min(file) AS file, arg_min(session, file) AS session FROM f WHERE train GROUP BY 1), u AS (SELECT h, count(*) AS n, min(file) AS file, arg_min(session, file) AS session FROM f WHERE NOT train GROUP BY 1),
+  p AS (SELECT t.h, t.n AS n_train, u.n AS n_test, t.file AS train_file, t.session AS train_session, u.file AS test_file, u.session AS test_session FROM t JOIN u USING (h))"""
+
+
+def leak_sides(s, d):
+    rows = T.table(s, d, "documents").select(F.sha2("text", 256).alias("h"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), F.col("source").alias("session"))
+    train = F.substring("session", 4, 9).cast("int") < 15
+    return rows.where(train), rows.where(~train)
+
+
+register("k07_leak_pairs", LEAKS + " SELECT 'exact' AS type, h AS train_hash, n_train, n_test, train_file, train_session, test_file, test_session FROM p")(
+    lambda s, d: relating.leaking(*leak_sides(s, d), "h", "file", "session").drop("distance", "test_hash"))
+
+
+@register("k07_leak_files", LEAKS + " SELECT 'exact' AS type, CASE WHEN train THEN 'train' ELSE 'test' END AS split, session, file, h AS hash FROM f WHERE h IN (SELECT h FROM p)")
+def leak_files(s, d):
+    train, test = leak_sides(s, d)
+    leaks = staged(relating.leaking(train, test, "h", "file", "session"), "leaks")
+    return relating.leaking_files(train, test, leaks, "h", "file", "session").drop("distance", "n_partners")
+
+
+
+NEAR = f"""WITH a AS ({L.SIGNS.format(t=0)}), b AS ({L.SIGNS.format(t=0.004)}), x AS (SELECT DISTINCT h FROM a), y AS (SELECT DISTINCT h FROM b),
+  p AS (SELECT x.h AS th, y.h AS uh, bit_count(xor(x.h, y.h)) AS d FROM x, y WHERE bit_count(xor(x.h, y.h)) <= 3), m AS (SELECT CASE WHEN d = 0 THEN 'exact' ELSE 'near' END AS type, * FROM p)
+  SELECT type, 'train' AS split, vec_id AS file, min(d)::INT AS distance, count(*) AS n_partners FROM m JOIN a ON a.h = th GROUP BY 1, 3
+  UNION ALL SELECT type, 'test', vec_id, min(d)::INT, count(*) FROM m JOIN b ON b.h = uh GROUP BY 1, 3"""
+
+
+@register("j08_near_leak_files", NEAR)
+def near_leak_files(s, d):
+    """Every vector whose sign hash, on one side, is at most three bits from one on the other."""
+    train, test = (L.signs(s, d, t).withColumn("session", F.lit("all")) for t in (0.0, 0.004))
+    leaks = staged(relating.leaking(train, test, "h", "vec_id", "session", 3), "leaks")
+    return relating.leaking_files(train, test, leaks, "h", "vec_id", "session").select("type", "split", "file", "distance", "n_partners")
