@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators import metrics
 from tallyforge.operators.audit import ranked
 
 
@@ -60,24 +62,57 @@ def cell_statistics(rows: DataFrame, keys: Sequence[str], group: str, missing: C
     return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"), F.count_if(missing).alias("n_missing"), F.count_if(no_box).alias("n_no_box"))
 
 
+def selected(rows: DataFrame, value: str, points: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, q (the values at the points, exact, between neighbours by interpolation; nulls and NaN don't count) and n (values that count).
+
+    Values are counted first, and a value's place follows from the counts of the smaller ones, by buckets (`metrics.running`): no task has all the values of
+    a key. Keys may be null. Building the result runs jobs.
+    """
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    own = rows.where(usable).select(packed.alias("_key"), *keys, F.col(value).cast("double").alias("_v"))
+    names = own.groupBy("_key").agg(*[F.first(c).alias(c) for c in keys], F.lit(1).alias("_one"))
+    run = metrics.running(own.groupBy("_key", "_v").agg(F.count("*").alias("_n")), ["_key"], "_v", ["_n"])
+    at = lambda place: F.max(F.when((F.col("below__n") <= place) & (place < F.col("below__n") + F.col("_n")), F.col("_v")))
+    found = []
+    for p in points:
+        exact = F.lit(float(p)) * (F.col("all__n") - 1)
+        low, high = F.floor(exact), F.ceil(exact)
+        found += [at(low).alias(f"_l{len(found)}"), at(high).alias(f"_h{len(found)}"), F.max(exact - low).alias(f"_s{len(found)}")]
+    sums = run.groupBy("_key").agg(F.max("all__n").alias("n"), *found)
+    q = [F.col(f"_l{3 * i}") + (F.col(f"_h{3 * i}") - F.col(f"_l{3 * i}")) * F.col(f"_s{3 * i}") for i in range(len(points))]
+    return sums.select("_key", "n", F.array(*q).alias("q")).join(names, "_key").select(*keys, "q", "n")
+
+
 def quantiles(rows: DataFrame, value: str, points: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """keys, p<percent> for each point: exact, between neighbours by interpolation."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("_q"))
-    return q.select(*keys, *[F.get("_q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    q = selected(rows, value, points, keys)
+    return q.select(*keys, *[F.get("q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def legibility(rows: DataFrame, keys: Sequence[str], px: str, threshold: float) -> DataFrame:
     """keys, n, p50, p90, share_under: how large what should be unreadable is."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(px, 0.5).alias("p50"), F.percentile(px, 0.9).alias("p90"), F.avg((F.col(px) < threshold).cast("double")).alias("share_under"))
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col(px) < threshold).cast("double")).alias("share_under"))
+    return with_quantiles(own, rows, px, {"p50": 0.5, "p90": 0.9}, keys).select(*keys, "n", "p50", "p90", "share_under")
+
+
+def with_quantiles(table: DataFrame, rows: DataFrame, value: str, points: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    """table (a row for each of keys) with a column for each of points."""
+    q = selected(rows, value, list(points.values()), keys).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(points)])
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return table.join(q, reduce(Column.__and__, same, F.lit(True)), "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def legibility_table(rows: DataFrame, sets: Sequence[str], sizes: Sequence[int], text_px: float = 5, face_px: float = 40) -> DataFrame:
-    """dimension, value, size, n, text_under, face_under, median_share: each grouping column by candidate export size, in one pass over rows (short, long, frame)."""
-    each = rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    """dimension, value, size, n, text_under, face_under, median_share: each grouping column by candidate export size, over rows (short, long, frame)."""
+    sets_ = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in sets]))
+    of = rows.select("short", "long", (F.col("long") / F.col("frame")).alias("_share"), sets_.alias("_d")).select("*", "_d.dimension", "_d.value").drop("_d")
     scale = F.least(F.lit(1.0), F.col("size") / F.col("long"))
-    each = each.withColumn("_text", 0.04 * F.col("short") * scale).withColumn("_face", 0.35 * F.col("short") * scale)
-    each = each.select("size", "_text", "_face", (F.col("long") / F.col("frame")).alias("_share"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in sets])).alias("_d"))
-    return each.groupBy("_d.dimension", "_d.value", "size").agg(F.count("*").alias("n"), F.avg((F.col("_text") < text_px).cast("double")).alias("text_under"), F.avg((F.col("_face") < face_px).cast("double")).alias("face_under"), F.percentile("_share", 0.5).alias("median_share"))
+    each = of.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    under = lambda part, px: F.avg((part * F.col("short") * scale < px).cast("double"))
+    own = each.groupBy("dimension", "value", "size").agg(F.count("*").alias("n"), under(0.04, text_px).alias("text_under"), under(0.35, face_px).alias("face_under"))
+    # the share doesn't depend on the size
+    return with_quantiles(own, of, "_share", {"median_share": 0.5}, ["dimension", "value"])
 
 
 def cohens_d(rows: DataFrame, features: str, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:

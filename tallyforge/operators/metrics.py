@@ -127,9 +127,9 @@ def document_scores(patches: DataFrame, doc: str, keys: Sequence[str] = (), scor
 
     s, doc_keys = F.col(score), [doc, *keys]
     rank = F.row_number().over(W.partitionBy(*doc_keys).orderBy(s.desc_nulls_last()))
-    best = patches.select(*doc_keys, s.alias("_s"), rank.alias("_n")).where("_n <= 3").groupBy(*doc_keys).agg(F.avg("_s").alias("top3"))
-    own = patches.groupBy(*doc_keys).agg(F.count("*").alias("n_patches"), F.avg(s).alias("mean_score"), F.avg(logit(s)).alias("mean_logit"), F.percentile(s, 0.5).alias("median"), F.max(s).alias("max"))
-    own = own.join(best, doc_keys)
+    ranked = patches.select(*doc_keys, s.alias("_s"), rank.alias("_n"))  # the aggregate runs where the ranks are: one shuffle
+    best = F.avg(F.when(F.col("_n") <= 3, F.col("_s"))).alias("top3")
+    own = ranked.groupBy(*doc_keys).agg(F.count("*").alias("n_patches"), F.avg("_s").alias("mean_score"), F.avg(logit(F.col("_s"))).alias("mean_logit"), F.percentile("_s", 0.5).alias("median"), F.max("_s").alias("max"), best)
     return own.unpivot([*doc_keys, "n_patches"], ["mean_score", "mean_logit", "median", "max", "top3"], "rule", "doc_score")
 
 

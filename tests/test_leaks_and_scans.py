@@ -81,3 +81,30 @@ def test_quick_boxes_are_the_parsed_ones(spark):
         if r["q"]:
             x = [float(v) for v in json.loads(r["t"])]
             assert r["a"]["box"] == (x if x[2] > x[0] and x[3] > x[1] else None)
+
+
+def test_selected_quantiles(spark):
+    import numpy as np
+
+    from tallyforge.operators import aggregates, metrics
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), i % 3, rng.choice([None, float("nan"), round(rng.random(), 2), rng.gauss(0, 5)])) for i in range(900)] + [("one", 0, 4.0), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "k string, m int, x double").repartition(3)
+    points = [0.0, 0.05, 0.5, 0.9, 1.0]
+    small = metrics.PER_BUCKET
+    try:
+        for per in (small, 40):
+            metrics.running.__defaults__ = (per,)
+            for keys in ([], ["k"], ["k", "m"]):
+                got = {tuple(r[c] for c in keys): (r["q"], r["n"]) for r in aggregates.selected(df, "x", points, keys).collect()}
+                want = {}
+                for k, m, x in rows:
+                    if x is not None and x == x:
+                        want.setdefault(tuple({"k": k, "m": m}[c] for c in keys), []).append(x)
+                assert set(got) == set(want)
+                for key, x in want.items():
+                    assert got[key][1] == len(x) and np.allclose(got[key][0], np.quantile(x, points))
+    finally:
+        metrics.running.__defaults__ = (small,)
+    assert aggregates.selected(df.where("1 = 0"), "x", points, ["k"]).count() == 0
