@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.sampling import placed
+from tallyforge.operators.sampling import before, placed
+from tallyforge.sources.staging import staged
 
 
 def covered(rows: DataFrame, key: str, dataset: str, batch_size: int, label: str = "label", seed: int = 42) -> DataFrame:
@@ -49,97 +52,121 @@ def covered(rows: DataFrame, key: str, dataset: str, batch_size: int, label: str
     return out.drop("at")
 
 
-class FirstFit:
-    """The first of all open batches with room enough: a tree of the largest room below each node."""
-
-    def __init__(self):
-        self.n, self.size, self.most = 0, 1, [0, 0]
-
-    def add(self, room: int) -> int:
-        if self.n == self.size:
-            leaves = self.most[self.size :] + [0] * self.size
-            self.size *= 2
-            self.most = [0] * self.size + leaves
-            for i in range(self.size - 1, 0, -1):
-                self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
-        self.n += 1
-        self.take(self.n - 1, -room)
-        return self.n - 1
-
-    def first(self, wanted: int) -> int | None:
-        if self.most[1] < wanted:
-            return None
-        i = 1
-        while i < self.size:
-            i *= 2
-            if self.most[i] < wanted:
-                i += 1
-        return i - self.size
-
-    def take(self, k: int, used: int) -> None:
-        i = self.size + k
-        self.most[i] -= used
-        while i > 1:
-            i //= 2
-            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
-
-
-def source_pairs(rows: DataFrame, key: str, source: str, batch_size: int, label: str = "label", seed: int = 42, shard_rows: int = 20_000) -> DataFrame:
+def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit over counts[size] units, largest first, into batches of capacity. Rows: size, first rank, units, first batch: rank + i goes to batch + i.
+
+    Batches that are equally full are classes of consecutive runs; a size takes the tightest class that it fits, a unit for each of its batches at a
+    time, and what fits nowhere opens batches with as many of its size as they hold. There are a few rows for each pair of sizes.
+    """
+    open_: dict[int, list[tuple[int, int]]] = {}
+    rows, batches = [], 0
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            room = min((r for r, runs in open_.items() if r >= size and runs), default=None)
+            if room is None:
+                each = capacity // size
+                first, n, room = batches, -(-left // each), capacity
+                batches += n
+            else:
+                first, n = open_[room].pop()
+            for _ in range(room // size):
+                m = min(n, left)
+                if m:
+                    rows.append((size, rank, m, first))
+                    if m < n:  # the batches that get no more of this size
+                        open_.setdefault(room, []).append((first + m, n - m))
+                    n, rank, left, room = m, rank + m, left - m, room - size
+            open_.setdefault(room, []).append((first, n))
+    return np.array(rows, np.int64).reshape(-1, 4)
+
+
+def unit_batches(units: DataFrame, batch_size: int, seed: int) -> DataFrame:
+    """units (unit, part, size) with batch_id: best fit over the histogram of sizes, and units by their rank within their size."""
+    counts = {r["size"]: r["n"] for r in units.groupBy("size").agg(F.count("*").alias("n")).collect()}  # batch_size rows at most
+    table = best_fit(counts, batch_size)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    keys = table[:, 0] << 44 | table[:, 1]
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            row = table[np.searchsorted(keys, pdf["size"].to_numpy() << 44 | pdf["place"].to_numpy(), side="right") - 1]
+            yield pdf[["unit", "part"]].assign(batch_id=row[:, 3] + pdf["place"].to_numpy() - row[:, 1])
+
+    ranked = placed(units.withColumn("_u", F.concat_ws("|", "unit", "part")), "_u", seed, ["size"])
+    kind = units.schema["unit"].dataType.simpleString()
+    return ranked.select("unit", "part", "size", "place").mapInPandas(fill, f"unit {kind}, part long, batch_id long")
+
+
+def spread(n_own: int, n_other: int, place: Column, first: bool) -> Column:
+    """The place of the place-th of n_own rows when n_own and n_other rows are dealt evenly into one order; of equal shares, rows of the first kind lead."""
+    if not n_other:
+        return place
+    odd = (2 * place + 1) * n_other
+    before = F.ceil((odd - n_own) / F.lit(2 * n_own)) if first else F.floor((odd - n_own) / F.lit(2 * n_own)) + 1
+    return place + F.least(F.lit(n_other), F.greatest(F.lit(0), before))
+
+
+def source_pairs(rows: DataFrame, key: str, source: str, batch_size: int, label: str = "label", seed: int = 42, batches_a_part: int = 10_000) -> DataFrame:
     """batch_id, slot, key, repeated: a source and the rows that point to it share a batch; other rows fill up, steered to the label share; padding repeats rows.
 
-    Units (a source with at most batch_size - 1 of its rows; a wider group is cut, each part with the source) are dealt to shards by a hash
-    and packed first-fit over all open batches, largest first, inside each shard.
+    Units are a source with at most batch_size - 1 of its rows; a wider group is cut, each part with the source. All units are packed by best fit over
+    the histogram of their sizes. What room that leaves is numbered over all batches, by label, and the n-th free row of a label takes the n-th slot; free rows that
+    are left make further batches, of which only the last isn't full. So rows are repeated (each batch's own excepted) only in that last batch, unless
+    there are fewer free rows than room. Every row is used; keys are distinct and not null; labels are 0 or 1. Building the result runs jobs.
     """
-    n_shards = max(1, -(-rows.count() // shard_rows))
+    if batch_size < 2:
+        raise ValueError("a batch holds two rows at least")
     linked = rows.where(F.col(source).isNotNull()).select(F.col(key).alias("row"), F.col(source).alias("unit"), F.col(label).alias("label"))
-    part = F.floor((F.row_number().over(W.partitionBy("unit").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row").cast("string"))), "row")) - 1) / (batch_size - 1))
-    kids = linked.withColumn("part", part)
+    # a source's rows are ranked in two levels: it may have very many
+    part = F.floor(F.col("place") / (batch_size - 1)).cast("long")
+    kids = placed(linked, "row", seed, ["unit"]).withColumn("part", part).drop("place")
     heads = kids.select("unit", "part").distinct().join(rows.select(F.col(key).alias("unit"), F.col(label).alias("label")), "unit").select(F.col("unit").alias("row"), "unit", "label", "part")
-    in_unit = kids.select("row", "unit", "label", "part").unionByName(heads)
-    used = in_unit.select("row").distinct()
-    free = rows.select(F.col(key).alias("row"), F.col(label).alias("label")).join(used, "row", "left_anti").select("row", F.lit(None).cast("long").alias("unit"), "label", F.lit(0).cast("long").alias("part"))
-    dealt = in_unit.withColumn("part", F.col("part").cast("long")).unionByName(free).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("unit", "row"), F.when(F.col("unit").isNull(), 0).otherwise(F.col("part"))), F.lit(n_shards)))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = dict(zip(pdf["row"], pdf["label"], strict=True))
-        share = float(np.mean(list(labels.values())))
-        units = [g["row"].tolist() for _, g in pdf[pdf["unit"].notna()].sort_values(["unit", "part", "row"]).groupby(["unit", "part"])]
-        units.sort(key=lambda u: (-len(u), u[0]))
-        batches: list[list[int]] = []
-        room = FirstFit()
-        for u in units:
-            k = room.first(len(u))
-            if k is None:
-                batches.append([])
-                k = room.add(batch_size)
-            fresh = [r for r in dict.fromkeys(u) if r not in batches[k]]
-            batches[k] += fresh
-            room.take(k, len(fresh))
-        pools = {y: pdf[pdf["unit"].isna() & (pdf["label"] == y)]["row"].sort_values().tolist() for y in (0, 1)}
-        spare, at, out, k = sorted(labels), 0, [], 0
-        while k < len(batches) or pools[0] or pools[1]:
-            b = batches[k] if k < len(batches) else []
-            seen, repeated = set(b), []
-            while len(b) < batch_size:
-                y = int(sum(labels[r] for r in b) < share * (len(b) + 1))
-                pool = pools[y] or pools[1 - y]
-                if pool:
-                    r = pool.pop()
-                elif len(seen) < len(spare):
-                    while spare[at % len(spare)] in seen:
-                        at += 1
-                    r = spare[at % len(spare)]
-                    repeated.append(r)
-                else:
-                    break
-                b.append(r)
-                seen.add(r)
-            out += [(int(pdf["shard"].iloc[0]), k, i, r, r in repeated) for i, r in enumerate(b)]
-            k += 1
-        return pd.DataFrame(out, columns=["shard", "local", "slot", "row", "repeated"])
-
-    packed = dealt.groupBy("shard").applyInPandas(pack, "shard long, local long, slot int, row long, repeated boolean")
-    return packed.select((F.col("local") * n_shards + F.col("shard")).alias("batch_id"), "slot", F.col("row").alias(key), "repeated")
+    in_unit = staged(kids.select("row", "unit", "label", "part").unionByName(heads), "units")
+    units = unit_batches(in_unit.groupBy("unit", "part").agg(F.count("*").alias("size")), batch_size, seed)
+    # two parts of a source may meet, and a linked row may be a source itself
+    bound = in_unit.join(units, ["unit", "part"]).groupBy("batch_id", "row").agg(F.first("label").alias("label"))
+    bound = staged(bound, "bound")
+    everything = rows.select(F.col(key).alias("row"), F.col(label).cast("int").alias("label"))
+    free = staged(placed(everything.join(bound.select("row").distinct(), "row", "left_anti"), "row", seed, ["label"]), "free")
+    n_free = {r["label"]: r["n"] for r in free.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    whole = everything.agg(F.count("*").alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("share")).first()
+    # room of each batch, and how much of it label 1 should get
+    room = bound.groupBy("batch_id").agg(F.count("*").alias("size"), F.sum("label").cast("long").alias("ones"))
+    need1 = F.least(F.greatest(F.bround(F.lit(whole["share"] * batch_size), 0).cast("long") - F.col("ones"), F.lit(0)), batch_size - F.col("size"))
+    room = room.select("batch_id", "size", need1.alias("need1"), (batch_size - F.col("size") - need1).alias("need0"), F.floor(F.col("batch_id") / batches_a_part).alias("_part"), F.lit(0).alias("_all"))
+    room = staged(before(room, "_all", ["batch_id"], "_part", {"at1": F.col("need1"), "at0": F.col("need0")}), "room")
+    sums = room.agg(F.coalesce(F.sum("need1"), F.lit(0)).alias("s1"), F.coalesce(F.sum("need0"), F.lit(0)).alias("s0"), F.coalesce(F.max("batch_id") + 1, F.lit(0)).alias("n")).first()
+    s, have = {1: sums["s1"], 0: sums["s0"]}, {y: n_free.get(y, 0) for y in (0, 1)}
+    filled, over = {y: min(s[y], have[y]) for y in (0, 1)}, {y: max(0, have[y] - s[y]) for y in (0, 1)}
+    short = {y: s[y] - filled[y] for y in (0, 1)}
+    # slots: label, the number among the label's slots, the batch; those that their label can't fill are numbered on
+    slots = room.select("batch_id", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"at{y}").alias("at"), F.col(f"need{y}").alias("n")) for y in (1, 0)])).alias("s")).where("s.n > 0")
+    slots = slots.select("batch_id", "s.y", F.explode(F.sequence(F.col("s.at"), F.col("s.at") + F.col("s.n") - 1)).alias("number"))
+    y1 = F.col("y") == 1
+    own = F.when(y1, F.col("number") < filled[1]).otherwise(F.col("number") < filled[0])
+    slots = slots.withColumn("spare", F.when(~own, F.when(y1, F.col("number") - filled[1]).otherwise(F.col("number") - filled[0] + short[1])))
+    slots = slots.select("batch_id", F.when(own, F.col("y")).otherwise(2).alias("kind"), F.coalesce("spare", "number").alias("number"))
+    # free rows: the first of each label take its slots, the others what is short, then new batches with both labels dealt evenly
+    place, first = F.col("place"), F.col("label") == 1
+    extra = F.when(first, spread(over[1], over[0], place - s[1], True)).otherwise(spread(over[0], over[1], place - s[0], False))
+    takes = F.when(first, place < s[1]).otherwise(place < s[0])
+    offered = free.withColumn("kind", F.when(takes, F.col("label")).otherwise(2)).withColumn("number", F.when(takes, place).otherwise(extra).cast("long"))
+    gaps = short[0] + short[1]
+    settled = offered.join(slots, ["kind", "number"]).select("batch_id", "row")
+    fresh = offered.where((F.col("kind") == 2) & (F.col("number") >= gaps)).select((F.floor((F.col("number") - gaps) / batch_size) + sums["n"]).cast("long").alias("batch_id"), "row")
+    plan = staged(bound.select("batch_id", "row").unionByName(settled).unionByName(fresh), "plan")
+    # what is still open is padded with rows from a place of the batch's own in keyed order: as many candidates as a batch has rows hold enough others
+    total = whole["n"]
+    open_ = plan.groupBy("batch_id").agg(F.count("*").alias("size")).where(F.col("size") < batch_size)
+    spare = placed(everything.select("row"), "row", f"{seed}-spare").withColumnRenamed("place", "candidate")
+    tried = F.explode(F.sequence(F.lit(0), F.lit(max(0, min(batch_size, total) - 1))))
+    asked = open_.withColumn("try", tried).withColumn("candidate", F.pmod(F.xxhash64("batch_id") % max(1, total) + F.col("try"), F.lit(max(1, total)))) if total else open_.limit(0).withColumn("try", F.lit(0)).withColumn("candidate", F.lit(0).cast("long"))
+    padding = asked.join(spare, "candidate").join(plan.select("batch_id", "row"), ["batch_id", "row"], "left_anti")
+    padding = padding.withColumn("_n", F.row_number().over(W.partitionBy("batch_id").orderBy("try"))).where(F.col("_n") <= batch_size - F.col("size")).select("batch_id", "row", F.lit(True).alias("repeated"))
+    done = plan.withColumn("repeated", F.lit(False)).unionByName(padding)
+    slot = F.row_number().over(W.partitionBy("batch_id").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row").cast("string"))), "row")) - 1
+    return done.select("batch_id", slot.cast("int").alias("slot"), F.col("row").alias(key), "repeated")
 
 
 def pair_report(plan: DataFrame, rows: DataFrame, key: str, source: str) -> DataFrame:
