@@ -12,7 +12,8 @@ from tallyforge.plans import relations as L
 from tallyforge.plans import tables as T
 from tallyforge.plans.catalog import register
 from tallyforge.plans.detection import r6
-from tallyforge.sources.staging import staged
+from tallyforge.sources.staging import fresh_path, staged
+from tallyforge.sources.store import SignedStore
 
 CELL = ["domain", "label"]
 
@@ -126,3 +127,21 @@ def near_leak_files(s, d):
     train, test = (L.signs(s, d, t).withColumn("session", F.lit("all")) for t in (0.0, 0.004))
     leaks = staged(relating.leaking(train, test, "h", "vec_id", "session", 3), "leaks")
     return relating.leaking_files(train, test, leaks, "h", "vec_id", "session").select("type", "split", "file", "distance", "n_partners")
+
+
+#: Two runs over the same store; in the second one a domain has a new signature and another is gone.
+STORE = f"""WITH {T.SAMPLES} SELECT 1 AS run, domain, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM samples GROUP BY domain
+  UNION ALL SELECT 2, domain, count(*), sum(vec_id * CASE WHEN domain = 'd3' THEN 2 ELSE 1 END)::BIGINT FROM samples WHERE domain <> 'd9' GROUP BY domain"""
+
+
+@register("s20_signed_store", STORE)
+def signed_store(s, d):
+    """What the store holds of each domain after each run: only d3 was computed in the second, by other settings."""
+    store, t, out = SignedStore(s, fresh_path(s, "store"), "domain"), T.samples(s, d), None
+    for run, (times, kept) in enumerate(((1, "domain <> ''"), (2, "domain <> 'd9'")), 1):
+        setting = F.when(F.col("domain") == "d3", F.lit(times)).otherwise(F.lit(1))
+        signatures = t.where(kept).select("domain", setting.cast("string").alias("signature")).distinct()
+        store.update(signatures, lambda changed, times=times: t.join(changed.select("domain"), "domain").select("domain", (F.col("vec_id") * times).alias("ids")))
+        now = staged(store.read("ids long").groupBy("domain").agg(F.count("*").alias("n"), F.sum("ids").alias("ids")).select(F.lit(run).alias("run"), "domain", "n", "ids"), "stored")
+        out = now if out is None else out.unionByName(now)
+    return out
