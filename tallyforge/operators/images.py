@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions import boxes, keyed
+from tallyforge.functions import boxes, keyed, scores
 from tallyforge.operators import metrics
 
 ZONES = ("interior", "edge", "exterior")
@@ -119,14 +119,32 @@ def accepted(proposed: DataFrame, key: str, size: int, per_zone: int, least_dist
 
 
 def crop_patches(rows: DataFrame, planned: DataFrame, key: str, flat: float = 0.0) -> DataFrame:
-    """key, zone, x, y, size, grey_std, patch: the planned crops; patches flatter than flat are left out."""
-    j = rows.select(key, "height", "width", "data").join(planned, key)
+    """key, height, width, planned's columns, grey_std, patch, error: the planned crops (x, y, size); patches flatter than flat are left out.
 
-    def kernel(row):
-        p = pixels(row)[row.y : row.y + row.size, row.x : row.x + row.size]
-        return float(p.std()), as_bytes(p)
+    An image's plan goes to it as one list, so an image is moved and decoded once, however many patches it gives.
+    """
+    names = [c for c in planned.columns if c != key]
+    plan = planned.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("planned"))  # a list of one image's patches
+    lists = {c: F.col("planned")[c].cast("array<long>") for c in ("x", "y", "size")}
+    j = rows.select(key, "height", "width", "data").join(plan, key).select("*", *[v.alias(f"all_{c}") for c, v in lists.items()])
 
-    return each(j, kernel, [("grey_std", "double"), ("patch", "binary")]).where(F.col("error").isNotNull() | (F.col("grey_std") >= flat))
+    def kernel(row):
+        image, stds, patches, errors = pixels(row), [], [], []
+        for x, y, size in zip(row.all_x, row.all_y, row.all_size, strict=True):
+            try:
+                p = image[y : y + size, x : x + size]
+                found = (float(p.std()), as_bytes(p), None)
+            except Exception as e:  # one bad patch must not take the others along
+                found = (None, None, f"{type(e).__name__}: {e}"[:200])
+            for out, value in zip((stds, patches, errors), found, strict=True):
+                out.append(value)
+        return stds, patches, errors
+
+    cut = each(j, kernel, [("stds", "array<double>"), ("patches", "array<binary>"), ("errors", "array<string>")], drop=("data", "all_x", "all_y", "all_size"))
+    one = cut.select(key, "height", "width", "stds", "patches", "errors", "error", F.posexplode("planned").alias("i", "p"))
+    at = {new: F.get(old, F.col("i")) for old, new in (("stds", "grey_std"), ("patches", "patch"))}
+    one = one.select(key, "height", "width", *[F.col(f"p.{c}").alias(c) for c in names], *[v.alias(c) for c, v in at.items()], F.coalesce("error", F.get("errors", F.col("i"))).alias("error"))
+    return one.where(F.col("error").isNotNull() | (F.col("grey_std") >= flat))
 
 
 _sessions: dict = {}
@@ -153,34 +171,61 @@ def linear_model(weights: np.ndarray, bias: float = 0.0) -> Callable[[np.ndarray
     return lambda x: np.array([(x * weights).sum() + bias])
 
 
-def score(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: int, rotate: int = 0, band: tuple[float, float] | None = None) -> DataFrame:
-    """rows with logit, score and error: image (cropped to bbox where there is one), turned, without a frequency band, shrunk to size, in [0, 1], through the model."""
-    has_box = "bbox" in rows.columns
+def viewed(x: np.ndarray, size: int, rotate: int, band: tuple[float, float] | None) -> np.ndarray:
+    """An image turned, without a frequency band, shrunk to size x size, in [0, 1]."""
+    x = np.rot90(x, rotate // 90)
+    if band:
+        f = np.fft.fftshift(np.fft.fft2(x))
+        r = np.hypot(*np.meshgrid(*[np.linspace(-1, 1, n) for n in f.shape], indexing="ij"))
+        x = np.fft.ifft2(np.fft.ifftshift(np.where((r >= band[0]) & (r < band[1]) & (r > 0), 0, f))).real
+    return shrink(x, size, size) / 255
+
+
+def score_variants(rows: DataFrame, variants: dict[str, tuple[Callable, int, tuple[float, float] | None]], size: int) -> DataFrame:
+    """rows (less data) with variant, logit, score and error, a row for each of variants: name -> (model, turn in degrees, band to remove or None).
+
+    An image (cropped to bbox where there is one) is moved and decoded once for all of them.
+    """
+    has_box, names = "bbox" in rows.columns, list(variants)
 
     def kernel(row):
         x = pixels(row)
         if has_box and row.bbox is not None:
             x1, y1, x2, y2 = (int(v) for v in row.bbox)
             x = x[y1:y2, x1:x2]
-        x = np.rot90(x, rotate // 90)
-        if band:
-            f = np.fft.fftshift(np.fft.fft2(x))
-            r = np.hypot(*np.meshgrid(*[np.linspace(-1, 1, n) for n in f.shape], indexing="ij"))
-            x = np.fft.ifft2(np.fft.ifftshift(np.where((r >= band[0]) & (r < band[1]) & (r > 0), 0, f))).real
-        z = float(model(shrink(x, size, size) / 255)[0])
-        return z, float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        logits, errors = [], []
+        for model, rotate, band in variants.values():
+            try:
+                logits.append(float(model(viewed(x, size, rotate, band))[0]))
+                errors.append(None)
+            except Exception as e:  # one model's trouble must not take the others along
+                logits.append(None)
+                errors.append(f"{type(e).__name__}: {e}"[:200])
+        return logits, errors
+
+    found = each(rows, kernel, [("logits", "array<double>"), ("errors", "array<string>")])
+    kept = [c for c in found.columns if c not in ("logits", "errors", "error")]
+    one = found.select("*", F.posexplode(F.array(*map(F.lit, names))).alias("i", "variant"))
+    z = F.get("logits", F.col("i"))
+    return one.select(*kept, "variant", z.alias("logit"), scores.sigmoid(z).alias("score"), F.coalesce("error", F.get("errors", F.col("i"))).alias("error"))
 
-    return each(rows, kernel, [("logit", "double"), ("score", "double")])
+
+def score(rows: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: int, rotate: int = 0, band: tuple[float, float] | None = None) -> DataFrame:
+    """rows with logit, score and error of one variant."""
+    return score_variants(rows, {"": (model, rotate, band)}, size).drop("variant")
 
 
 def rotation_sweep(rows: DataFrame, models: dict[str, Callable], size: int, rotations: Sequence[int] = (0, 90, 180, 270)) -> DataFrame:
-    """model, rotate and the metric row of each pair."""
-    out = None
-    for name, model in models.items():
-        for turn in rotations:
-            part = score(rows, model, size, turn).select("label", "score").withColumn("model", F.lit(name)).withColumn("rotate", F.lit(turn))
-            out = part if out is None else out.unionByName(part)
-    return metrics.metric_row(out, 0.5, ["model", "rotate"])
+    """model, rotate and the metric row of each pair, from one pass over the images."""
+    variants = {f"{turn} {name}": (model, turn, None) for name, model in models.items() for turn in rotations}
+    found = score_variants(rows, variants, size).select("label", "score", "variant")
+    split = F.split("variant", " ", 2)
+    return metrics.metric_row(found.select("label", "score", split[1].alias("model"), split[0].cast("int").alias("rotate")), 0.5, ["model", "rotate"])
+
+
+def band_sweep(rows: DataFrame, model: Callable, size: int, bands: dict[str, tuple[float, float] | None]) -> DataFrame:
+    """rows with band, logit, score and error: the model without each of the bands (None: whole), from one pass over the images."""
+    return score_variants(rows, {name: (model, 0, band) for name, band in bands.items()}, size).withColumnRenamed("variant", "band")
 
 
 def detect(rows: DataFrame, detector: Callable[[np.ndarray], Sequence[tuple]], best_only: bool = False) -> DataFrame:
@@ -230,21 +275,37 @@ def thumbnails(rows: DataFrame, size: int) -> DataFrame:
     return each(rows, lambda row: (as_bytes(shrink(pixels(row), size, size)),), [("thumb", "binary")])
 
 
-def anonymised(rows: DataFrame, how: str, share: float = 0.05, cells: int = 4) -> DataFrame:
-    """blob: the box's interior (less a band of share) set to its mean (mask) or to a cells x cells mosaic (pixelate), or all of the image as a mosaic (downscale)."""
+def anonymised(rows: DataFrame, hows: Sequence[str], share: float = 0.05, cells: int = 4) -> DataFrame:
+    """rows (less data) with how, blob and error for each of hows: the box's interior (less a band of share) set to its mean (mask) or to a cells x cells
+    mosaic (pixelate), or all of the image as a mosaic (downscale). An image is moved and decoded once.
+    """
 
     def mosaic(x: np.ndarray) -> np.ndarray:
         h, w = min(cells, x.shape[0]), min(cells, x.shape[1])
         return shrink(x, h, w)[np.minimum(np.arange(x.shape[0]) * h // x.shape[0], h - 1)][:, np.minimum(np.arange(x.shape[1]) * w // x.shape[1], w - 1)]
 
-    def kernel(row):
-        x = pixels(row)
+    def changed(x: np.ndarray, box, how: str) -> bytes:
         if how == "downscale":
-            return (as_bytes(mosaic(x)),)
-        x1, y1, x2, y2 = row.bbox
+            return as_bytes(mosaic(x))
+        x = x.copy()
+        x1, y1, x2, y2 = box
         mx, my = (x2 - x1) * share, (y2 - y1) * share
         a, b, c, d = int(y1 + my), int(y2 - my), int(x1 + mx), int(x2 - mx)
         x[a:b, c:d] = x[a:b, c:d].mean() if how == "mask" else mosaic(x[a:b, c:d])
-        return (as_bytes(x),)
+        return as_bytes(x)
 
-    return each(rows, kernel, [("blob", "binary")])
+    def kernel(row):
+        x, blobs, errors = pixels(row), [], []
+        for how in hows:
+            try:
+                blobs.append(changed(x, row.bbox, how))
+                errors.append(None)
+            except Exception as e:
+                blobs.append(None)
+                errors.append(f"{type(e).__name__}: {e}"[:200])
+        return blobs, errors
+
+    found = each(rows, kernel, [("blobs", "array<binary>"), ("errors", "array<string>")])
+    kept = [c for c in found.columns if c not in ("blobs", "errors", "error")]
+    one = found.select("*", F.posexplode(F.array(*map(F.lit, hows))).alias("i", "how"))
+    return one.select(*kept, "how", F.get("blobs", F.col("i")).alias("blob"), F.coalesce("error", F.get("errors", F.col("i"))).alias("error"))

@@ -87,15 +87,12 @@ register("i10_spectral_effects")(lambda s, d: r6(A.cohens_d(I.spectral(frames(s,
 
 @register("i11_band_removed")
 def band_removed(s, d):
-    out = None
-    for name, band in (("none", None), ("low", (0.0, 0.4)), ("high", (0.4, 2.0))):
-        part = I.score(frames(s, d), MODEL, 8, band=band).select("label", "score").withColumn("band", F.lit(name)).withColumn("split", F.lit("all"))
-        out = part if out is None else out.unionByName(part)
+    out = I.band_sweep(frames(s, d), MODEL, 8, {"none": None, "low": (0.0, 0.4), "high": (0.4, 2.0)}).select("label", "score", "band", F.lit("all").alias("split"))
     return r6(X.change_from(X.eer(out, ["split", "band"]).select("split", "band", "eer"), ["split"], "band", "none", "eer"), "eer", "change")
 
 
 register("i12_thumbnails")(lambda s, d: I.thumbnails(frames(s, d), 8).select("path", F.sha2("thumb", 256).alias("thumb_hash")))
-register("i13_anonymised_frames")(lambda s, d: I.anonymised(frames(s, d), "mask").select("path", F.lit("mask").alias("how"), "blob").unionByName(I.anonymised(frames(s, d), "pixelate").select("path", F.lit("pixelate").alias("how"), "blob")).unionByName(I.anonymised(frames(s, d), "downscale").select("path", F.lit("downscale").alias("how"), "blob")).select("path", "how", F.sha2("blob", 256).alias("blob_hash")))
+register("i13_anonymised_frames")(lambda s, d: I.anonymised(frames(s, d), ["mask", "pixelate", "downscale"]).select("path", "how", F.sha2("blob", 256).alias("blob_hash")))
 
 
 @register("k07_leak_report")

@@ -57,3 +57,35 @@ def test_accepted_patches_are_the_walk(spark):
 def test_thumbnails(spark, frames):
     got = dict(catalog.QUERIES["i12_thumbnails"](spark, SF).toPandas().itertuples(index=False, name=None))
     assert set(got) == {f"/frames/{v}.png" for v in frames} and pd.Series(got).str.len().eq(64).all()
+
+
+def test_one_pass_over_images(spark):
+    """All variants, patches and transforms of an image from one row; bad images and bad patches give errors of their own."""
+    rng = np.random.default_rng(3)
+    blobs = [rng.integers(0, 256, 12 * 16, dtype=np.uint8).tobytes() for _ in range(4)] + [b"short"]
+    rows = spark.createDataFrame([(f"p{i}", 12, 16, b, i % 2, [2.0, 2.0, 14.0, 10.0] if i else None) for i, b in enumerate(blobs)], "path string, height int, width int, data binary, label int, bbox array<double>")
+    models = {"mean": lambda x: np.array([x.mean()]), "corner": lambda x: np.array([x[0, 0]]), "bad": lambda x: 1 / 0}
+    got = {(r["path"], r["variant"]): r for r in images.score_variants(rows, {f"{n}{t}": (m, t, None) for n, m in models.items() for t in (0, 90)}, 4).collect()}
+    assert len(got) == 5 * 6
+    for i, blob in enumerate(blobs):
+        for name in models:
+            for turn in (0, 90):
+                r = got[f"p{i}", f"{name}{turn}"]
+                if i == 4 or name == "bad":
+                    assert r["score"] is None and ("ValueError" if i == 4 else "ZeroDivisionError") in r["error"]
+                    continue
+                x = np.frombuffer(blob, np.uint8).reshape(12, 16).astype(float)
+                x = images.shrink(np.rot90(x[2:10, 2:14] if i else x, turn // 90), 4, 4) / 255
+                assert r["error"] is None and abs(r["logit"] - models[name](x)[0]) < 1e-12 and abs(r["score"] - 1 / (1 + np.exp(-r["logit"]))) < 1e-12
+    plan = spark.createDataFrame([(f"p{i}", "edge", x, 3, 4) for i in range(5) for x in (0, 5)] + [("p0", "edge", 99, 3, 4), ("p9", "edge", 0, 0, 4)], "path string, zone string, x int, y int, size int")
+    cut = {(r["path"], r["x"]): r for r in images.crop_patches(rows, plan, "path").collect()}
+    for i in range(4):
+        for x in (0, 5):
+            p = np.frombuffer(blobs[i], np.uint8).reshape(12, 16)[3:7, x : x + 4]
+            assert bytes(cut[f"p{i}", x]["patch"]) == p.tobytes() and abs(cut[f"p{i}", x]["grey_std"] - p.std()) < 1e-12 and cut[f"p{i}", x]["error"] is None
+    assert "ValueError" in cut["p4", 0]["error"] and len([k for k in cut if k[0] == "p9"]) == 0
+    changed = {(r["path"], r["how"]): r for r in images.anonymised(rows, ["mask", "downscale"]).collect()}
+    assert len(changed) == 10 and changed["p0", "mask"]["error"] and not changed["p0", "downscale"]["error"]  # without a box there is no interior
+    x = np.frombuffer(blobs[1], np.uint8).reshape(12, 16)
+    y = np.frombuffer(changed["p1", "mask"]["blob"], np.uint8).reshape(12, 16)
+    assert (y[:2] == x[:2]).all() and len(set(y[3:9, 3:13].ravel())) == 1
