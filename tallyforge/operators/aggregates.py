@@ -115,6 +115,13 @@ def legibility_table(rows: DataFrame, sets: Sequence[str], sizes: Sequence[int],
     return with_quantiles(own, of, "_share", {"median_share": 0.5}, ["dimension", "value"])
 
 
+def filled_share(rows: DataFrame, sets: Sequence[str], width: Column, height: Column, slack: float = 0.02) -> DataFrame:
+    """dimension, value, n, filled: for each value of each grouping column, the share of boxes (x1, y1, x2, y2) at least as wide and high as the frame, less the slack."""
+    fills = (F.col("x2") - F.col("x1") >= width * (1 - slack)) & (F.col("y2") - F.col("y1") >= height * (1 - slack))
+    of = rows.select(fills.cast("double").alias("_f"), F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in sets])).alias("_d"))
+    return of.groupBy("_d.dimension", "_d.value").agg(F.count("*").alias("n"), F.avg("_f").alias("filled"))
+
+
 def cohens_d(rows: DataFrame, features: str, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """keys, position, d: (mean of label 1 - mean of label 0) / pooled deviation, floor 1e-9, of each feature."""
     each = rows.select(*keys, F.col(label).alias("_y"), F.posexplode(features).alias("position", "_x"))

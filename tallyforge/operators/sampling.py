@@ -76,8 +76,8 @@ def map_subset(rows: DataFrame, cell: Sequence[str], whole: Column, budget: int,
     kept = rows.where(whole)
     left = rows.where(~whole)
     cap = fair_cap(left.groupBy(*cell).agg(F.count("*").alias("n")), "n", max(0, budget - kept.count()))
-    n = F.row_number().over(W.partitionBy(*cell).orderBy(shuffle_key(seed, F.col(key)), key))
-    chosen = left.withColumn("_n", n).withColumn("_cap", cap.scalar()).where("_n <= _cap").drop("_n", "_cap")
+    # a cell may have any number of rows: its places are ranked in two levels
+    chosen = placed(left, key, seed, cell).withColumn("_cap", cap.scalar()).where("place < _cap").drop("place", "_cap")
     return kept.unionByName(chosen)
 
 

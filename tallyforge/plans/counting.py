@@ -44,6 +44,9 @@ register("a09_legibility", G + " SELECT label, count(*) AS n, round(quantile_con
 register("a10_legibility_table", G + """, z AS (SELECT *, 0.04 * short * least(1.0, size / long) AS t, 0.35 * short * least(1.0, size / long) AS f FROM g, (VALUES (96), (192), (512)) v(size)), q AS (SELECT 'flag' AS dimension, flag AS value, * FROM z UNION ALL SELECT 'status', status, * FROM z UNION ALL SELECT 'label', CAST(label AS VARCHAR), * FROM z)
   SELECT dimension, value, size, count(*) AS n, round(avg(CAST(t < 5 AS INT)), 6) AS text_under, round(avg(CAST(f < 40 AS INT)), 6) AS face_under, round(quantile_cont(long / 1000, 0.5), 6) AS median_share FROM q GROUP BY 1, 2, 3""")(
     lambda s, d: r6(A.legibility_table(sized(s, d), ["flag", "status", "label"], [96, 192, 512]), "text_under", "face_under", "median_share"))
+FILLED = G + """, q AS (SELECT 'flag' AS dimension, flag AS value, * FROM g UNION ALL SELECT 'status', status, * FROM g UNION ALL SELECT 'label', CAST(label AS VARCHAR), * FROM g)
+  SELECT dimension, value, count(*) AS n, round(avg(CAST(x2 - x1 >= 500 * 0.98 AND y2 - y1 >= 5 * 0.98 AS INT)), 6) AS filled FROM q GROUP BY 1, 2"""
+register("a10_filled_share", FILLED)(lambda s, d: r6(A.filled_share(good(s, d), ["flag", "status", "label"], F.lit(500.0), F.lit(5.0)), "filled"))
 register("a11_low_confidence", "SELECT l_returnflag, round(avg(CAST(least(l_quantity / 50, l_discount * 10, 0.9) < 0.3 AS INT)), 6) AS share_low FROM lineitem GROUP BY 1")(
     lambda s, d: r6(T.table(s, d, "lineitem").withColumn("c", B.least_peak([F.col("l_quantity") / 50, F.col("l_discount") * 10, F.lit(0.9)])).groupBy("l_returnflag").agg(F.avg((F.col("c") < 0.3).cast("double")).alias("share_low")), "share_low"))
 D = ", f AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM samples), e AS (SELECT position, (avg(x) FILTER (WHERE label = 1) - avg(x) FILTER (WHERE label = 0)) / greatest(sqrt((var_samp(x) FILTER (WHERE label = 1) + var_samp(x) FILTER (WHERE label = 0)) / 2), 1e-9) AS d FROM f GROUP BY 1)"

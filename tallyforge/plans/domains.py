@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import aggregates as A
+from tallyforge.operators import domain_report as R
 from tallyforge.operators import gaps as G
 from tallyforge.operators import metrics as X
 from tallyforge.operators import sampling as S
@@ -77,6 +78,8 @@ def covered(s, d):
 
 register("v02_coverage", COVER + " SELECT query_id, label, round(coverage, 6) AS coverage FROM v")(lambda s, d: r6(covered(s, d), "coverage"))
 register("v03_uncovered", COVER + f" SELECT query_id, label, coverage < {LOW} AS uncovered FROM v")(lambda s, d: covered(s, d).select("query_id", "label", (F.col("coverage") < LOW).alias("uncovered")))
+#: The default of the report.
+register("v03_uncovered_default", COVER + f" SELECT query_id, label, coverage < {R.UNCOVERED} AS uncovered FROM v")(lambda s, d: covered(s, d).select("query_id", "label", (F.col("coverage") < R.UNCOVERED).alias("uncovered")))
 register("v25_headline", COVER + f" SELECT label, count(*) AS n, count(*) FILTER (WHERE coverage >= {LOW}) AS n_covered, round(avg(CAST(coverage >= {LOW} AS INT)), 6) AS covered_share FROM v GROUP BY 1")(
     lambda s, d: r6(covered(s, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("coverage") >= LOW).alias("n_covered"), F.avg((F.col("coverage") >= LOW).cast("double")).alias("covered_share")), "covered_share"))
 LIFT_PARTS = near_sql("lnb", "q.role = 'prod'", "q.label = i.label AND i.role <> 'prod'") + """, h AS (SELECT domain, label, count(*) AS hits FROM lnb JOIN samples ON neighbour_id = vec_id GROUP BY 1, 2), n AS (SELECT domain, label, count(*) AS n FROM samples WHERE role <> 'prod' GROUP BY 1, 2),
