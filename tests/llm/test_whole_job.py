@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import decontamination, html_text, nearest
-from tallyforge.operators import vectors
 
 
 def test_items_that_share_a_passage(spark):
@@ -76,24 +75,6 @@ def test_repeated_vectors_count_once(spark):
     assert sorted(got[:2]) == [1, 2] and got[2:] == [10, 11, 12]
 
 
-def test_neighbours_among_many_copies(spark):
-    """Ties go to the smaller id, whatever the number of copies and of vectors at one distance."""
-    rng = np.random.default_rng(6)
-    copy = rng.normal(size=8)
-    ids = [int(i) for i in rng.permutation(400)]
-    rows = [(i, f"g{i % 3}" if i < 100 else f"own{i}", copy) for i in ids[:200]] + [(i, f"h{i}", rng.normal(size=8) + 9) for i in ids[200:]]
-    # 64 different vectors at one distance from the query 1000
-    rows += [(2000 + i, f"e{i}", 1000.0 + np.array([1.0 if i >> b & 1 else -1.0 for b in range(6)] + [0.0, 0.0])) for i in rng.permutation(64)]
-    asked = [(1000, "q", np.full(8, 1000.0)), (1001, "g0", copy), (1002, "q", copy + 0.1)]
-    frame = lambda r: spark.createDataFrame([(int(i), g, v.tolist()) for i, g, v in r], "vec_id long, grp string, embedding array<double>")
-    got = sorted((r["query_id"], r["rank"], r["neighbour_id"]) for r in vectors.neighbours(frame(asked), frame(rows), 5).collect())
-    want = []
-    for q, g, v in asked:
-        best = sorted((float(((x - v) ** 2).sum()), i) for i, h, x in rows if h != g)[:5]
-        want += [(q, n + 1, int(i)) for n, (_, i) in enumerate(best)]
-    assert got == sorted(want)
-
-
 def article_blocks(page):
     """A plain reading of a page: the blocks of text under article, by the standard library's parser."""
     from html.parser import HTMLParser
