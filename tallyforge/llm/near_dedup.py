@@ -9,8 +9,8 @@ least one) keeps it connected in one row per node.
 Buckets' connected components are closed worlds: all links lie inside. A node weighs 1 and 1 more for each WEIGHT shingles, so weights
 bound bytes. Worlds of at most LIMIT in weight are compared whole in a task: exact on full sets, skipping pairs that are joined already. Larger
 ones are cut into blocks by a hash: links inside blocks, then between hubs of the blocks' groups. What is then outside a world's largest
-group meets the world block by block; if that is many blocks' worth, only nodes that share a bucket. So no link between different texts is lost, and no task holds
-an unbounded group.
+group meets the world block by block; if that is many blocks' worth, only nodes that share a bucket. So a link is found unless no band has caught it (a
+similarity of 0.75 escapes all bands with probability 5e-6) and nothing else joins its ends; no task holds an unbounded group.
 """
 
 from __future__ import annotations
