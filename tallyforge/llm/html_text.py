@@ -224,17 +224,45 @@ def second_pass(found: list[Block]) -> None:
             b.label = "good" if good else "bad"
 
 
+def judged(page: str, least: int, whole: bool) -> tuple[list[Block], bool]:
+    """The blocks of a page with their last labels, and whether it has an article; whole: the article's tags count for nothing."""
+    found = blocks_of(page, least)
+    has_main = any(b.main and not b.bad for b in found)
+    for b in found:
+        b.main = b.main and not whole
+        b.label = first_pass(b, has_main and not whole)
+    by_language(found)
+    first = [b.label for b in found]
+    second_pass(found)
+    if not any(b.label == "good" for b in found):
+        # a page of a few short paragraphs and nothing else: what no rule has called bad by itself
+        for b, label in zip(found, first, strict=True):
+            b.label = "good" if label in ("short", "near", "weak") else b.label
+    return found, has_main
+
+
+def good_length(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found if b.label == "good")
+
+
 def extract(page: str) -> str:
-    """The main text of a page: its good blocks, one to a line. If marks by parts of names leave none, the page is read without them."""
+    """The main text of a page: its good blocks, one to a line.
+
+    The article's tags are a hint: if the rules find more text outside than in it, it is a teaser, and the page is read without them. If marks by
+    parts of names leave no text, the page is read without those.
+    """
+    text = ""
     for least in (1, 2):
-        found = blocks_of(page, least)
-        has_main = any(b.main and not b.bad for b in found)
-        for b in found:
-            b.label = first_pass(b, has_main)
-        by_language(found)
-        second_pass(found)
+        found, has_main = judged(page, least, False)
+        marked = any(b.bad == 1 for b in found)
+        if has_main and sum(len(b.text) for b in found if not b.bad and not b.main) > good_length(found):
+            every, _ = judged(page, least, True)
+            inside = [b.main and not b.bad for b in found]
+            outside = sum(len(b.text) for b, own in zip(every, inside, strict=True) if b.label == "good" and not own)
+            if outside > good_length(found):
+                found = every
         text = "\n".join(b.text for b in found if b.label == "good")
-        if text or not any(b.bad == 1 for b in found):
+        if text or not marked:
             break
     return text
 

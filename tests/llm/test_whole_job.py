@@ -136,3 +136,33 @@ def test_density_decides(monkeypatch):
     # without stop words the weak block can't be told from the text
     monkeypatch.setattr(html_text, "STOPS", frozenset())
     assert html_text.extract(page) != good.strip()
+
+
+def test_pages_without_their_tags(spark, monkeypatch):
+    """The block rules alone: article and main tags made divs, then the lists of names and tags taken away as well."""
+    import re
+    from collections import Counter
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html IS NOT NULL").collect()]
+    want = [Counter(html_text.extract(p).split("\n")) for p in pages]
+    bare = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    n = lambda c: sum(len(k) * v for k, v in c.items())
+    for most in (0.01, 0.05):
+        got = [Counter(html_text.extract(p).split("\n")) for p in bare]
+        total = sum(map(n, want))
+        assert sum(n(a & b) for a, b in zip(want, got, strict=True)) >= 0.98 * total
+        assert sum(n(b - a) for a, b in zip(want, got, strict=True)) <= most * total
+        monkeypatch.setattr(html_text, "BAD_NAMES", frozenset())
+        monkeypatch.setattr(html_text, "BAD_TAGS", frozenset())
+
+
+def test_articles_outside_article_tags():
+    body = [f"The story of day {i} is that it was told by all of them in the town, and they had no other way to say what it was about. Some of the people said that it was good for all of us." for i in range(5)]
+    divs = "".join(f"<div>{b}</div>" for b in body)
+    card = "<article class=card><p>Read our next story about the sea.</p></article>"
+    menu = "<nav><a href=/>Home</a> <a href=/x>More of it</a></nav>"
+    assert html_text.extract(f"<body>{menu}{divs}{card}<footer>All rights of the town</footer></body>").split("\n")[:5] == body
+    assert html_text.extract(f"<body>{menu}<article>{divs}</article><p>Short one.</p></body>").split("\n") == body
+    # a page of a few short paragraphs
+    assert html_text.extract("<p>x") == "x" and html_text.extract(f"{menu}<p>One.</p><p>Two words.</p>") == "One.\nTwo words."
+    assert html_text.extract(menu) == "" and html_text.extract("") == ""
