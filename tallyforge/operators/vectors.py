@@ -271,27 +271,6 @@ def standardised(rows: DataFrame, vector: str) -> DataFrame:
     return done.withColumn(vector, vector_to_array("_s")).drop("_x", "_s")
 
 
-def probe(rows: DataFrame, label: str, vector: str, fold: str, folds: int = 5, reg: float = 0.01, scale: bool = False) -> DataFrame:
-    """rows with probability: out-of-fold chance of label 1 by a linear probe with balanced weights; folds keep groups together."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = staged(rows.select(*rows.columns), "probe")
-    n = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    total = sum(n.values())
-    weight = F.when(F.col(label) == 1, total / (2 * n.get(1, 1))).otherwise(total / (2 * n.get(0, 1)))
-    data = rows.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("_w", weight)
-    if scale:
-        data = StandardScaler(withMean=True, inputCol="_x", outputCol="_s").fit(data).transform(data).drop("_x").withColumnRenamed("_s", "_x")
-    out = None
-    for i in range(folds):
-        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=reg, maxIter=20).fit(data.where(F.col(fold) != i))
-        part = model.transform(data.where(F.col(fold) == i)).withColumn("_p1", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "_w", "rawPrediction", "prediction", "probability").withColumnRenamed("_p1", "probability")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def transfer(train: DataFrame, test: DataFrame, label: str, vector: str, reg: float = 0.01) -> DataFrame:
     """test rows with probability by a probe fitted on train."""
     from pyspark.ml.classification import LogisticRegression

@@ -8,6 +8,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.operators import domain_report as R
 from tallyforge.operators import gaps as G
 from tallyforge.operators import metrics as X
+from tallyforge.operators import mining
 from tallyforge.operators import sampling as S
 from tallyforge.operators import vectors as V
 from tallyforge.plans import tables as T
@@ -136,13 +137,18 @@ register("v07_affinity", AFF + " SELECT src, dst, n AS count, round(log_lift, 6)
 register("v08_affinity_distance", AFF + ", sy AS (SELECT x.src, x.dst, (x.log_lift + y.log_lift) / 2 AS v FROM af x JOIN af y ON x.src = y.dst AND x.dst = y.src) SELECT p.src AS a, q.src AS b, round(1 - corr(p.v, q.v), 6) AS distance FROM sy p JOIN sy q ON p.dst = q.dst AND p.src < q.src GROUP BY 1, 2")(lambda s, d: r6(V.affinity_distance(affinities(s, d)), "distance"))
 
 
-def probed(s, d, where="TRUE", scale=False):
-    t = T.samples(s, d).where(where).withColumn("y", (F.col("role") == "prod").cast("int"))
-    return V.probe(S.folds(t, "grp", label="y"), "y", "embedding", "fold", scale=scale)
+@register("v10_scaled_domain_auc")
+def scaled_auc(s, d):
+    value = G.side_auc(T.samples(s, d), F.col("role") == "prod", "vec_id", "embedding")
+    return s.createDataFrame([(None if value is None else round(value, 6),)], "auc double")
+
+
+@register("v11_production_weights")
+def production_weights(s, d):
+    t = T.samples(s, d)
+    return r6(mining.likeness(t.where("role <> 'prod'"), t.where("role = 'prod'"), "vec_id", "embedding").withColumnRenamed("prod_weight", "weight"), "weight")
 
 
-register("v10_scaled_domain_auc")(lambda s, d: r6(X.auc(probed(s, d, scale=True), score="probability", label="y"), "auc"))
-register("v11_production_weights")(lambda s, d: V.odds_weights(probed(s, d)).select("vec_id", F.round("weight", 6).alias("weight")))
 register("v12_transfer_auc")(lambda s, d: r6(X.auc(V.transfer(*[T.samples(s, d).where((F.col("role") == "train") == t) for t in (True, False)], "label", "embedding"), score="probability"), "auc"))
 register("v01_reduced_vectors")(lambda s, d: V.centred_pca(T.samples(s, d), S.capped(T.samples(s, d), ["domain", "label"], 1000, "vec_id"), 16)[0].select("vec_id", "z"))
 register("v13_centroid_distance", VS + ", e AS (SELECT role = 'prod' AS side, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM samples), m AS (SELECT side, p, avg(x) AS m, var_pop(x) AS v FROM e GROUP BY 1, 2) SELECT round((SELECT sqrt(sum((a.m - b.m) ** 2)) FROM m a JOIN m b ON a.p = b.p AND a.side AND NOT b.side) / (SELECT avg(sq) FROM (SELECT sqrt(sum(v)) AS sq FROM m GROUP BY side)), 6) AS distance")(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.keyed import gumbel, uniform
 from tallyforge.functions.scores import band_weight, hardness, section
-from tallyforge.operators import aggregates as A
 from tallyforge.operators import audit, batches
 from tallyforge.operators import sampling as S
 from tallyforge.plans import tables as T

@@ -10,8 +10,6 @@ import pytest
 from tallyforge.plans import catalog, columns, counting, detection, domains, imaging, relations, reports, sampled  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: The rest takes as long again; TEST_ALL=1 runs all.
-SLOW = ("v09", "v10", "v11", "v12", "v14", "v16")
 
 
 def plain(x):
@@ -40,8 +38,6 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    if name.startswith(SLOW) and not os.environ.get("TEST_ALL"):
-        pytest.skip("slow")
     got = catalog.QUERIES[name](spark, SF).toPandas()
     if name in catalog.ORACLES:
         want = duck.sql(catalog.ORACLES[name]).df()
