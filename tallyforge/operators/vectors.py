@@ -128,7 +128,8 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int, id_col: str = "vec_
     nothing = q.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance")).limit(0)
     if not total:
         return nothing
-    pivots = Pivots(x, total, per_pivot)
+    # a table of about a block is one block: there is nothing to rule out
+    pivots = Pivots(x, total, total if total <= min(BLOCK, 4 * per_pivot) else per_pivot)
     homed = staged(pivots.homed(x), "homed")
     pivots.measured(homed)
     sizes = homed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("subs"))
