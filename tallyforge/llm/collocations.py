@@ -374,9 +374,12 @@ def range_keys(docs: DataFrame, total: int, longest: int, range_bytes: int) -> l
     keys = staged(sampled.mapInArrow(phrases, "key binary"), "phrase-sample")
     n = keys.count()
     share = max(1, n // ranges)
-    rank = F.row_number().over(W.partitionBy("part").orderBy("key"))
-    ordered = keys.repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    found = ordered.withColumn("rank", rank).where(F.col("rank") % share == 0).select("key").distinct().collect()  # about as many as there are ranges
+    ordered = staged(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "phrase-order")
+    # places in the whole order: those in a part, lifted by the parts before
+    lift = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lifts = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", lift.alias("lift"))  # a row for each part
+    place = F.row_number().over(W.partitionBy("part").orderBy("key")) + F.col("lift")
+    found = ordered.join(lifts, "part").withColumn("place", place).where(F.col("place") % share == 0).select("key").distinct().collect()  # about as many as there are ranges
     return sorted((tuple(w + b" " for w in r["key"].split(b" ")[:-1]) for r in found), key=sort_key)
 
 

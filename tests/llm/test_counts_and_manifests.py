@@ -187,3 +187,20 @@ def test_compose_with_many_words():
     found = collocations.compose(trie, trie)
     assert all((node == np.arange(len(node))).all() for node in found)
     assert (collocations.counted(trie, trie, np.c_[lang, first, first[::-1]]) == np.arange(2, n + 2)).all()
+
+
+def test_ranges_follow_from_the_sample(spark):
+    """As many ranges as the text asks for, however many partitions sort the sample."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([("en", " ".join(f"w{rng.randrange(3000)}" for _ in range(400))) for _ in range(300)], "lang string, text string").repartition(4)
+    total = docs.selectExpr("sum(octet_length(text)) AS n").first()["n"]
+    was, again = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            keys = collocations.range_keys(docs, total, 3, total // 10)
+            assert 6 <= len(keys) <= 14 and keys == sorted(keys, key=collocations.sort_key)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", again)
