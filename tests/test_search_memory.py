@@ -54,3 +54,35 @@ def test_all_values_at_once(spark, monkeypatch):
             own = [i for i in range(500) if i % 10 and "abc"[i % 3] == value and i % 2 == q % 2 and i // 3 != q // 3]
             want |= {(q, value, i) for i in sorted(own, key=lambda i: (d[i], i))[:3]}
     assert got == want
+
+
+def test_a_task_holds_one_double_of_its_rows():
+    """Products are held in single precision: a shelf's rows stand in doubles once, not three times."""
+    rng = np.random.default_rng(7)
+    n = 20_000
+    b = frame(rng.normal(size=(n, 64)).astype(np.float32), [f"g{i // 3}" for i in range(n)])
+    a = frame(rng.normal(size=(300, 64)).astype(np.float32), [f"q{i}" for i in range(300)], n)
+    tracemalloc.start()
+    found = vectors.nearest_in(a, b, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and peak < 3.2 * n * 64 * 8
+
+
+def test_single_precision_loses_nothing():
+    """Far from the origin, of very large and very small size, with one row far out, and with slices cut anywhere: as summed in doubles."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 6))
+    far = x.copy()
+    far[7] *= 1e9
+    for values in (x + 1e7, x * 1e25, x * 1e-25, far, np.round(x)):
+        b = frame(values, [f"g{i // 3}" for i in range(1500)])
+        b["slice"] = np.arange(1500) // 100
+        wanted = rng.random((60, 15)) < 0.7
+        got = vectors.nearest_in(b.iloc[:60].drop(columns="slice"), b, 4, wanted)
+        want = set()
+        for i in range(60):
+            d = ((values - values[i]) ** 2).sum(1)
+            own = [j for j in range(1500) if j // 3 != i // 3 and wanted[i, j // 100]]
+            want |= {(i, j) for j in sorted(own, key=lambda j: (d[j], j))[:4]}
+        assert {(r.query_id, r.neighbour_id) for r in got.itertuples()} == want
