@@ -59,6 +59,23 @@ def test_probes_of_all_cells(spark):
     assert got["a", 0]["auc"] > 0.95 > 0.7 > got["b", 1]["auc"]
 
 
+def test_probes_take_the_whole_side(spark):
+    """A side of 1,700 rows counts whole, in the fits and in the AUC."""
+    rng = np.random.default_rng(8)
+    of = [("p", 1_700, 0.0), ("a", 50, 0.7)]
+    rows = [(d, [float(x) for x in rng.normal(size=3) + shift]) for d, n, shift in of for _ in range(n)]
+    rows = spark.createDataFrame([(i, d, 1, f"g{i}", v) for i, (d, v) in enumerate(rows)], "vec_id long, domain string, label int, grp string, embedding array<double>")
+    side = F.col("domain") == "p"
+    got = probes.cell_probes(rows, ["domain", "label"], side, "label").collect()
+    own = probes.pairs(rows, ["domain", "label"], side, "label", "embedding", "grp", "vec_id", 1_700, 20, 5, 42)[1].toPandas()
+    x, y, fold = np.stack(own["v"]), own["y"].to_numpy(), own["fold"].to_numpy()
+    assert np.bincount(y).tolist() == [50, 1_700]
+    score = np.zeros(len(y))
+    for f in range(5):
+        score[fold == f] = np.c_[x, np.ones(len(x))][fold == f] @ plain_fit(x[fold != f], y[fold != f])
+    assert [r["n"] for r in got] == [50] and abs(got[0]["auc"] - plain_auc(score, y)) < 1e-5
+
+
 def test_probe_weights_are_the_optimum(spark):
     """The gradient is zero at the weights, for separable cells too."""
     rows = vectors(spark).where("domain IN ('p', 'a')").withColumn("embedding", F.transform("embedding", lambda x: x * F.when(F.col("domain") == "a", 9.0).otherwise(0.1)))
