@@ -1,10 +1,10 @@
 """Phrase collocations by weighted acyclic automata whose transitions are words.
 
-1. Counting: a shard of SHARD bytes of text gives its sorted phrases of up to `longest` words with their counts. They are cut by ranges of
-   prefixes and each cut is built, block by block, into a minimal acyclic count transducer: states whose transitions, counts and targets
-   are equal are one state, found in a register when their block is frozen.
+1. Counting: a shard of SHARD bytes of text gives its sorted phrases of up to `longest` words with their counts, a slice of first words at a
+   time. They are cut by ranges of prefixes and each cut is built, block by block, into a minimal acyclic count transducer: states whose
+   transitions, counts and targets are equal are one state, found in a register when their block is frozen.
 2. Union: the transducers of one range, from all shards, are added up; phrases under the least count go, as all parts of a frequent
-   phrase are as frequent themselves.
+   phrase are as frequent themselves. What is left is little, so ranges side by side become one, up to FREQUENT bytes of transducers.
 3. Parts: each range builds a transducer of the parts that its candidates ask for (both sides of each cut), weighted by the largest
    count of a candidate that asks. Cut by ranges, it is composed with the counts of the range that has the parts. Counts come
    back in the order in which they were asked; the weights tell the other range which of its candidates lie inside a longer one.
@@ -15,10 +15,12 @@ A very frequent word or pair counts once in each shard and each asking range, an
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ from tallyforge.llm.shared import LOWER, blocks, mixed, prefix_sums, read, short
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase lies inside a longer one, and is dropped, if the longer one has this many hundredths of its occurrences.
 INSIDE = 50
-#: Bytes of text whose phrases a task counts at a time, and bytes of text for each range of prefixes. Larger ones share more, and take more memory.
-SHARD, RANGE = 4 << 20, 4 << 20
+#: Bytes of text whose words a task tells apart at a time, of text whose phrases it builds at a time, and of text for each range of prefixes. A shard has a
+#: piece for each range, so pieces are (text / SHARD) * (text / RANGE). Larger ones share more, and take more memory.
+SHARD, SLICE, RANGE = 16 << 20, 4 << 20, 4 << 20
+#: Bytes of packed transducers of frequent phrases that ask, and are asked, together.
+FREQUENT = 512 << 10
 #: Bytes of text sampled to lay the ranges, for each of them. Where ranges begin decides no result.
 SAMPLED = 64 << 10
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -63,6 +68,10 @@ class Trie:
     def __len__(self) -> int:
         return sum(map(len, self.label))
 
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
+
     @property
     def depth(self) -> int:
         return len(self.label)
@@ -174,7 +183,7 @@ class Transducer:
         self.words, self.depth = trie.words, trie.depth
         self.label, self.count, self.target = ([np.zeros(k, np.int64) for k in n] for _ in range(3))
         self.first = [np.zeros(k + 2, np.int64) for k in (1, *n[:-1])]
-        self.states, self.register = [1] * self.depth, [defaultdict(list) for _ in n]
+        self.states, self.register = [1] * self.depth, [{} for _ in n]
         to = [np.zeros(k, np.int64) for k in n]
         if self.depth > 1:
             for i in range(0, n[1], BLOCK_OF):
@@ -204,14 +213,12 @@ class Transducer:
         salt = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
         x = mixed(mixed(mixed(label[a:z].astype(np.uint64) * salt[0]) + count[a:z].astype(np.uint64) * salt[1]) + target[a:z].astype(np.uint64) * salt[2])
         sums, one, which = np.unique(np.add.reduceat(x, start - a), return_index=True, return_inverse=True)
-        ids, register = np.empty(len(sums), np.int64), self.register[d]
-        fresh = []
-        for k, s in enumerate(sums.tolist()):
-            if s in register:
-                ids[k] = register[s]
-            else:
-                ids[k] = register[s] = self.states[d] + len(fresh)
-                fresh.append(k)
+        keys, register = sums.tolist(), self.register[d]
+        ids = np.fromiter(map(register.get, keys, repeat(-1)), np.int64, len(keys)) if register else np.full(len(keys), -1)
+        fresh = np.flatnonzero(ids < 0)
+        ids[fresh] = self.states[d] + np.arange(len(fresh))
+        if d > 1 and trie.depth > 1 and len(trie.label[1]) > BLOCK_OF:  # other blocks follow
+            register.update(zip(keys, ids.tolist(), strict=True))
         self.append(trie, to, d, start[one[fresh]], size[one[fresh]])
         state = ids[which]
         # equal sums are checked: a state is shared only if its transitions are the same
@@ -277,9 +284,13 @@ def packed(trie: Trie) -> bytes:
 
 def cuts(trie: Trie, keys: list[Key]) -> Iterator[tuple[int, Trie]]:
     """(range, its part of the trie) for the ranges that have any; range i begins with keys[i - 1]."""
+    if not len(trie.label[0]):
+        return
+    first, last = (tuple(trie.words[x[at]] for x in trie.label[:depth] if len(x)) for at, depth in ((0, 1), (-1, trie.depth)))
+    a, z = bisect_right(keys, first), bisect_right(keys, last)
     before = [0] * trie.depth
-    for i, z in enumerate([*map(trie.bounds, keys), [len(x) for x in trie.label]]):
-        part = trie.part(before, z)
+    for i, z in enumerate([*map(trie.bounds, keys[a:z]), [len(x) for x in trie.label]], a):
+        part = trie.part(before, z) if z != before else None
         if part:
             yield i, part
         before = z
@@ -287,8 +298,7 @@ def cuts(trie: Trie, keys: list[Key]) -> Iterator[tuple[int, Trie]]:
 
 def compose(asked: Trie, counts: Trie) -> np.ndarray:
     """The counts of the asked phrases (those with a weight), level by level, each in its order; 0 for unknown ones."""
-    number = {w: i for i, w in enumerate(counts.words)}
-    to = np.array([number.get(w, -1) for w in asked.words], np.int64)
+    to = np.array([counts.number.get(w, -1) for w in asked.words], np.int64)
     node, width, out = np.zeros(1, np.int64), max(1, len(counts.words)), []
     for level in range(min(asked.depth, counts.depth)):
         keys = counts.parent[level].astype(np.int64) * width + counts.label[level]
@@ -301,39 +311,49 @@ def compose(asked: Trie, counts: Trie) -> np.ndarray:
     return out
 
 
-def shard_trie(words: np.ndarray, follows: np.ndarray, langs: np.ndarray, texts: list[bytes], names: list[bytes], longest: int) -> Trie:
-    """The phrases of a shard: of each word occurrence its word and language (numbers in texts and names) and whether the next one follows in the same piece."""
+def shard_tries(words: np.ndarray, follows: np.ndarray, langs: np.ndarray, texts: list[bytes], names: list[bytes], longest: int, slices: int) -> Iterator[Trie]:
+    """The phrases of a shard: of each word occurrence its word and language (numbers in texts and names) and whether the next one follows in the same piece.
+
+    They come as tries of equally many occurrences, in the order of their languages and first words; counts of a first word that two of them have add up.
+    """
     vocabulary = sorted({*texts, *names})
     number = {w: i for i, w in enumerate(vocabulary)}
-    word = np.array([number[w] for w in texts], np.int64)[words] if len(words) else words
-    width = max(1, len(vocabulary))
-    lang, which = grouped(np.array([number[w] for w in names], np.int64)[langs] if len(words) else langs)
-    parent, label, count = [np.zeros(len(lang), np.int64)], [lang], [np.zeros(len(lang), np.int64)]
-    at = np.arange(len(word))  # where the phrases of the level's length begin
-    for level in range(longest):
-        distinct, place = grouped(which * width + word[at + level])
-        parent.append(distinct // width)
-        label.append(distinct % width)
-        count.append(np.bincount(place, minlength=len(distinct)))
-        on = follows[at + level]
-        at, which = at[on], place[on]
-    return Trie(vocabulary, parent, label, count)
-
-
-def shards(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Iterator[Trie]:
-    """The tries of runs of about size bytes of the batches' texts (language, text)."""
+    word = np.array([number[w] for w in texts], np.int32)[words] if len(words) else words
+    lang = np.array([number[w] for w in names], np.int32)[langs] if len(words) else langs
+    del number, texts, words, langs
+    width = np.int64(max(1, len(vocabulary)))
+    order = np.argsort(lang * width + word, kind="stable").astype(np.int32) if slices > 1 else np.arange(len(word), dtype=np.int32)
+    for at in np.array_split(order, slices):  # where the phrases of the level's length begin
+        own, which = grouped(lang[at].astype(np.int64))
+        parent, label, count = [np.zeros(len(own), np.int64)], [own], [np.zeros(len(own), np.int64)]
+        for level in range(longest):
+            distinct, place = grouped(which * width + word[at + level])
+            parent.append(distinct // width)
+            label.append(distinct % width)
+            count.append(np.bincount(place, minlength=len(distinct)))
+            on = follows[at + level]
+            at, which = at[on], place[on]
+        yield Trie(vocabulary, parent, label, count)
+
+
+def shards(batches: Iterator[pa.RecordBatch], longest: int, size: int, slice_bytes: int = SLICE) -> Iterator[Trie]:
+    """The tries of runs of about size bytes of the batches' texts (language, text), in slices for about slice_bytes each."""
     got, raws, room = [], [], size
     names: dict[bytes, int] = {}
 
-    def flush() -> Trie:
+    def flush() -> Iterator[Trie]:
         block_of = [len(x[0]) for x in got]
-        hashes, start, end, follows, langs = (np.concatenate(x) for x in zip(*got, strict=True))
+        columns = [list(x) for x in zip(*got, strict=True)]
         got.clear()
+        hashes, start, end, follows, langs = (np.concatenate(columns.pop(0)) for _ in range(5))
         first, words = np.unique(hashes, return_index=True, return_inverse=True)[1:]
+        words = words.astype(np.int32)
         block = np.repeat(np.arange(len(block_of)), block_of)[first]
         texts = [raws[i][a:z] + b" " for i, a, z in zip(block.tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
+        slices = -(-sum(map(len, raws)) // slice_bytes)
+        raws.clear()
         del hashes, start, end, first, block
-        return shard_trie(words, follows, langs, texts, list(names), longest)
+        yield from shard_tries(words, follows, langs, texts, list(names), longest, slices)
 
     for batch in batches:
         lang = np.array([names.setdefault(x.encode().hex().encode() + b" ", len(names)) for x in batch.column(0).to_pylist()], np.int64)
@@ -348,10 +368,10 @@ def shards(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Iterat
             raws.append(data.tobytes())
             room -= len(data)
             if room <= 0:
-                yield flush()
-                got, raws, room = [], [], size
+                yield from flush()
+                room = size
     if got:
-        yield flush()
+        yield from flush()
 
 
 def sort_key(key: Key) -> bytes:
@@ -390,17 +410,37 @@ def arrow(kind: str) -> list[str]:
 RANGED = "range long, origin long, body binary"
 
 
-def built(docs: DataFrame, keys: list[Key], longest: int, shard_bytes: int) -> DataFrame:
+def built(docs: DataFrame, keys: list[Key], longest: int, shard_bytes: int, slice_bytes: int) -> DataFrame:
     """range, origin (0), body: the packed transducers of the ranges of all shards."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trie in shards(batches, longest, shard_bytes):
+        for trie in shards(batches, longest, shard_bytes, slice_bytes):
             for i, part in cuts(trie, keys):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int64()), pa.array([packed(part)], pa.binary())], names=arrow(RANGED))
 
     return docs.mapInArrow(build, RANGED)
 
 
+def wider(counts: DataFrame, keys: list[Key], most: int) -> tuple[DataFrame, list[Key]]:
+    """The frequent phrases with ranges side by side as one range, for each `most` bytes of transducers, and where those begin."""
+    starts, size = [], 0
+    for r in counts.select("range", F.octet_length("body").alias("n")).orderBy("range").collect():  # two numbers for each range
+        if not starts or size + r["n"] > most:
+            starts, size = [*starts, r["range"]], 0
+        size += r["n"]
+    later = [F.lit(x).cast("long") for x in starts[1:]]
+
+    def add_up(group: pa.Table) -> pa.Table:
+        bodies = [body for _, body in rows_of(group)]
+        return table([(group.column("range")[0].as_py(), COUNTS, bodies[0] if len(bodies) == 1 else packed(union([unpack(b) for b in bodies])))])
+
+    if later:
+        counts = counts.withColumn("range", F.size(F.filter(F.array(*later), lambda x: x <= F.col("range"))).cast("long"))
+    else:
+        counts = counts.withColumn("range", F.lit(0).cast("long"))
+    return staged(counts.groupBy("range").applyInArrow(add_up, RANGED), "frequent-phrases"), [keys[i - 1] for i in starts[1:]]
+
+
 def parts(trie: Trie) -> Trie:
     """What the candidates of a trie ask for: both parts at each cut; weights are the largest count of those who ask."""
     asked: list[list] = [[] for _ in range(trie.depth - 1)]
@@ -446,7 +486,7 @@ def rows_of(group: pa.Table) -> list[tuple[int, bytes]]:
 COUNTS, WEIGHTS, WORDS = -3, -2, -1
 
 
-def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, inside: int = INSIDE, shard_bytes: int = SHARD, range_bytes: int = RANGE) -> DataFrame:
+def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, inside: int = INSIDE, shard_bytes: int = SHARD, range_bytes: int = RANGE, slice_bytes: int = SLICE, frequent_bytes: int = FREQUENT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of 2 to `longest` words of each language of docs (lang, text).
 
     Words are what stands between spaces, tabs and the ends of pieces (BREAKS), A-Z lower-cased; a null lang counts as `und`, a null text as empty.
@@ -477,8 +517,8 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
             rows.append((at, COUNTS, packed(kept)))
         return table(rows)
 
-    found = staged(built(docs, keys, longest, shard_bytes).groupBy("range").applyInArrow(add_up, RANGED), "phrases")
-    counts = found.where(F.col("origin") == COUNTS)
+    found = staged(built(docs, keys, longest, shard_bytes, slice_bytes).groupBy("range").applyInArrow(add_up, RANGED), "phrases")
+    counts, keys = wider(found.where(F.col("origin") == COUNTS), keys, frequent_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -546,8 +586,7 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
 
 def counted(own: Trie, look: Trie, path: np.ndarray) -> np.ndarray:
     """The values of paths (in own's words) in look."""
-    number = {w: i for i, w in enumerate(look.words)}
-    to = np.array([number.get(w, -1) for w in own.words], np.int64)
+    to = np.array([look.number.get(w, -1) for w in own.words], np.int64)
     node, width = np.zeros(len(path), np.int64), max(1, len(look.words))
     for level in range(path.shape[1]):
         keys = look.parent[level].astype(np.int64) * width + look.label[level]

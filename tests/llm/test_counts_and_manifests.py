@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,39 @@ def test_transducers():
     assert read(double) == {k: 2 * v for k, v in want.items()}
 
 
+def test_collocations_ask_together(spark, monkeypatch):
+    """Frequent phrases of many ranges ask and tell as a few; a shard has one piece for each range, whatever its slices. The result is the plain one."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words[: rng.randrange(2, 41)]) for _ in range(60)), rng.choice(["en", "de", None]), None, None) for i in range(120)]
+    docs, tables, staged = table(spark, rows).repartition(2), {}, collocations.staged
+    monkeypatch.setattr(collocations, "SAMPLED", 500)
+    monkeypatch.setattr(collocations, "staged", lambda df, name: tables.setdefault(name, staged(df, name)))
+    got = collocations.mined(docs, 3, 3, 500, shard_bytes=4_000, range_bytes=500)
+    assert sorted(map(tuple, got.collect())) == mined_plainly(rows, 3, 3, 500)
+    ranges = tables["phrases"].select("range").distinct().count()
+    assert ranges > 20 and tables["phrase-parts"].where(f"origin <> {collocations.WEIGHTS}").count() < ranges
+    tables.clear()
+    for slices, most in ((300, 1), (1_000, 2_000)):
+        got = collocations.mined(docs, 3, 3, 500, shard_bytes=4_000, range_bytes=500, slice_bytes=slices, frequent_bytes=most)
+        assert sorted(map(tuple, got.collect())) == mined_plainly(rows, 3, 3, 500)
+        tables.clear()
+
+
+def test_slices_of_a_shard(spark):
+    """A shard's slices are parts of its phrases, in order; together they have every phrase as often, with one piece for each range and cut first word."""
+    rng = random.Random(3)
+    docs = pa.record_batch({"lang": ["en", "de"] * 20, "text": [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(50)) for _ in range(40)]})
+    read = lambda tries: sum((Counter({tuple(t.words[i] for i in p): int(c) for level in range(t.depth) for p, c in zip(t.paths(level).tolist(), t.count[level], strict=True) if c}) for t in tries), Counter())
+    whole = list(collocations.shards(iter([docs]), 3, 1 << 20))
+    slices = list(collocations.shards(iter([docs]), 3, 1 << 20, 500))
+    assert len(whole) == 1 and len(slices) > 3 and read(whole) == read(slices)
+    keys = sorted(list(read(whole))[::9], key=collocations.sort_key)
+    pieces = [i for t in slices for i, _ in collocations.cuts(t, keys)]
+    assert len(pieces) <= len(keys) + 1 + 3 * len(slices) * (1 + len(keys) // 16)
+    assert read([p for t in slices for _, p in collocations.cuts(t, keys)]) == read(whole)
+
+
 def plainly_hashed(rows):
     """(doc_id, leaf, subroot, root, siblings) for each row, by whole levels."""
     h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
